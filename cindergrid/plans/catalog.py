@@ -1,6 +1,6 @@
 """Import every driver-query module so the registry is complete."""
 
-from cindergrid.plans import driver_panel, driver_reports, driver_stats  # noqa: F401
+from cindergrid.plans import driver_models, driver_panel, driver_reports, driver_stats  # noqa: F401
 from cindergrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
