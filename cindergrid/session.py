@@ -60,6 +60,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from it.
+
+    Used where one derived table feeds many jobs (model fits): the lineage
+    is cut, later jobs read the written files, and a lost executor re-reads
+    them instead of recomputing the whole derivation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
