@@ -99,11 +99,19 @@ def _join_single(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
                         keep: Sequence[str] = (), name: str = "model") -> tuple[DataFrame, DataFrame, float]:
-    """Fit, predict class and P(class 1) on validation; metrics; fit seconds."""
-    tr = assemble(train, features)
-    t0 = time.time()
-    model = estimator.fit(tr)
-    fit_s = time.time() - t0
+    """Fit, predict class and P(class 1) on validation; metrics; fit seconds.
+
+    The assembled training frame is persisted for the fit: iterative
+    solvers pass over it once per iteration, and without it every pass
+    re-derives the features (kernel columns included).
+    """
+    tr = assemble(train, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        t0 = time.time()
+        model = estimator.fit(tr)
+        fit_s = time.time() - t0
+    finally:
+        tr.unpersist()
     pred = model.transform(assemble(valid, features)).select(
         *keep, F.col(label), F.col("prediction").cast("int").alias("pred"),
         vector_to_array("probability")[1].alias("prob"))
@@ -130,7 +138,7 @@ def logistic_classifier(train: DataFrame, valid: DataFrame, features: Sequence[s
 def landmark_classifier(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, key: Sequence[str],
                         kind: str = "fidelity", n_landmarks: int = 800, k_features: int | None = None,
                         gamma: float | None = None, keep: Sequence[str] = (), seed: int = 42,
-                        max_iter: int = 200, name: str | None = None):
+                        max_iter: int = 200, tol: float = 1e-6, name: str | None = None):
     """M7 / M8 re-aimed: stratified sample of the training rows -> MI feature
     selection (k) -> scaling fitted on the sample -> kernel features against
     the sample as landmarks -> balanced logistic regression -> validation metrics.
@@ -158,7 +166,7 @@ def landmark_classifier(train: DataFrame, valid: DataFrame, features: Sequence[s
         return k.select("*", *[F.col("__cg_kv")[i].alias(c) for i, c in enumerate(kcols)])
 
     tr, sw = weighted(kfeat(s_tr), label)
-    met, pred, fit_s = evaluate_classifier(est.logistic(label, sw, max_iter=max_iter), tr, kfeat(s_va),
+    met, pred, fit_s = evaluate_classifier(est.logistic(label, sw, max_iter=max_iter, tol=tol), tr, kfeat(s_va),
                                            kcols, label, keep, name or f"Kernel LR ({kind}, {len(feats)}f)")
     return met.withColumn("n_features", F.lit(len(feats))).withColumn("features", F.lit("; ".join(feats))), pred, fit_s
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cindergrid.functions.scalars import abbreviate_list, coerce_int, leading_code, lookup, year_from_text
 from cindergrid.operators import clean, joins, panel, prep, report, stats
 from cindergrid.plans import presets as P
-from cindergrid.plans.wildfire import HistoryPanelSpec, history_panel
+from cindergrid.plans.wildfire import HistoryPanelSpec, history_panel, history_panel_single_scan
 from cindergrid.sources import readers, writers
 
 
@@ -26,14 +26,27 @@ def wildfire_spec() -> HistoryPanelSpec:
         measure_inputs=["avg_tmax_c", "avg_tmin_c", "tot_prcp_mm"],
         grid_periods=P.WILDFIRE_GRID_YEARS, train_periods=P.WILDFIRE_TRAIN_YEARS, test_periods=P.WILDFIRE_VAL_YEARS,
         label="fire_event", count="fire_count", cumulative="cumulative_fire_count", ever="ever_had_fire",
-        derived={"temp_range": F.col("avg_tmax_c") - F.col("avg_tmin_c")})
+        derived={"temp_range": F.col("avg_tmax_c") - F.col("avg_tmin_c")},
+        measure_specs={"avg_tmax_c": ("avg", "avg_tmax_c"), "avg_tmin_c": ("avg", "avg_tmin_c"),
+                       "tot_prcp_mm": ("sum", "tot_prcp_mm")})
 
 
-def wildfire_dataset(raw: DataFrame, spec: HistoryPanelSpec | None = None) -> DataFrame:
-    """W0 on the mixed weather/fire file: P6 -> P7 -> P8/P9 -> A1, A2, J1 -> J6, J2, N5, N6, P15 -> J3 -> P17 -> P12."""
+def wildfire_dataset(raw: DataFrame, spec: HistoryPanelSpec | None = None, method: str = "single_scan") -> DataFrame:
+    """W0 on the mixed weather/fire file.
+
+    ``single_scan`` (default): P6, then one aggregate over both row kinds
+    (P7 as a predicate, period from ``year_month`` for weather rows and from
+    ``Year`` for fire rows) and range-frame history features.
+    ``grid``: the step-by-step form P6 -> P7 -> P8/P9 -> A1, A2, J1 -> J6, J2,
+    N5, N6, P15 -> J3 -> P17 -> P12.
+    """
     spec = spec or wildfire_spec()
     df = clean.normalise_key(raw, "zip")
-    weather, fire = clean.split_row_kinds(df, F.col("OBJECTID").isNotNull())
+    is_fire = F.col("OBJECTID").isNotNull()
+    if method == "single_scan":
+        rows = df.withColumn("Year", F.when(is_fire, coerce_int("Year")).otherwise(year_from_text("year_month")))
+        return history_panel_single_scan(rows, is_fire, spec)
+    weather, fire = clean.split_row_kinds(df, is_fire)
     weather = weather.withColumn("Year", year_from_text("year_month"))
     fire = clean.coerce_int_column(fire, "Year")
     return history_panel(weather, fire, spec)

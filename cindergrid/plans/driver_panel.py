@@ -250,8 +250,18 @@ FROM full_ds"""
 
 
 def wildfire_panel_df(spark, sf):
+    """W0 in the single-scan form (one aggregate, range-frame history features)."""
+    rows, is_event = si.event_rows_single(spark, sf)
+    return wildfire.history_panel_single_scan(rows, is_event, si.events_spec())
+
+
+@query("wildfire_panel_grid", sql=WILDFIRE_SQL)
+def wildfire_panel_grid(spark, sf):
+    """W0 in the step-by-step form (split kinds, dense grid, row lags, join back)."""
     measure, event = si.event_rows(spark, sf)
-    return wildfire.history_panel(measure, event, si.events_spec())
+    ds = wildfire.history_panel(measure, event, si.events_spec())
+    return ds.select("user_key", _day(), *_measure_cols(), "error_event", "error_count_lag1", "error_count_lag2",
+                     "cumulative_errors", "ever_had_error", F.round("value_range", 6).alias("value_range"), "split")
 
 
 @query("wildfire_panel", sql=WILDFIRE_SQL)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindergrid.functions.scalars import coerce_key_text
@@ -48,6 +48,9 @@ def events_spec() -> HistoryPanelSpec:
         cumulative="cumulative_errors",
         ever="ever_had_error",
         derived={"value_range": F.col("max_value") - F.col("min_value")},
+        measure_specs={"avg_value": ("avg", "value"), "min_value": ("min", "value"),
+                       "max_value": ("max", "value"), "sum_value": ("sum", "value")},
+        period_index=F.unix_date,
     )
 
 
@@ -59,6 +62,13 @@ def event_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return clean.split_row_kinds(ev, F.col("event_type") == F.lit("error"))
 
 
+def event_rows_single(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Both row kinds in one frame (normalised key, day) and the event predicate."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    ev = clean.normalise_key(ev.withColumn("user_key", coerce_key_text("user_id")), "user_key")
+    return ev.withColumn("day", F.to_date("ts")), F.col("event_type") == F.lit("error")
+
+
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer x year panel: target = sum of order totals, exposure = order count."""
     o = table(spark, sf_dir, "orders")
