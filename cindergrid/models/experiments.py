@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.models import estimators as est
 from cindergrid.operators import kernels, metrics, prep, report, sampling
+from cindergrid.session import materialize
 
 NAIVE = "Naive (Lag-1)"
 
@@ -146,7 +147,9 @@ def landmark_classifier(train: DataFrame, valid: DataFrame, features: Sequence[s
     Every training and validation row is scored (cost rows x landmarks); only
     the landmark sample (<= ``n_landmarks`` rows) reaches the driver.
     """
-    sample = sampling.stratified_sample(train, label, key, n_landmarks, seed)
+    # The sample is bounded by ``n_landmarks`` rows and feeds four jobs
+    # (MI, scaler, landmarks, weights): write it once.
+    sample = materialize(sampling.stratified_sample(train, label, key, n_landmarks, seed))
     feats = list(features)
     if k_features and k_features < len(feats):
         mi = prep.mutual_information(sample, feats, label)

@@ -20,7 +20,7 @@ MAX_CLASSES = 10_000  # class tables are collected to the driver; guard their si
 
 
 # ----------------------------------------------------------------- imputation
-def fit_medians(df: DataFrame, cols: Sequence[str], method: str = "distributed") -> dict:
+def fit_medians(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict:
     """Exact median per column (all-null column -> None)."""
     return column_quantiles(df, cols, 0.5, method)
 
@@ -32,14 +32,14 @@ def apply_fill(df: DataFrame, values: dict) -> DataFrame:
 
 
 def impute_train_median(train: DataFrame, test: DataFrame, cols: Sequence[str],
-                        method: str = "distributed") -> tuple[DataFrame, DataFrame, dict]:
+                        method: str = "auto") -> tuple[DataFrame, DataFrame, dict]:
     """A3: medians from the training rows (taken before any target-null drop,
     as the reference does), applied to both frames."""
     med = fit_medians(train, cols, method)
     return apply_fill(train, med), apply_fill(test, med), med
 
 
-def impute_all_rows(df: DataFrame, cols: Sequence[str], method: str = "distributed") -> tuple[DataFrame, list[str]]:
+def impute_all_rows(df: DataFrame, cols: Sequence[str], method: str = "auto") -> tuple[DataFrame, list[str]]:
     """A4 (``scope="all"``): medians over every row, only for columns that
     contain nulls; returns the filled column list.  Uses test rows too - the
     reference's leak, kept as an explicit option."""

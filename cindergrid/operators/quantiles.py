@@ -13,7 +13,8 @@ a single task and grows with the number of distinct values.  The
    cover ``floor(h)`` and ``ceil(h)`` and interpolate.
 
 ``percentile`` (built-in exact) and ``approx`` (``percentile_approx``) are
-offered for small inputs and for speed.
+offered for small inputs and for speed; ``auto`` picks the built-in exact
+aggregate over the value-count table when the distinct values are few.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.operators.ordering import running_totals
+from cindergrid.session import materialize
 
 FEATURE = "feature"
 VALUE = "value"
@@ -41,26 +43,44 @@ def _prob_name(p: float) -> str:
     return "q" + f"{p:.6f}".rstrip("0").rstrip(".").replace(".", "_")
 
 
-def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "distributed",
-                   accuracy: int = 10000) -> DataFrame:
-    """One row per feature: ``feature, n, q0_25, q0_5, ...`` (exact unless ``approx``)."""
+# Below this many distinct (column, value) pairs the exact built-in
+# ``percentile`` over the value-count table is used (its buffer holds one
+# entry per distinct value, so the bound is on that buffer).
+AUTO_MAX_DISTINCT = 200_000
+
+
+def value_counts_long(df: DataFrame, cols: Sequence[str], materialized: bool = True) -> DataFrame:
+    """``(feature, value, cnt)``: one scan of the source, partial-aggregated.
+
+    Materialised (written once to the checkpoint folder) by default, since
+    the quantile and moment steps read it several times.
+    """
+    counts = unpivot_numeric(df, cols).groupBy(FEATURE, VALUE).agg(F.count(F.lit(1)).alias("cnt"))
+    return materialize(counts) if materialized else counts
+
+
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], method: str = "auto",
+                          auto_max_distinct: int = AUTO_MAX_DISTINCT) -> DataFrame:
+    """Exact quantiles per feature from a ``(feature, value, cnt)`` table.
+
+    ``auto``: when the table is small, ``percentile(value, p, cnt)`` (one
+    bounded buffer per feature); otherwise the distributed selection.
+    """
     names = [_prob_name(p) for p in probs]
-    if method in ("percentile", "approx"):
-        long = unpivot_numeric(df, cols)
-        if method == "percentile":
-            aggs = [F.percentile(VALUE, p).alias(nm) for p, nm in zip(probs, names)]
-        else:
-            aggs = [F.percentile_approx(VALUE, p, accuracy).cast("double").alias(nm) for p, nm in zip(probs, names)]
-        return long.groupBy(FEATURE).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    if method == "auto":
+        small = counts.limit(auto_max_distinct + 1).count() <= auto_max_distinct
+        method = "percentile" if small else "distributed"
+    if method == "percentile":
+        return counts.groupBy(FEATURE).agg(
+            F.sum("cnt").alias("n"),
+            *[F.percentile(F.col(VALUE), F.lit(float(p)), F.col("cnt")).alias(nm) for p, nm in zip(probs, names)])
     if method != "distributed":
         raise ValueError(f"unknown method {method!r}")
-
-    counts = unpivot_numeric(df, cols).groupBy(FEATURE, VALUE).agg(F.count(F.lit(1)).alias("cnt"))
     sizes = counts.groupBy(FEATURE).agg(F.sum("cnt").alias("n"))          # one row per column
     cum = running_totals(counts, [FEATURE], [VALUE], ["cnt"], prefix="cum_")
     # ``sizes`` has one row per requested column: a proven bound, so broadcast.
     cum = cum.join(F.broadcast(sizes), FEATURE).withColumn("before", F.col("cum_cnt") - F.col("cnt"))
-    picks = []
+    picks, wanted = [], None
     for p, nm in zip(probs, names):
         h = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.floor(h), F.ceil(h)
@@ -69,12 +89,7 @@ def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float], m
         picks += [F.max(F.when(covers_lo, F.col(VALUE))).alias(f"{nm}__lo"),
                   F.max(F.when(covers_hi, F.col(VALUE))).alias(f"{nm}__hi"),
                   F.max(h - lo).alias(f"{nm}__frac")]
-    wanted = None
-    for p in probs:
-        h = (F.col("n") - 1) * F.lit(float(p))
-        c = ((F.col("before") <= F.floor(h)) & (F.floor(h) < F.col("cum_cnt"))) | \
-            ((F.col("before") <= F.ceil(h)) & (F.ceil(h) < F.col("cum_cnt")))
-        wanted = c if wanted is None else (wanted | c)
+        wanted = (covers_lo | covers_hi) if wanted is None else (wanted | covers_lo | covers_hi)
     got = cum.filter(wanted).groupBy(FEATURE).agg(F.max("n").alias("n"), *picks)
     out = [F.col(FEATURE), F.col("n")]
     for nm in names:
@@ -83,7 +98,28 @@ def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float], m
     return got.select(*out)
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], p: float = 0.5, method: str = "distributed") -> dict:
+def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto",
+                   accuracy: int = 10000, auto_max_distinct: int = AUTO_MAX_DISTINCT) -> DataFrame:
+    """One row per feature: ``feature, n, q0_25, q0_5, ...`` (exact unless ``approx``).
+
+    ``auto`` / ``distributed`` read the source once into the value-count
+    table; ``percentile`` and ``approx`` are single built-in aggregates over
+    the raw values.
+    """
+    names = [_prob_name(p) for p in probs]
+    if method in ("percentile", "approx"):
+        long = unpivot_numeric(df, cols)
+        if method == "percentile":
+            aggs = [F.percentile(VALUE, p).alias(nm) for p, nm in zip(probs, names)]
+        else:
+            aggs = [F.percentile_approx(VALUE, p, accuracy).cast("double").alias(nm) for p, nm in zip(probs, names)]
+        return long.groupBy(FEATURE).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    if method not in ("auto", "distributed"):
+        raise ValueError(f"unknown method {method!r}")
+    return quantiles_from_counts(value_counts_long(df, cols), probs, method, auto_max_distinct)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], p: float = 0.5, method: str = "auto") -> dict:
     """Driver-side ``{column: quantile}`` (one small row per column); all-null columns -> None."""
     nm = _prob_name(p)
     rows = quantiles_long(df, cols, [p], method).select(FEATURE, nm).collect()
