@@ -13,5 +13,9 @@ from cindergrid.functions.scalars import (  # noqa: F401
     lookup,
     round_half_even,
     safe_ratio,
+    fixed_width,
+    number_text,
+    sorted_union,
+    utc_stamp,
     year_from_text,
 )

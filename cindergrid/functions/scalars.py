@@ -91,3 +91,24 @@ def argmax_index(arr: str | Column) -> Column:
     """0-based index of the largest element (first one on ties)."""
     a = col_of(arr)
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+
+
+def sorted_union(a: str | Column, b: str | Column) -> Column:
+    """U4: sorted union of two arrays, duplicates removed."""
+    return F.array_sort(F.array_union(col_of(a), col_of(b)))
+
+
+def fixed_width(c: str | Column, width: int, align: str = "left") -> Column:
+    """Pad (or cut) text to ``width`` characters for printed tables."""
+    text = col_of(c).cast("string")
+    return F.rpad(text, width, " ") if align == "left" else F.lpad(text, width, " ")
+
+
+def number_text(c: str | Column, decimals: int) -> Column:
+    """Number with thousands separators and fixed decimals (``1,234.57``)."""
+    return F.format_number(col_of(c), decimals)
+
+
+def utc_stamp() -> Column:
+    """Run timestamp as ``YYYY-MM-DDTHH:MM:SSZ`` (session time zone is UTC)."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -244,3 +244,68 @@ def score_adapter(spark, sf):
         F.col("nation_risk").alias("classical_risk_prob"))
     a = clean.adapt_scores(scores, "zip", "classical_risk_prob", "ZIP", "wildfire_risk_prob")
     return a.select("ZIP", F.round("wildfire_risk_prob", 6).alias("wildfire_risk_prob"))
+
+
+@query("chart_bounds", sql="""
+WITH p AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS premium
+           FROM orders GROUP BY ALL),
+f AS (SELECT *, lag(premium, 1) OVER (PARTITION BY o_custkey ORDER BY year) AS premium_lag1 FROM p)
+SELECT round(max(greatest(premium, premium_lag1)), 4) AS upper_bound,
+       count(*) FILTER (WHERE year = 2000) AS n_kind FROM f""")
+def chart_bounds(spark, sf):
+    """Upper bound over actual and predicted (null-ignoring), and a conditional row count."""
+    from cindergrid.operators import stats
+    from cindergrid.plans.driver_stats import lag_panel
+    f = lag_panel(spark, sf).withColumn("year_text", F.col("year").cast("string"))
+    out = stats.chart_bounds(f, "premium", "premium_lag1", kind="year_text", kind_value="2000")
+    return out.select(F.round("upper_bound", 4).alias("upper_bound"), "n_kind")
+
+
+@query("predicted_class", sql="""
+SELECT l.doc_id, CASE WHEN d.n_chars / (d.n_chars + 2000.0::DOUBLE) > 1 - d.n_chars / (d.n_chars + 2000.0::DOUBLE)
+                      THEN 1 ELSE 0 END AS pred
+FROM labels l JOIN documents d USING (doc_id)""")
+def predicted_class(spark, sf):
+    """argmax over class probabilities (first class wins ties)."""
+    s = si.scored_labels(spark, sf)
+    p1 = F.col("n_chars") / (F.col("n_chars") + 2000.0)
+    s = s.withColumn("probs", F.array(F.lit(1.0) - p1, p1))
+    return s.select("doc_id", metrics.predicted_class("probs").alias("pred"))
+
+
+@query("sorted_union_days", sql="""
+WITH d AS (SELECT user_id, event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day FROM events),
+a AS (SELECT user_id, list(DISTINCT day) FILTER (WHERE event_type = 'error') AS err,
+             list(DISTINCT day) FILTER (WHERE event_type = 'purchase') AS buy FROM d GROUP BY user_id)
+SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(err, []), coalesce(buy, [])))), ',') AS days
+FROM a""")
+def sorted_union_days(spark, sf):
+    """U4: per entity, the sorted union of two period lists (bounded by the calendar)."""
+    from cindergrid.functions.scalars import sorted_union
+    ev = table(spark, sf, "events").select("user_id", "event_type", F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day"))
+    a = ev.groupBy("user_id").agg(
+        F.collect_set(F.when(F.col("event_type") == "error", F.col("day"))).alias("err"),
+        F.collect_set(F.when(F.col("event_type") == "purchase", F.col("day"))).alias("buy"))
+    return a.select("user_id", F.array_join(sorted_union("err", "buy"), ",").alias("days"))
+
+
+@query("report_text", sql="""
+WITH fam AS (SELECT o_orderpriority AS name, count(*) AS n_rows, avg(o_totalprice) AS avg_value
+             FROM orders GROUP BY o_orderpriority)
+SELECT name, rpad(name, 18, ' ') || ' ' || lpad(format('{:,.0f}', n_rows::DOUBLE), 8, ' ') || ' ' ||
+             lpad(format('{:,.2f}', avg_value), 14, ' ') AS line
+FROM fam""")
+def report_text(spark, sf):
+    """Printed-table formatting: padded names, thousands separators, fixed decimals."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("o_totalprice").alias("avg_value"))
+    t = report.text_lines(o, [("name", 18, None), ("n_rows", 8, 0), ("avg_value", 14, 2)])
+    return t.select("name", "line")
+
+
+@query("run_log")
+def run_log_query(spark, sf):
+    """K5: one run document whose ``models`` map holds per-language ranking metrics."""
+    s = si.scored_labels(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    m = metrics.ranking_metrics(s, "quality", "n_chars", ["lang"])
+    return report.run_log(m, "lang", "length_ranking_by_language", 42, {"source_table": "labels"})
