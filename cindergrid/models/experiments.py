@@ -121,8 +121,9 @@ def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features:
 
 
 def weighted(df: DataFrame, label: str) -> tuple[DataFrame, float]:
-    w, weights = prep.balanced_weights(df, label)
+    """Balanced weight column and the weight total (one class-count job)."""
     counts = prep.class_counts(df, label)
+    w, weights = prep.balanced_weights(df, label, counts=counts)
     return w, float(sum(weights[c] * n for c, n in counts.items()))
 
 

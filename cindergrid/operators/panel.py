@@ -6,9 +6,10 @@ Entity, period and measure names are arguments.  Two window strategies:
   on aggregated panels, where one entity holds at most one row per period,
   so the largest window partition is bounded by the number of periods.
 * ``ranged``: row positions from :func:`cindergrid.operators.ordering.positions`
-  (range partitioned, a hot entity spans many tasks) and an equi-join on
-  ``(entity, position - n)``.  Used for lags over raw rows, where one entity
-  may hold a large share of the table.
+  (range partitioned, a hot entity spans many tasks), then one grouped pass
+  over (entity, position) that pairs each row with its shifted copies.  Used
+  for lags over raw rows, where one entity may hold a large share of the
+  table.
 """
 
 from __future__ import annotations
@@ -102,18 +103,40 @@ def _lag_window(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence[
 
 def _lag_ranged(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence[str | Column],
                 values: Mapping[str, Sequence[int]], default=None) -> DataFrame:
+    """Row lags without a window over the entity and without self-joins.
+
+    Rows get skew-safe positions; each row then emits itself (k = 0) plus
+    one copy shifted to ``position + n`` per lag distance ``n`` that carries
+    only the lagged columns.  One ``groupBy(entity, position)`` - at most
+    1 + #distances rows per group, so no group can be hot - picks the row's
+    own columns and each lag.  Positions past the last row are dropped.
+    """
     pos = "__cg_row"
     ranked = positions(df, entity_cols, order_cols, name=pos)
-    out = ranked
-    for n in sorted({n for ns in values.values() for n in ns}):
-        wanted = {c: f"{c}_lag{n}" for c, ns in values.items() if n in ns}
-        shifted = ranked.select(*entity_cols, (F.col(pos) + n).alias(pos),
-                                *[F.col(c).alias(a) for c, a in wanted.items()])
-        out = out.join(shifted, on=[*entity_cols, pos], how="left")
-        if default is not None:
-            out = out.fillna({a: default for a in wanted.values()})
-    ordered = [c for c in df.columns] + [f"{c}_lag{n}" for c, ns in values.items() for n in ns]
-    return out.select(*ordered)
+    base_cols = [c for c in df.columns if c not in entity_cols]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    dists = sorted({n for ns in values.values() for n in ns})
+    recs = []
+    for k in [0, *dists]:
+        fields = [F.lit(k).alias("k"), (F.col(pos) + k).alias("p")]
+        for c in base_cols:
+            keep = k == 0 or (c in values and k in values[c])
+            fields.append(F.col(c).alias(c) if keep else F.lit(None).cast(types[c]).alias(c))
+        recs.append(F.struct(*fields))
+    exploded = ranked.select(*entity_cols, F.explode(F.array(*recs)).alias("r"))
+    k = F.col("r.k")
+    aggs = [F.max((k == 0).cast("int")).alias("__cg_base")]
+    aggs += [F.first(F.when(k == 0, F.col(f"r.{c}")), ignorenulls=True).alias(c) for c in base_cols]
+    lag_names = []
+    for c, ns in values.items():
+        for n in ns:
+            name = f"{c}_lag{n}"
+            lag_names.append(name)
+            aggs.append(F.first(F.when(k == n, F.col(f"r.{c}")), ignorenulls=True).alias(name))
+    out = exploded.groupBy(*entity_cols, F.col("r.p").alias(pos)).agg(*aggs).filter(F.col("__cg_base") == 1)
+    if default is not None:
+        out = out.fillna({n: default for n in lag_names})
+    return out.select(*df.columns, *lag_names)
 
 
 def lag_features(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence[str | Column],

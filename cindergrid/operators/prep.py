@@ -58,9 +58,10 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r[label]: int(r["count"]) for r in rows}
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> tuple[DataFrame, dict]:
+def balanced_weights(df: DataFrame, label: str, out: str = "weight",
+                     counts: dict | None = None) -> tuple[DataFrame, dict]:
     """``n / (k * n_class)`` per row (sklearn ``class_weight='balanced'``)."""
-    counts = class_counts(df, label)
+    counts = counts if counts is not None else class_counts(df, label)
     n, k = sum(counts.values()), len(counts)
     weights = {c: n / (k * m) for c, m in counts.items()}
     m = F.create_map(*[F.lit(x) for x in chain.from_iterable(weights.items())])
