@@ -141,7 +141,8 @@ def kernel_long(df: DataFrame, id_col: str, vec_col: str, lm: Landmarks, kind: s
                 method: str = "auto", value: str = "k") -> DataFrame:
     """Long form ``(id, landmark_id, k)``: the kernel array exploded with positions."""
     feats = kernel_features(df.select(id_col, vec_col), vec_col, lm, kind, gamma, "__cg_k", method)
-    ids = F.array(*[F.lit(i) for i in lm.ids])
+    id_type = df.schema[id_col].dataType
+    ids = F.array(*[F.lit(i).cast(id_type) for i in lm.ids])
     ex = feats.select(id_col, F.posexplode("__cg_k").alias("__cg_i", value))
     return ex.select(id_col, ids[F.col("__cg_i")].alias("landmark_id"), value)
 
