@@ -85,17 +85,8 @@ def experiment_matrix(train: DataFrame, test: DataFrame, feature_sets: Mapping[s
 
 # ------------------------------------------------------------- classifiers
 def class_metrics(pred: DataFrame, label: str, group: Sequence[str] = ()) -> DataFrame:
-    """M11 metric set: ROC-AUC, PR-AUC (average precision), F1, precision, recall."""
-    rank = metrics.ranking_metrics(pred, label, "prob", group)
-    conf = metrics.confusion_metrics(pred, label, "pred", group).select(*group, "precision", "recall", "f1")
-    if group:
-        return rank.join(conf, list(group))
-    return _join_single(rank, conf)
-
-
-def _join_single(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two one-row aggregates on a constant key (no cross join)."""
-    return a.withColumn("__cg_k", F.lit(1)).join(b.withColumn("__cg_k", F.lit(1)), "__cg_k").drop("__cg_k")
+    """M11 metric set: ROC-AUC, PR-AUC (average precision), F1, precision, recall - one aggregate."""
+    return metrics.ranking_metrics(pred, label, "prob", group, pred="pred")
 
 
 def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,

@@ -52,40 +52,52 @@ def confusion_metrics(df: DataFrame, label: str, pred: str, group: Sequence[str]
                       rec.cast("double").alias("recall"), f1.cast("double").alias("f1"))
 
 
-def score_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
+def score_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = (),
+                pred: str | None = None) -> DataFrame:
     """Distinct scores with positives/negatives and running totals from the top.
 
-    Columns: group..., score, pos, neg, cum_pos, cum_neg (inclusive).
+    Columns: group..., score, pos, neg, cum_pos, cum_neg (inclusive); with
+    ``pred`` also the per-score confusion counts tp, fp, fn.
     """
     y = F.col(label).cast("double")
+    extra = []
+    if pred is not None:
+        yy, pp = F.col(label) == 1, F.col(pred) == 1
+        extra = [F.count_if(yy & pp).alias("tp"), F.count_if(~yy & pp).alias("fp"),
+                 F.count_if(yy & ~pp).alias("fn")]
     per_score = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()) \
         .groupBy(*group, F.col(score).cast("double").alias("score")) \
-        .agg(F.sum(y).alias("pos"), F.sum(F.lit(1.0) - y).alias("neg"))
+        .agg(F.sum(y).alias("pos"), F.sum(F.lit(1.0) - y).alias("neg"), *extra)
     return running_totals(per_score, list(group), [F.desc("score")], ["pos", "neg"], prefix="cum_")
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(df: DataFrame, label: str, score: str, group: Sequence[str] = (),
+                    pred: str | None = None) -> DataFrame:
     """A18 + A19: exact tie-aware ROC-AUC and average precision (step sum).
 
     ROC-AUC = sum over scores of neg * (positives strictly above + pos / 2) / (P * N);
     AP = sum over thresholds of (pos / P) * precision at that threshold.
+    With ``pred`` (0/1 predicted class) the same aggregate also yields A17's
+    precision, recall and F1 (``zero_division=0``) - no second pass, no join.
     """
-    c = score_curve(df, label, score, group)
+    c = score_curve(df, label, score, group, pred)
     above = F.col("cum_pos") - F.col("pos")
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    agg = c.groupBy(*group).agg(
-        F.sum(F.col("neg") * (above + F.col("pos") / 2)).alias("__cg_auc_num"),
-        F.sum(F.col("pos") * prec).alias("__cg_ap_num"),
-        F.sum("pos").alias("__cg_p"), F.sum("neg").alias("__cg_n"))
+    aggs = [F.sum(F.col("neg") * (above + F.col("pos") / 2)).alias("__cg_auc_num"),
+            F.sum(F.col("pos") * prec).alias("__cg_ap_num"),
+            F.sum("pos").alias("__cg_p"), F.sum("neg").alias("__cg_n")]
+    if pred is not None:
+        aggs += [F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")]
+    agg = c.groupBy(*group).agg(*aggs)
     auc = F.try_divide(F.col("__cg_auc_num"), F.col("__cg_p") * F.col("__cg_n"))
     ap = F.try_divide(F.col("__cg_ap_num"), F.col("__cg_p"))
-    return agg.select(*group, auc.alias("roc_auc"), ap.alias("average_precision"))
-
-
-def _prob_true(prob: Column, label: Column) -> Column:
-    """Probability given to the true class: array<double> of class
-    probabilities indexed by label, or a scalar P(class 1)."""
-    return prob
+    out = [*group, auc.alias("roc_auc"), ap.alias("average_precision")]
+    if pred is not None:
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        out += [F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).cast("double").alias("precision"),
+                F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).cast("double").alias("recall"),
+                F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).cast("double").alias("f1")]
+    return agg.select(*out)
 
 
 def weighted_log_loss(df: DataFrame, label: str, probs: str, weights: dict | str | None = None,

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cindergrid.functions.scalars import abbreviate_list, coerce_int, leading_code, lookup, year_from_text
 from cindergrid.operators import clean, joins, panel, prep, report, stats
@@ -245,5 +244,3 @@ def data_audit(df: DataFrame, target: str = P.PREMIUM_TARGET, period: str = "Yea
         "split_rows": split.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")),
     }
 
-
-__all__ = ["T"]

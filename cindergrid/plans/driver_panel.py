@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.functions.scalars import coerce_key_text, year_from_text
+from cindergrid.functions.scalars import year_from_text
 from cindergrid.operators import clean, joins, panel
 from cindergrid.plans import standins as si
 from cindergrid.plans import wildfire
@@ -424,5 +424,3 @@ def dense_grid_keys(spark, sf):
     return grid.agg(F.count(F.lit(1)).alias("grid_rows"), F.count_distinct("user_key").alias("n_entities"),
                     F.count_distinct("day").alias("n_periods"))
 
-
-__all__ = ["wildfire_panel_df", "coerce_key_text"]
