@@ -157,27 +157,41 @@ def lag_features(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence
 
 def premium_features(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence[str | Column],
                      target: str, loss_cols: Sequence[str] = (), exposure: str | None = None,
-                     prefix: str = "premium") -> DataFrame:
-    """N1-N4 and N7 (``build_all_features``) in one select over one window spec.
+                     prefix: str = "premium", strategy: str = "window") -> DataFrame:
+    """N1-N4 and N7 (``build_all_features``): row-level ratios, then every lag
+    in one :func:`lag_features` pass, then the trend columns.
 
     * ``{prefix}_lag1``, ``{prefix}_lag2``: target 1 and 2 rows back (null when absent);
     * ``{prefix}_yoy_change`` = lag1 - lag2, ``{prefix}_pct_change`` = change / (|lag2| + 1);
     * ``loss_ratio`` = sum(losses, null as 0) / (target + 1), ``loss_ratio_lag1``;
     * ``{prefix}_per_exposure`` = target / (exposure + 1), ``{prefix}_per_exposure_lag1``.
+
+    ``strategy="window"`` is one window spec (one shuffle, one sort) - right
+    for panels with one row per entity-period.  ``"ranged"`` is for the
+    row-lag form over raw rows, where one entity may be hot.
     """
-    w = Window.partitionBy(*entity_cols).orderBy(*order_cols)
-    lag1 = F.lag(target, 1).over(w)
-    lag2 = F.lag(target, 2).over(w)
-    cols = [F.col(c) for c in df.columns]
-    cols += [lag1.alias(f"{prefix}_lag1"), lag2.alias(f"{prefix}_lag2"),
-             (lag1 - lag2).alias(f"{prefix}_yoy_change"),
-             ((lag1 - lag2) / (F.abs(lag2) + 1)).alias(f"{prefix}_pct_change")]
+    t = _unquote(target)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    lags: dict[str, list[int]] = {t: [1, 2]}
+    tail = []
     if loss_cols:
         total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in loss_cols), F.lit(0.0))
-        ratio = total / (F.col(target) + 1)
-        cols += [ratio.alias("loss_ratio"), F.lag(ratio, 1).over(w).alias("loss_ratio_lag1")]
+        cols.append((total / (F.col(target) + 1)).alias("loss_ratio"))
+        lags["loss_ratio"] = [1]
+        tail += ["loss_ratio", "loss_ratio_lag1"]
     if exposure:
-        per = F.col(target) / (F.col(exposure) + 1)
-        cols += [per.alias(f"{prefix}_per_exposure"),
-                 F.lag(per, 1).over(w).alias(f"{prefix}_per_exposure_lag1")]
-    return df.select(*cols)
+        per = f"{prefix}_per_exposure"
+        cols.append((F.col(target) / (F.col(exposure) + 1)).alias(per))
+        lags[per] = [1]
+        tail += [per, f"{per}_lag1"]
+    lagged = lag_features(df.select(*cols), [_unquote(e) for e in entity_cols], [_unquote(o) for o in order_cols],
+                          lags, strategy=strategy)
+    l1, l2 = F.col(f"`{t}_lag1`"), F.col(f"`{t}_lag2`")
+    return lagged.select(*[F.col(f"`{c}`") for c in df.columns],
+                         l1.alias(f"{prefix}_lag1"), l2.alias(f"{prefix}_lag2"),
+                         (l1 - l2).alias(f"{prefix}_yoy_change"),
+                         ((l1 - l2) / (F.abs(l2) + 1)).alias(f"{prefix}_pct_change"), *tail)
+
+
+def _unquote(c):
+    return c[1:-1] if isinstance(c, str) and c.startswith("`") and c.endswith("`") else c

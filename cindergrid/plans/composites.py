@@ -57,13 +57,15 @@ def category_columns(df: DataFrame) -> list[str]:
 
 
 def premium_panel(raw: DataFrame, risk: DataFrame | None = None, risk_col: str | None = None,
-                  entity: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+                  entity: list[str] | None = None, order: list[str] | None = None,
+                  strategy: str = "window") -> DataFrame:
     """P1 -> P3 -> P5 -> N7 -> J4.
 
     Lags run over ``entity`` ordered by ``order``.  The default entity is the
     full grain (ZIP + category one-hots), ordered by Year, so a lag is the
     same category one year back.  The reference's row-lag form (T1) is
-    ``entity=["ZIP"], order=["Year", <tie-break columns>]``.
+    ``entity=["ZIP"], order=["Year", <tie-break columns>]``; pass
+    ``strategy="ranged"`` there so a ZIP with many rows is spread over tasks.
     """
     df = clean.drop_present(raw, P.PREMIUM_DROP_COLS)
     df = clean.clip_target(df, P.PREMIUM_TARGET)
@@ -74,7 +76,8 @@ def premium_panel(raw: DataFrame, risk: DataFrame | None = None, risk_col: str |
     exposure = P.PREMIUM_EXPOSURE if P.PREMIUM_EXPOSURE in df.columns else None
     df = df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
     feats = panel.premium_features(df, [f"`{c}`" for c in ent], [f"`{c}`" for c in ordr], f"`{P.PREMIUM_TARGET}`",
-                                   loss_cols=[f"`{c}`" for c in losses], exposure=f"`{exposure}`" if exposure else None)
+                                   loss_cols=[f"`{c}`" for c in losses], exposure=f"`{exposure}`" if exposure else None,
+                                   strategy=strategy)
     if "premium_per_exposure_lag1" in feats.columns:
         feats = feats.withColumnRenamed("premium_per_exposure_lag1", "prem_per_exp_lag1")
     if risk is not None and risk_col:
