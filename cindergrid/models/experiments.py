@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,11 @@ from cindergrid.session import materialize
 NAIVE = "Naive (Lag-1)"
 
 
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+def assemble(df: DataFrame, features: Sequence[str] | str, out: str = "features") -> DataFrame:
+    """Feature columns -> one ML vector; a single ``array<double>`` column name is
+    converted directly (``array_to_vector``), without a column per element."""
+    if isinstance(features, str):
+        return df.withColumn(out, array_to_vector(F.col(features)))
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
@@ -89,7 +93,7 @@ def class_metrics(pred: DataFrame, label: str, group: Sequence[str] = ()) -> Dat
     return metrics.ranking_metrics(pred, label, "prob", group, pred="pred")
 
 
-def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
+def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features: Sequence[str] | str, label: str,
                         keep: Sequence[str] = (), name: str = "model") -> tuple[DataFrame, DataFrame, float]:
     """Fit, predict class and P(class 1) on validation; metrics; fit seconds.
 
@@ -154,15 +158,13 @@ def landmark_classifier(train: DataFrame, valid: DataFrame, features: Sequence[s
     lm = kernels.collect_landmarks(s_lm.withColumn("__cg_id", F.concat_ws("#", *[F.col(k).cast("string") for k in key])),
                                    "__cg_id", "__cg_x", order=["__cg_id"])
     g = gamma if gamma is not None else 1.0 / max(len(feats), 1)
-    kcols = [f"__cg_k{i}" for i in range(lm.m)]
 
     def kfeat(df):
-        k = kernels.kernel_features(df, "__cg_x", lm, kind, g, "__cg_kv")
-        return k.select("*", *[F.col("__cg_kv")[i].alias(c) for i, c in enumerate(kcols)])
+        return kernels.kernel_features(df, "__cg_x", lm, kind, g, "__cg_kv")
 
     tr, sw = weighted(kfeat(s_tr), label)
     met, pred, fit_s = evaluate_classifier(est.logistic(label, sw, max_iter=max_iter, tol=tol), tr, kfeat(s_va),
-                                           kcols, label, keep, name or f"Kernel LR ({kind}, {len(feats)}f)")
+                                           "__cg_kv", label, keep, name or f"Kernel LR ({kind}, {len(feats)}f)")
     return met.withColumn("n_features", F.lit(len(feats))).withColumn("features", F.lit("; ".join(feats))), pred, fit_s
 
 

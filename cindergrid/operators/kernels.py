@@ -92,32 +92,31 @@ def _kernel_expr(x: Column, lm: Landmarks, kind: str, gamma: float) -> Column:
     raise ValueError(f"unknown kernel {kind!r}")
 
 
-def _kernel_batch(X: np.ndarray, L: np.ndarray, kind: str, gamma: float) -> np.ndarray:
-    G = X @ L.T
-    if kind == "linear":
-        return G
-    xx = np.einsum("ij,ij->i", X, X)[:, None]
-    ll = np.einsum("ij,ij->i", L, L)[None, :]
-    if kind == "rbf":
-        return np.exp(-gamma * np.maximum(xx + ll - 2.0 * G, 0.0))
-    if kind == "cosine":
-        return G / np.sqrt(xx * ll)
-    if kind == "fidelity":
-        return (G * G) / (xx * ll)
-    raise ValueError(f"unknown kernel {kind!r}")
-
-
 def _kernel_arrow(df: DataFrame, x: Column, lm: Landmarks, kind: str, gamma: float) -> Column:
+    """Pandas UDF over Arrow batches; self-contained (numpy/pandas only), so
+    executors need nothing from this package - the closure is shipped by value."""
     bc = df.sparkSession.sparkContext.broadcast(lm.matrix)
+    kernel_kind, g = str(kind), float(gamma)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def kernel_rows(vecs: pd.Series) -> pd.Series:
+        import numpy as _np
+        import pandas as _pd
         L = bc.value
         if len(vecs) == 0:
-            return pd.Series([], dtype=object)
-        X = np.vstack(vecs.to_numpy()).astype(np.float64)
-        K = _kernel_batch(X, L, kind, gamma)
-        return pd.Series(list(K))
+            return _pd.Series([], dtype=object)
+        X = _np.vstack(vecs.to_numpy()).astype(_np.float64)
+        G = X @ L.T
+        if kernel_kind != "linear":
+            xx = _np.einsum("ij,ij->i", X, X)[:, None]
+            ll = _np.einsum("ij,ij->i", L, L)[None, :]
+            if kernel_kind == "rbf":
+                G = _np.exp(-g * _np.maximum(xx + ll - 2.0 * G, 0.0))
+            elif kernel_kind == "cosine":
+                G = G / _np.sqrt(xx * ll)
+            else:
+                G = (G * G) / (xx * ll)
+        return _pd.Series(list(G))
 
     return kernel_rows(x)
 
