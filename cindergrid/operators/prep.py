@@ -14,7 +14,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.operators.quantiles import FEATURE, VALUE, column_quantiles, unpivot_numeric
+from cindergrid.operators.quantiles import FEATURE, VALUE, column_quantiles, quantiles_long, unpivot_numeric
 
 MAX_CLASSES = 10_000  # class tables are collected to the driver; guard their size
 
@@ -97,7 +97,8 @@ def apply_scaler(df: DataFrame, params: dict, suffix: str = "") -> DataFrame:
 
 
 # ---------------------------------------------------------- mutual information
-def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
+def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10,
+                       binning: str = "width") -> DataFrame:
     """MI (nats) of each feature with a discrete label, on equal-width bins.
 
     Deterministic, unlike the reference's noisy nearest-neighbour estimator.
@@ -105,6 +106,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
 
     1. per-feature min/max (one aggregate, one row per feature) -> literal
        bin edges, so binning is a column expression, not a join;
+       ``binning="quantile"`` instead cuts at the exact k/bins quantiles of
+       each feature (bin = number of cut points <= value);
     2. one ``groupingSets`` aggregate over (feature, bin, label) yields the
        joint counts, both marginals and the totals in a single exchange
        (partial aggregation map-side, so a hot bin is no problem);
@@ -113,18 +116,32 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     Rows where the feature or the label is null are left out for that feature.
     """
     long = unpivot_numeric(df.filter(F.col(label).isNotNull()), features, ids=[label])
-    edges = long.groupBy(FEATURE).agg(F.min(VALUE).alias("lo"), F.max(VALUE).alias("hi")).collect()
     spark = df.sparkSession
     pos = spark.createDataFrame([(f, i) for i, f in enumerate(features)], f"{FEATURE} string, position int")
-    if not edges:
-        return pos.withColumn("mi", F.lit(0.0))
-    lo = {r[FEATURE]: float(r["lo"]) for r in edges}
-    width = {r[FEATURE]: (float(r["hi"]) - float(r["lo"])) / bins if r["hi"] > r["lo"] else 1.0 for r in edges}
-    lo_m = F.create_map(*[F.lit(x) for x in chain.from_iterable(lo.items())])
-    w_m = F.create_map(*[F.lit(x) for x in chain.from_iterable(width.items())])
     f = F.col(FEATURE)
-    binned = long.select(FEATURE, label, F.least(F.floor((F.col(VALUE) - lo_m[f]) / w_m[f]),
-                                                 F.lit(bins - 1)).cast("int").alias("bin"))
+    if binning == "quantile":
+        probs = [k / bins for k in range(1, bins)]
+        qs = quantiles_long(df.filter(F.col(label).isNotNull()), features, probs).collect()
+        if not qs:
+            return pos.withColumn("mi", F.lit(0.0))
+        names = [c for c in qs[0].asDict() if c not in (FEATURE, "n")]
+        cuts = {r[FEATURE]: [float(r[c]) for c in names] for r in qs}          # (bins - 1) per feature
+        cut_m = F.create_map(*chain.from_iterable(
+            (F.lit(k), F.array(*[F.lit(x) for x in v])) for k, v in cuts.items()))
+        v = F.col(VALUE)
+        binned = long.select(FEATURE, label, F.size(F.filter(cut_m[f], lambda e: e <= v)).cast("int").alias("bin"))
+    elif binning == "width":
+        edges = long.groupBy(FEATURE).agg(F.min(VALUE).alias("lo"), F.max(VALUE).alias("hi")).collect()
+        if not edges:
+            return pos.withColumn("mi", F.lit(0.0))
+        lo = {r[FEATURE]: float(r["lo"]) for r in edges}
+        width = {r[FEATURE]: (float(r["hi"]) - float(r["lo"])) / bins if r["hi"] > r["lo"] else 1.0 for r in edges}
+        lo_m = F.create_map(*[F.lit(x) for x in chain.from_iterable(lo.items())])
+        w_m = F.create_map(*[F.lit(x) for x in chain.from_iterable(width.items())])
+        binned = long.select(FEATURE, label, F.least(F.floor((F.col(VALUE) - lo_m[f]) / w_m[f]),
+                                                     F.lit(bins - 1)).cast("int").alias("bin"))
+    else:
+        raise ValueError(f"unknown binning {binning!r}")
     sets = [[FEATURE, "bin", label], [FEATURE, "bin"], [FEATURE, label], [FEATURE]]
     g = binned.groupingSets(sets, FEATURE, "bin", label).agg(
         F.count(F.lit(1)).cast("double").alias("cnt"), F.grouping_id().alias("gid"))

@@ -174,6 +174,30 @@ def mutual_information_topk(spark, sf):
     return prep.select_k_best(mi, 2).select("feature", "position", F.round("mi", 6).alias("mi"))
 
 
+MI_QUANTILE_SQL = """
+d AS (SELECT l.quality, CAST(d.n_chars AS DOUBLE) AS n_chars,
+             CAST(length(d.text) - length(replace(d.text, ' ', '')) AS DOUBLE) AS n_spaces,
+             CAST(length(d.text) - length(replace(d.text, chr(10), '')) AS DOUBLE) AS n_lines
+      FROM labels l JOIN documents d USING (doc_id)),
+long AS (SELECT quality, 'n_chars' AS feature, 0 AS position, n_chars AS v FROM d
+         UNION ALL SELECT quality, 'n_spaces', 1, n_spaces FROM d
+         UNION ALL SELECT quality, 'n_lines', 2, n_lines FROM d),
+e AS (SELECT feature, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM long GROUP BY feature),
+b AS (SELECT l.feature, l.position, l.quality, len(list_filter(e.cuts, lambda c: c <= l.v)) AS bin
+      FROM long l JOIN e USING (feature)),
+j AS (SELECT feature, position, bin, quality, CAST(count(*) AS DOUBLE) AS nxy FROM b GROUP BY ALL),
+m AS (SELECT *, sum(nxy) OVER (PARTITION BY feature) AS n, sum(nxy) OVER (PARTITION BY feature, bin) AS nx,
+             sum(nxy) OVER (PARTITION BY feature, quality) AS ny FROM j)
+SELECT feature, position, round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) AS mi FROM m GROUP BY feature, position"""
+
+
+@query("mutual_information_quantile", sql="WITH " + MI_QUANTILE_SQL)
+def mutual_information_quantile(spark, sf):
+    """A24 with quantile cuts: 10 bins at the exact deciles of each feature."""
+    mi = prep.mutual_information(doc_features(spark, sf), DOC_FEATURES, "quality", bins=10, binning="quantile")
+    return mi.select("feature", "position", F.round("mi", 6).alias("mi"))
+
+
 @query("mutual_information", sql=f"""
 WITH {DOC_FEATURES_SQL}
 SELECT feature, position, round(mi, 6) AS mi FROM mi""")
