@@ -74,7 +74,6 @@ def premium_panel(raw: DataFrame, risk: DataFrame | None = None, risk_col: str |
     ordr = order or ["Year"]
     losses = [c for c in P.PREMIUM_LOSS_COLS if c in df.columns]
     exposure = P.PREMIUM_EXPOSURE if P.PREMIUM_EXPOSURE in df.columns else None
-    df = df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
     feats = panel.premium_features(df, [f"`{c}`" for c in ent], [f"`{c}`" for c in ordr], f"`{P.PREMIUM_TARGET}`",
                                    loss_cols=[f"`{c}`" for c in losses], exposure=f"`{exposure}`" if exposure else None,
                                    strategy=strategy)
