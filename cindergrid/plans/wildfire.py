@@ -4,10 +4,16 @@ Generic over column names.  The reference runs it on ZIP x year with a
 mixed weather/fire file; the driver-table preset runs it on users x days
 of ``events``.
 
-Plan shape: the measure aggregate and the event counts both shuffle on
-(entity, period) with map-side partial aggregation; every later step works
-on aggregated rows (entities x periods), whose size is bounded by the
-period list per entity, so the single window by entity cannot be skewed.
+Two forms with the same result:
+
+* :func:`history_panel_single_scan` (used at scale): one scan, one
+  partial-aggregated ``groupBy(entity, period)`` over both row kinds, and
+  range-frame history features over that aggregate - one aggregate
+  exchange and one window exchange, no grid and no joins.
+* :func:`history_panel` (step by step, as the reference does it): measure
+  aggregate, event flags, dense grid, grid lags and running total, joined
+  back.  Both aggregates shuffle partially aggregated rows; every later step
+  works on entities x periods, so the window by entity cannot be skewed.
 """
 
 from __future__ import annotations
