@@ -43,10 +43,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(f"local[{cpus}]", app_name="cindergrid-bench", shuffle_partitions=max(2 * cpus, 8),
                         extra_conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
-    # Untimed warm-up on the smallest tables: JVM class loading, codegen and
-    # the first Spark ML fit (~4 s of one-time loading) and the Python worker
-    # start of the first Arrow UDF would otherwise be
-    # charged to whichever query runs first.
+    # Untimed warm-up on the smallest tables.  One-time costs (JVM class
+    # loading and codegen, ~4 s of loading for the first Spark ML fit, the
+    # Python worker start of the first Arrow UDF) would otherwise be charged
+    # to whichever query runs first.
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir):
         for name in ("wildfire_panel", "ranking_by_group", "logistic_score", "kernel_fidelity_arrow"):
