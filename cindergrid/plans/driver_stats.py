@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cindergrid.operators import clean, metrics, panel, prep, sampling, stats
 from cindergrid.plans import standins as si
 from cindergrid.plans.registry import query
+from cindergrid.session import materialize
 from cindergrid.sources.tables import table
 
 LAG_COLS = ["premium_lag1", "premium_lag2", "premium_yoy_change"]
@@ -155,13 +156,19 @@ DOC_FEATURES = ["n_chars", "n_spaces", "n_lines"]
 
 
 def doc_features(spark, sf):
+    """Label + three whole-text features per labelled document.
+
+    Deriving them reads every text in full, and MI reads the result twice
+    (bin edges, then counts), so the small derived table is written once.
+    """
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
     d = lab.join(docs, "doc_id")
     t = F.col("text")
-    return d.select("doc_id", "quality", F.col("n_chars").cast("double").alias("n_chars"),
-                    (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).cast("double").alias("n_spaces"),
-                    (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("double").alias("n_lines"))
+    return materialize(d.select(
+        "doc_id", "quality", F.col("n_chars").cast("double").alias("n_chars"),
+        (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).cast("double").alias("n_spaces"),
+        (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("double").alias("n_lines")))
 
 
 @query("mutual_information_topk", sql=f"""
