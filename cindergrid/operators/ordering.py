@@ -68,10 +68,14 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
         F.coalesce(F.sum(f"__cg_tot_{c}").over(w_off), F.lit(0)).alias(f"__cg_off_{c}")
         for c in sum_cols])
 
-    out = local.join(offsets, on=piece, how="inner")
+    # null-safe on the group keys: a NULL group is a group like any other
+    o = offsets.select(*[F.col(k).alias(f"__cg_o_{k}") for k in piece],
+                       *[f"__cg_off_{c}" for c in sum_cols])
+    cond = [local[k].eqNullSafe(o[f"__cg_o_{k}"]) for k in piece]
+    out = local.join(o, on=cond, how="inner")
     for c in sum_cols:
         out = out.withColumn(prefix + c, F.col(f"__cg_loc_{c}") + F.col(f"__cg_off_{c}"))
-    return out.drop(_PID, *[f"__cg_loc_{c}" for c in sum_cols],
+    return out.drop(_PID, *[f"__cg_o_{k}" for k in piece], *[f"__cg_loc_{c}" for c in sum_cols],
                     *[f"__cg_off_{c}" for c in sum_cols])
 
 

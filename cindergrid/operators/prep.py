@@ -52,7 +52,8 @@ def impute_all_rows(df: DataFrame, cols: Sequence[str], method: str = "auto") ->
 
 # -------------------------------------------------------------- class weights
 def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    """Rows per non-null class (bounded: at most ``MAX_CLASSES`` classes)."""
+    rows = df.filter(F.col(label).isNotNull()).groupBy(label).count().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
     return {r[label]: int(r["count"]) for r in rows}

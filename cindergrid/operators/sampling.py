@@ -58,7 +58,9 @@ def _quota_expr(label: str, quotas: dict) -> Column:
 
 def stratified_sample(df: DataFrame, label: str, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (when the frame is larger), class shares kept by
-    largest remainder; the frame is returned whole when it has <= ``n`` rows."""
+    largest remainder; the frame is returned whole when it has <= ``n`` rows.
+    Rows with a null class are not sampled."""
+    df = df.filter(F.col(label).isNotNull())
     counts = class_counts(df, label)
     if sum(counts.values()) <= n:
         return df
@@ -73,8 +75,10 @@ def stratified_bootstrap(df: DataFrame, label: str, keys: Sequence[str], n: int,
     """``n`` draws with replacement, class quotas by largest remainder.
 
     Draw ``j`` of class ``c`` takes the row at position
-    ``hash(seed # c # j) mod n_c + 1`` of the class's hash order.
+    ``hash(seed # c # j) mod n_c + 1`` of the class's hash order.  Rows with a
+    null class are not sampled.
     """
+    df = df.filter(F.col(label).isNotNull())
     counts = class_counts(df, label)
     quotas = largest_remainder(counts, n)
     classes = sorted(quotas)
