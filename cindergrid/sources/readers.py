@@ -168,7 +168,8 @@ def read_metric_folder(spark: SparkSession, folder: str, schema: T.StructType =
         return read_csv(spark, f"{folder.rstrip('/')}/{pattern}", schema, with_source=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER" in str(e):
-            empty = schema.add(T.StructField(SOURCE_FILE, T.StringType()))
+            # a new StructType: ``schema.add`` would mutate the shared schema object
+            empty = T.StructType([*schema.fields, T.StructField(SOURCE_FILE, T.StringType())])
             return spark.createDataFrame([], empty)
         raise
 
