@@ -144,7 +144,10 @@ def kernel_long(df: DataFrame, id_col: str, vec_col: str, lm: Landmarks, kind: s
     feats = kernel_features(df.select(id_col, vec_col), vec_col, lm, kind, gamma, "__cg_k", method)
     id_type = df.schema[id_col].dataType
     ids = F.array(*[F.lit(i).cast(id_type) for i in lm.ids])
-    ex = feats.select(id_col, F.posexplode("__cg_k").alias("__cg_i", value))
+    # ``posexplode_outer``: the arrays always hold m >= 1 values, and the plain
+    # generator would add an inferred non-empty filter that evaluates the
+    # kernel a second time
+    ex = feats.select(id_col, F.posexplode_outer("__cg_k").alias("__cg_i", value))
     return ex.select(id_col, ids[F.col("__cg_i")].alias("landmark_id"), value)
 
 
