@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,8 +46,11 @@ def get_session(master: str | None = None, app_name: str = "cindergrid",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared file system path and is used
-    as is.  Only when it is unset (local tests) a private folder is made.
+    On a cluster the setting names a path that the driver and every executor
+    see, and is used as is.  When it is unset, a private folder is made only
+    for a ``local[...]`` master (tests), where driver and executor are one
+    process; any other master raises, because each executor would write to
+    its own disk and later reads would miss those files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,12 +58,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local_master(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="cindergrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def is_local_master(master: str) -> bool:
+    """True for ``local`` and ``local[...]``, not for ``local-cluster[...]``."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and continue from it.
 
@@ -75,10 +84,3 @@ def materialize(df):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
