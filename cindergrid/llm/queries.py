@@ -22,3 +22,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 shards of equal weight; grown_shard is the row's shard among 17."""
     from cindergrid.llm.sharding import shard_rows
     return shard_rows(table(spark, sf_dir, "documents"), [1.0] * 16)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens, 256 length classes."""
+    import public_tokenizers
+
+    from cindergrid.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
