@@ -41,3 +41,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from cindergrid.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix-hash fingerprints of every text and its edited form."""
+    from cindergrid.llm.fingerprints import fingerprint_documents
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
