@@ -48,3 +48,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix-hash fingerprints of every text and its edited form."""
     from cindergrid.llm.fingerprints import fingerprint_documents
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on 2-word shingles at 0.8."""
+    from cindergrid.llm.minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
