@@ -55,3 +55,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components on 2-word shingles at 0.8."""
     from cindergrid.llm.minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by rules learnt from the labelled rows that aren't held out."""
+    from cindergrid.llm.quality import fit_quality, score_quality
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
