@@ -63,3 +63,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cindergrid.llm.quality import fit_quality, score_quality
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of at least 0.9 among all rows of embeddings."""
+    from cindergrid.llm.vectors import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
