@@ -70,3 +70,11 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of at least 0.9 among all rows of embeddings."""
     from cindergrid.llm.vectors import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page; the text model is fitted on labelled documents."""
+    from cindergrid.llm.language import fit_text_model, identify_pages
+    model = fit_text_model(table(spark, sf_dir, "documents"))
+    return identify_pages(table(spark, sf_dir, "pages"), model)
