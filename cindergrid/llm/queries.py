@@ -78,3 +78,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cindergrid.llm.language import fit_text_model, identify_pages
     model = fit_text_model(table(spark, sf_dir, "documents"))
     return identify_pages(table(spark, sf_dir, "pages"), model)
+
+
+@query
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines and passages that a smaller doc_id has."""
+    from cindergrid.llm.substrings import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
