@@ -85,3 +85,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines and passages that a smaller doc_id has."""
     from cindergrid.llm.substrings import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    from cindergrid.llm.license_texts import NOTICES
+    from cindergrid.llm.licenses import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents"), NOTICES)
