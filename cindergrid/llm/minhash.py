@@ -131,10 +131,11 @@ def _sets(slim: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         return xxhash.xxh3_128_digest(raw), raw
 
     kind = slim.schema["key"].dataType.simpleString()
-    texts = slim.join(wanted.select("key"), "key", "left_semi").select("key", "text")
+    keys = wanted.select(F.col("key").alias("wanted"))
+    texts = slim.join(keys, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("key", "text")
     made = texts.mapInArrow(_per_text(one, (pa.binary(), pa.binary()), ["key", "node", "shingles"]),
                             f"key {kind}, node binary, shingles binary")
-    return made.join(wanted, ["key", "node"], "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    return made.join(wanted.select("node"), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -225,3 +225,16 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, *, key: str = "doc_id",
     scored = with_statistics(slim).select("key", model.score().alias("score"))
     return scored.select(F.col("key").alias(key), (~learnable("key")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, model: RuleEnsemble, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``.
+
+    The rows never leave the task that scores them.  Columns named
+    ``stat_...`` after a statistic can't be passed through and raise.
+    """
+    clash = [c for c in docs.columns if c in {f"stat_{s}" for s in STATISTICS} or c == "__scored"]
+    if clash:
+        raise ValueError(f"columns {clash} clash with statistics")
+    scored = with_statistics(docs.withColumn("__scored", F.col(text)))
+    return scored.where(model.score() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
