@@ -62,8 +62,8 @@ class TextModel:
     def log_likelihoods(self, text: str | None) -> tuple[int, np.ndarray]:
         """Number of trigrams, and tempered log-likelihoods less their largest."""
         found = trigram_buckets(text)
-        if not len(found):
-            return 0, np.zeros(len(self.languages))
+        if not len(found) or not self.languages:
+            return len(found), np.zeros(len(self.languages))
         counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS else None
         mean = (self.logs @ counts if counts is not None else self.logs[:, found].sum(axis=1)) / len(found)
         total = mean * min(len(found) / 3.0, self.longest)
