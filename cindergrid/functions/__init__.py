@@ -2,8 +2,6 @@
 
 from cindergrid.functions.scalars import (  # noqa: F401
     abbreviate_list,
-    argmax_index,
-    bool_to_int,
     clip_lower,
     clip_upper,
     coerce_int,
@@ -12,7 +10,6 @@ from cindergrid.functions.scalars import (  # noqa: F401
     leading_code,
     lookup,
     round_half_even,
-    safe_ratio,
     fixed_width,
     number_text,
     sorted_union,

@@ -48,16 +48,6 @@ def year_from_text(c: str | Column) -> Column:
     return F.substring(col_of(c).cast("string"), 1, 4).try_cast("double").try_cast("int")
 
 
-def bool_to_int(c: str | Column) -> Column:
-    return col_of(c).cast("int")
-
-
-def safe_ratio(num: str | Column, den: str | Column, default: float | None = 0.0) -> Column:
-    """``num / den`` with a zero or null denominator -> ``default``."""
-    q = F.try_divide(col_of(num), col_of(den))
-    return q if default is None else F.coalesce(q, F.lit(default))
-
-
 def round_half_even(c: str | Column, scale: int) -> Column:
     """Python/numpy rounding (banker's); ``F.round`` is half-up."""
     return F.bround(col_of(c), scale)
@@ -87,12 +77,6 @@ def leading_code(c: str | Column, pattern: str = "^([A-D])") -> Column:
     return F.nullif(F.regexp_extract(col_of(c), pattern, 1), F.lit(""))
 
 
-def argmax_index(arr: str | Column) -> Column:
-    """0-based index of the largest element (first one on ties)."""
-    a = col_of(arr)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
-
-
 def sorted_union(a: str | Column, b: str | Column) -> Column:
     """U4: sorted union of two arrays, duplicates removed."""
     return F.array_sort(F.array_union(col_of(a), col_of(b)))

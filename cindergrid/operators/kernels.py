@@ -1,22 +1,23 @@
 """Kernels between every row and a bounded set of landmark rows.
 
 The reference builds full n x n and n x m kernel matrices on one machine.
-Here the landmark set (m rows) is the only thing gathered: it is collected
-under a hard size check and shipped to the executors, and each row gets
-an ``array<double>`` of its m kernel values - a map-side operation with
-no shuffle and no join.  Cost is rows x m; nothing grows as n x n.
+Here the landmark set is the only thing gathered: ``m`` rows, where ``m`` is
+the caller's parameter and is honoured exactly.  Each row gets an
+``array<double>`` of its kernel values - a map-side operation with no
+shuffle and no join.  Cost is rows x m; nothing grows as n x n.
 
 Kernels: ``linear`` (x.l), ``cosine``, ``rbf`` (exp(-gamma |x - l|^2)) and
 ``fidelity`` = squared inner product of the unit vectors (the overlap
 |<phi(x)|phi(l)>|^2 of normalised state vectors).
 
-Two evaluation paths:
+A pandas UDF multiplies each Arrow batch by the broadcast landmark matrix
+(one matrix product per batch).  A kernel value is null where it is not
+defined: for a null vector, a vector with a null or of another length, and
+under ``cosine`` and ``fidelity`` for a zero vector on either side.
 
-* ``expr``: landmarks become literal arrays and the kernel is a
-  ``transform``/``aggregate`` expression (JVM side, no Python), for tiny
-  landmark matrices;
-* ``arrow``: a pandas UDF multiplies each Arrow batch by the broadcast
-  landmark matrix with numpy (one matmul per batch), for larger m x d.
+:func:`nystroem_map` turns kernel rows into explicit features: with the
+landmarks' own kernel matrix ``K`` (m x m), the features of a row ``k`` are
+``k K^(-1/2)``, whose inner products reproduce the kernel on the landmarks.
 """
 
 from __future__ import annotations
@@ -29,12 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cindergrid.operators.sampling import order_hash
+
 KERNELS = ("linear", "cosine", "rbf", "fidelity")
-MAX_LANDMARKS = 5000                 # landmark rows gathered at most
-MAX_LANDMARK_VALUES = 5_000_000      # m x d doubles (~40 MB) at most
-EXPR_MAX_VALUES = 256                # above this m x d, use the arrow path: the
-                                     # interpreted higher-order functions cost ~m x d
-                                     # lambda calls per row (20 x 64 measured ~5x slower)
 
 
 class Landmarks:
@@ -49,99 +47,76 @@ class Landmarks:
         return self.matrix.shape[0]
 
 
-def collect_landmarks(df: DataFrame, id_col: str, vec_col: str, order: Sequence[str | Column] | None = None,
-                      m: int | None = None) -> Landmarks:
-    """Gather landmark vectors: the first ``m`` rows by ``order`` (or all rows).
+def collect_landmarks(df: DataFrame, id_col: str, vec_col: str, m: int, seed: int = 42,
+                      order: Sequence[str | Column] | None = None) -> Landmarks:
+    """Gather ``m`` landmark vectors (all rows where there are fewer).
 
-    Raises when more than ``MAX_LANDMARKS`` rows or ``MAX_LANDMARK_VALUES``
-    values would reach the driver.
+    They are the first by ``order``, by default the seeded md5 order of
+    the sampling operators, so any row may be chosen.  Rows without a vector
+    can't be landmarks.
     """
-    sel = df.select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
-    if order is not None:
-        sel = sel.orderBy(*order)
-    cap = MAX_LANDMARKS if m is None else min(m, MAX_LANDMARKS)
-    rows = sel.limit(cap + 1).collect() if m is None else sel.limit(cap).collect()
-    if m is None and len(rows) > MAX_LANDMARKS:
-        raise ValueError(f"more than {MAX_LANDMARKS} landmark rows")
+    if m < 1:
+        raise ValueError("at least one landmark is needed")
+    sel = df.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    rows = sel.orderBy(*(order if order is not None else [order_hash(seed, [id_col]), id_col])).limit(m).collect()
     if not rows:
         raise ValueError("no landmark rows")
-    mat = np.array([r["v"] for r in rows], dtype=np.float64)
-    if mat.size > MAX_LANDMARK_VALUES:
-        raise ValueError(f"landmark matrix too large: {mat.shape}")
-    return Landmarks([r[id_col] for r in rows], mat)
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    return Landmarks([r[id_col] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64))
 
 
-def _sqdist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _kernel_expr(x: Column, lm: Landmarks, kind: str, gamma: float) -> Column:
-    lits = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in lm.matrix])
+def kernel_matrix(x: np.ndarray, y: np.ndarray, kind: str, gamma: float = 1.0) -> np.ndarray:
+    """Kernel values of the rows of ``x`` against those of ``y``; NaN where undefined."""
+    products = x @ y.T
     if kind == "linear":
-        return F.transform(lits, lambda l: _dot(x, l))
+        return products
+    xx, yy = np.einsum("ij,ij->i", x, x)[:, None], np.einsum("ij,ij->i", y, y)[None, :]
     if kind == "rbf":
-        return F.transform(lits, lambda l: F.exp(F.lit(-gamma) * _sqdist(x, l)))
-    norms = F.array(*[F.lit(float(np.dot(r, r))) for r in lm.matrix])
-    xx = _dot(x, x)
-    if kind == "cosine":
-        return F.transform(lits, lambda l, i: _dot(x, l) / F.sqrt(xx * norms[i]))
-    if kind == "fidelity":
-        return F.transform(lits, lambda l, i: (_dot(x, l) * _dot(x, l)) / (xx * norms[i]))
-    raise ValueError(f"unknown kernel {kind!r}")
-
-
-def _kernel_arrow(df: DataFrame, x: Column, lm: Landmarks, kind: str, gamma: float) -> Column:
-    """Pandas UDF over Arrow batches; self-contained (numpy/pandas only), so
-    executors need nothing from this package - the closure is shipped by value."""
-    bc = df.sparkSession.sparkContext.broadcast(lm.matrix)
-    kernel_kind, g = str(kind), float(gamma)
+        return np.exp(-gamma * np.maximum(xx + yy - 2.0 * products, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return products / np.sqrt(xx * yy) if kind == "cosine" else products * products / (xx * yy)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def kernel_rows(vecs: pd.Series) -> pd.Series:
-        import numpy as _np
-        import pandas as _pd
-        L = bc.value
-        if len(vecs) == 0:
-            return _pd.Series([], dtype=object)
-        X = _np.vstack(vecs.to_numpy()).astype(_np.float64)
-        G = X @ L.T
-        if kernel_kind != "linear":
-            xx = _np.einsum("ij,ij->i", X, X)[:, None]
-            ll = _np.einsum("ij,ij->i", L, L)[None, :]
-            if kernel_kind == "rbf":
-                G = _np.exp(-g * _np.maximum(xx + ll - 2.0 * G, 0.0))
-            elif kernel_kind == "cosine":
-                G = G / _np.sqrt(xx * ll)
-            else:
-                G = (G * G) / (xx * ll)
-        return _pd.Series(list(G))
-
-    return kernel_rows(x)
+
+def nystroem_map(lm: Landmarks, kind: str, gamma: float = 1.0, tol: float = 1e-9) -> np.ndarray:
+    """``K^(-1/2)`` over the eigenvalues above ``tol`` of the largest: an m x r matrix, r the numerical rank."""
+    own = kernel_matrix(lm.matrix, lm.matrix, kind, gamma)
+    if not np.isfinite(own).all():
+        raise ValueError("the kernel is undefined on a landmark")
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    keep = values > tol * max(values[-1], 0.0)
+    if not keep.any():
+        raise ValueError("the kernel of the landmarks is zero")
+    return vectors[:, keep] / np.sqrt(values[keep])
 
 
 def kernel_features(df: DataFrame, vec_col: str, lm: Landmarks, kind: str = "rbf", gamma: float = 1.0,
-                    out: str = "kernel", method: str = "auto") -> DataFrame:
-    """Add ``out`` = array of kernel values against every landmark (in landmark order)."""
+                    out: str = "kernel", project: np.ndarray | None = None) -> DataFrame:
+    """Add ``out`` = array of kernel values against every landmark (in landmark order).
+
+    With ``project`` (see :func:`nystroem_map`) the array holds the kernel
+    row times that matrix, and is all null where any kernel value is.
+    """
     if kind not in KERNELS:
         raise ValueError(f"unknown kernel {kind!r}")
-    x = F.col(vec_col).cast("array<double>")
-    if method == "auto":
-        method = "expr" if lm.matrix.size <= EXPR_MAX_VALUES else "arrow"
-    if method == "expr":
-        return df.withColumn(out, _kernel_expr(x, lm, kind, gamma))
-    if method == "arrow":
-        return df.withColumn(out, _kernel_arrow(df, x, lm, kind, gamma))
-    raise ValueError(f"unknown method {method!r}")
+    shared = df.sparkSession.sparkContext.broadcast((lm.matrix, project))
+    width = lm.matrix.shape[1]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def kernel_rows(vectors: pd.Series) -> pd.Series:
+        marks, turn = shared.value
+        blank = np.full(width, np.nan)
+        x = np.array([blank if v is None or len(v) != width else v for v in vectors], dtype=np.float64)
+        values = kernel_matrix(x.reshape(len(vectors), width), marks, kind, gamma)
+        return pd.Series(list(values if turn is None else values @ turn), dtype=object)
+
+    raw = kernel_rows(F.col(vec_col).cast("array<double>"))
+    # the UDF marks undefined values by NaN; the array itself is always there
+    return df.withColumn(out, raw).withColumn(out, F.transform(out, lambda v: F.when(~F.isnan(v), v)))
 
 
 def kernel_long(df: DataFrame, id_col: str, vec_col: str, lm: Landmarks, kind: str = "rbf", gamma: float = 1.0,
-                method: str = "auto", value: str = "k") -> DataFrame:
+                value: str = "k") -> DataFrame:
     """Long form ``(id, landmark_id, k)``: the kernel array exploded with positions."""
-    feats = kernel_features(df.select(id_col, vec_col), vec_col, lm, kind, gamma, "__cg_k", method)
+    feats = kernel_features(df.select(id_col, vec_col), vec_col, lm, kind, gamma, "__cg_k")
     id_type = df.schema[id_col].dataType
     ids = F.array(*[F.lit(i).cast(id_type) for i in lm.ids])
     # ``posexplode_outer``: the arrays always hold m >= 1 values, and the plain

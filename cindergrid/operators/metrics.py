@@ -20,19 +20,27 @@ from pyspark.sql import functions as F
 from cindergrid.operators.ordering import running_totals
 
 
+def _required(c: Column, what: str) -> Column:
+    """``c``, failing the job at the first null: a metric over fewer rows than given is no metric."""
+    return F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"null {what}: drop or fill it first")))
+
+
 def regression_metrics(df: DataFrame, y: str, yhat: str, group: Sequence[str] = (),
                        rounding: dict | None = None, half_even: bool = False) -> DataFrame:
     """MAE, RMSE, R2, MAPE (x100, denominator |y| + 1) per group.
 
     ``rounding`` e.g. ``{"MAE": 2, "RMSE": 2, "R2": 4, "MAPE": 2}`` as in
-    the reference; ``half_even`` for Python-style rounding.
+    the reference; ``half_even`` for Python-style rounding.  A null target
+    or prediction fails the job.  Of a constant target, R2 is 1 where every
+    prediction is exact and 0 otherwise.
     """
-    err = F.col(yhat).cast("double") - F.col(y).cast("double")
-    yy = F.col(y).cast("double")
-    g = df.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull()).groupBy(*group)
-    out = g.agg(F.avg(F.abs(err)).alias("MAE"), F.sqrt(F.avg(err * err)).alias("RMSE"),
-                (F.lit(1.0) - F.sum(err * err) / (F.var_pop(yy) * F.count(F.lit(1)))).alias("R2"),
-                (F.avg(F.abs(err) / (F.abs(yy) + 1)) * 100).alias("MAPE"))
+    yy = _required(F.col(y).cast("double"), y)
+    err = _required(F.col(yhat).cast("double"), yhat) - yy
+    spread = F.var_pop(yy) * F.count(F.lit(1))
+    missed = F.sum(err * err)
+    r2 = F.when(spread > 0, F.lit(1.0) - F.try_divide(missed, spread)).otherwise((missed == 0).cast("double"))
+    out = df.groupBy(*group).agg(F.avg(F.abs(err)).alias("MAE"), F.sqrt(F.avg(err * err)).alias("RMSE"), r2.alias("R2"),
+                                 (F.avg(F.abs(err) / (F.abs(yy) + 1)) * 100).alias("MAPE"))
     if rounding:
         fn = F.bround if half_even else F.round
         out = out.select(*group, *[fn(c, rounding[c]).alias(c) if c in rounding else F.col(c)
@@ -56,17 +64,17 @@ def score_curve(df: DataFrame, label: str, score: str, group: Sequence[str] = ()
                 pred: str | None = None) -> DataFrame:
     """Distinct scores with positives/negatives and running totals from the top.
 
+    A null label or score fails the job.
     Columns: group..., score, pos, neg, cum_pos, cum_neg (inclusive); with
     ``pred`` also the per-score confusion counts tp, fp, fn.
     """
-    y = F.col(label).cast("double")
+    y = _required(F.col(label).cast("double"), label)
     extra = []
     if pred is not None:
         yy, pp = F.col(label) == 1, F.col(pred) == 1
         extra = [F.count_if(yy & pp).alias("tp"), F.count_if(~yy & pp).alias("fp"),
                  F.count_if(yy & ~pp).alias("fn")]
-    per_score = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()) \
-        .groupBy(*group, F.col(score).cast("double").alias("score")) \
+    per_score = df.groupBy(*group, _required(F.col(score).cast("double"), score).alias("score")) \
         .agg(F.sum(y).alias("pos"), F.sum(F.lit(1.0) - y).alias("neg"), *extra)
     return running_totals(per_score, list(group), [F.desc("score")], ["pos", "neg"], prefix="cum_")
 
@@ -101,11 +109,13 @@ def ranking_metrics(df: DataFrame, label: str, score: str, group: Sequence[str]
 
 
 def weighted_log_loss(df: DataFrame, label: str, probs: str, weights: dict | str | None = None,
-                      group: Sequence[str] = ()) -> DataFrame:
+                      group: Sequence[str] = (), nulls: str | None = None) -> DataFrame:
     """Mean over rows of w(true class) * -log2(max(p_true, 1e-10)).
 
     ``probs`` is an array<double> of class probabilities; ``weights`` a
-    ``{class: weight}`` dict, a weight column, or None (all 1).
+    ``{class: weight}`` dict, a weight column, or None (all 1).  Rows whose
+    label or probability is null have no loss; ``nulls`` names a column that
+    counts them.
     """
     p_true = F.element_at(F.col(probs), F.col(label).cast("int") + 1)
     if isinstance(weights, dict):
@@ -118,8 +128,10 @@ def weighted_log_loss(df: DataFrame, label: str, probs: str, weights: dict | str
         w = F.col(weights)
     else:
         w = F.lit(1.0)
-    loss = w * -F.log2(F.greatest(p_true, F.lit(1e-10)))
-    return df.groupBy(*group).agg(F.avg(loss).alias("log_loss"))
+    # ``greatest`` would skip a null probability and score it as the floor
+    loss = w * -F.log2(F.when(p_true < 1e-10, F.lit(1e-10)).otherwise(p_true))
+    counts = [F.count_if(loss.isNull()).alias(nulls)] if nulls else []
+    return df.groupBy(*group).agg(F.avg(loss).alias("log_loss"), *counts)
 
 
 def loss_gradient(probs: str, label: str, n_classes: int, weights: dict | None = None) -> Column:

@@ -16,13 +16,11 @@ from pyspark.sql import functions as F
 
 from cindergrid.operators.quantiles import FEATURE, VALUE, column_quantiles, quantiles_long, unpivot_numeric
 
-MAX_CLASSES = 10_000  # class tables are collected to the driver; guard their size
-
 
 # ----------------------------------------------------------------- imputation
-def fit_medians(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict:
+def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
     """Exact median per column (all-null column -> None)."""
-    return column_quantiles(df, cols, 0.5, method)
+    return column_quantiles(df, cols, 0.5)
 
 
 def apply_fill(df: DataFrame, values: dict) -> DataFrame:
@@ -31,15 +29,15 @@ def apply_fill(df: DataFrame, values: dict) -> DataFrame:
     return df.fillna(usable) if usable else df
 
 
-def impute_train_median(train: DataFrame, test: DataFrame, cols: Sequence[str],
-                        method: str = "auto") -> tuple[DataFrame, DataFrame, dict]:
+def impute_train_median(train: DataFrame, test: DataFrame,
+                        cols: Sequence[str]) -> tuple[DataFrame, DataFrame, dict]:
     """A3: medians from the training rows (taken before any target-null drop,
     as the reference does), applied to both frames."""
-    med = fit_medians(train, cols, method)
+    med = fit_medians(train, cols)
     return apply_fill(train, med), apply_fill(test, med), med
 
 
-def impute_all_rows(df: DataFrame, cols: Sequence[str], method: str = "auto") -> tuple[DataFrame, list[str]]:
+def impute_all_rows(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """A4 (``scope="all"``): medians over every row, only for columns that
     contain nulls; returns the filled column list.  Uses test rows too - the
     reference's leak, kept as an explicit option."""
@@ -47,26 +45,33 @@ def impute_all_rows(df: DataFrame, cols: Sequence[str], method: str = "auto") ->
     with_nulls = [c for c in cols if nulls[c] > 0]
     if not with_nulls:
         return df, []
-    return apply_fill(df, fit_medians(df, with_nulls, method)), with_nulls
+    return apply_fill(df, fit_medians(df, with_nulls)), with_nulls
 
 
 # -------------------------------------------------------------- class weights
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per non-null class (bounded: at most ``MAX_CLASSES`` classes)."""
-    rows = df.filter(F.col(label).isNotNull()).groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
+    """Rows per non-null class, one small row per class of a model's label."""
+    rows = df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()
     return {r[label]: int(r["count"]) for r in rows}
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight",
-                     counts: dict | None = None) -> tuple[DataFrame, dict]:
-    """``n / (k * n_class)`` per row (sklearn ``class_weight='balanced'``)."""
-    counts = counts if counts is not None else class_counts(df, label)
+def class_weights(counts: dict) -> dict:
+    """A20 as numbers: ``n / (k * n_class)`` per class."""
     n, k = sum(counts.values()), len(counts)
-    weights = {c: n / (k * m) for c, m in counts.items()}
-    m = F.create_map(*[F.lit(x) for x in chain.from_iterable(weights.items())])
-    return df.withColumn(out, F.try_element_at(m, F.col(label)).cast("double")), weights
+    return {c: n / (k * m) for c, m in counts.items()}
+
+
+def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """``n / (k * n_class)`` per row (sklearn ``class_weight='balanced'``).
+
+    A join with the table of class counts, so any number of classes will do.
+    Rows with a null class get a null weight.
+    """
+    counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("__cg_class")).agg(
+        F.count(F.lit(1)).alias("__cg_m"))
+    total = counts.agg(F.sum("__cg_m") / F.count(F.lit(1))).scalar()
+    weights = counts.select("__cg_class", (total / F.col("__cg_m")).cast("double").alias(out))
+    return df.join(weights, F.col(label) == F.col("__cg_class"), "left").drop("__cg_class")
 
 
 # ----------------------------------------------------------------- standardise

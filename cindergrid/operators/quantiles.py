@@ -12,9 +12,8 @@ a single task and grows with the number of distinct values.  The
 3. for each wanted position ``h = (n - 1) * p`` keep the two values that
    cover ``floor(h)`` and ``ceil(h)`` and interpolate.
 
-``percentile`` (built-in exact) and ``approx`` (``percentile_approx``) are
-offered for small inputs and for speed; ``auto`` picks the built-in exact
-aggregate over the value-count table when the distinct values are few.
+There is one path for every size, so a result never depends on how many
+values there are.
 """
 
 from __future__ import annotations
@@ -43,12 +42,6 @@ def _prob_name(p: float) -> str:
     return "q" + f"{p:.6f}".rstrip("0").rstrip(".").replace(".", "_")
 
 
-# Below this many distinct (column, value) pairs the exact built-in
-# ``percentile`` over the value-count table is used (its buffer holds one
-# entry per distinct value, so the bound is on that buffer).
-AUTO_MAX_DISTINCT = 200_000
-
-
 def value_counts_long(df: DataFrame, cols: Sequence[str], materialized: bool = True) -> DataFrame:
     """``(feature, value, cnt)``: one scan of the source, partial-aggregated.
 
@@ -59,23 +52,9 @@ def value_counts_long(df: DataFrame, cols: Sequence[str], materialized: bool = T
     return materialize(counts) if materialized else counts
 
 
-def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], method: str = "auto",
-                          auto_max_distinct: int = AUTO_MAX_DISTINCT) -> DataFrame:
-    """Exact quantiles per feature from a ``(feature, value, cnt)`` table.
-
-    ``auto``: when the table is small, ``percentile(value, p, cnt)`` (one
-    bounded buffer per feature); otherwise the distributed selection.
-    """
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles per feature from a ``(feature, value, cnt)`` table, by distributed selection."""
     names = [_prob_name(p) for p in probs]
-    if method == "auto":
-        small = counts.limit(auto_max_distinct + 1).count() <= auto_max_distinct
-        method = "percentile" if small else "distributed"
-    if method == "percentile":
-        return counts.groupBy(FEATURE).agg(
-            F.sum("cnt").alias("n"),
-            *[F.percentile(F.col(VALUE), F.lit(float(p)), F.col("cnt")).alias(nm) for p, nm in zip(probs, names)])
-    if method != "distributed":
-        raise ValueError(f"unknown method {method!r}")
     sizes = counts.groupBy(FEATURE).agg(F.sum("cnt").alias("n"))          # one row per column
     cum = running_totals(counts, [FEATURE], [VALUE], ["cnt"], prefix="cum_")
     # ``sizes`` has one row per requested column: a proven bound, so broadcast.
@@ -98,30 +77,17 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], method: str
     return got.select(*out)
 
 
-def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto",
-                   accuracy: int = 10000, auto_max_distinct: int = AUTO_MAX_DISTINCT) -> DataFrame:
-    """One row per feature: ``feature, n, q0_25, q0_5, ...`` (exact unless ``approx``).
+def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row per feature that has values: ``feature, n, q0_25, q0_5, ...``, exact.
 
-    ``auto`` / ``distributed`` read the source once into the value-count
-    table; ``percentile`` and ``approx`` are single built-in aggregates over
-    the raw values.
+    The source is read once into the value-count table.
     """
-    names = [_prob_name(p) for p in probs]
-    if method in ("percentile", "approx"):
-        long = unpivot_numeric(df, cols)
-        if method == "percentile":
-            aggs = [F.percentile(VALUE, p).alias(nm) for p, nm in zip(probs, names)]
-        else:
-            aggs = [F.percentile_approx(VALUE, p, accuracy).cast("double").alias(nm) for p, nm in zip(probs, names)]
-        return long.groupBy(FEATURE).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    if method not in ("auto", "distributed"):
-        raise ValueError(f"unknown method {method!r}")
-    return quantiles_from_counts(value_counts_long(df, cols), probs, method, auto_max_distinct)
-
-
-def column_quantiles(df: DataFrame, cols: Sequence[str], p: float = 0.5, method: str = "auto") -> dict:
+    return quantiles_from_counts(value_counts_long(df, cols), probs)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], p: float = 0.5) -> dict:
     """Driver-side ``{column: quantile}`` (one small row per column); all-null columns -> None."""
     nm = _prob_name(p)
-    rows = quantiles_long(df, cols, [p], method).select(FEATURE, nm).collect()
+    rows = quantiles_long(df, cols, [p]).select(FEATURE, nm).collect()
     got = {r[FEATURE]: r[nm] for r in rows}
     return {c: got.get(c) for c in cols}

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.operators.quantiles import FEATURE, VALUE, quantiles_from_counts, unpivot_numeric, value_counts_long
+from cindergrid.operators.quantiles import FEATURE, VALUE, quantiles_long, unpivot_numeric
 
 
 def value_counts(df: DataFrame, c: str, name: str = "n_rows") -> DataFrame:
@@ -30,24 +30,26 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def describe_exact(df: DataFrame, cols: Sequence[str], quantile_method: str = "auto") -> DataFrame:
+def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per column (long form).
 
-    One scan of the source into the materialised ``(feature, value, cnt)``
-    table; moments, extremes and quartiles all come from that table.
+    Count, moments and extremes are one partial aggregate with no value
+    shuffled; only the quartiles need the value counts.  ``std`` of a single
+    value is null, as in pandas; a column without values has count 0 and nulls.
     ``DataFrame.summary()`` uses approximate percentiles, so it is not used.
     """
-    counts = value_counts_long(df, cols)
-    v, c = F.col(VALUE), F.col("cnt")
-    first = counts.groupBy(FEATURE).agg(F.sum(c).alias("count"), (F.sum(v * c) / F.sum(c)).alias("mean"),
-                                        F.min(v).alias("min"), F.max(v).alias("max"))
-    # one row per column: a proven bound
-    spread = counts.join(F.broadcast(first.select(FEATURE, "mean", "count")), FEATURE).groupBy(FEATURE).agg(
-        F.sqrt(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))) / (F.max("count") - 1)).alias("std"))
-    q = quantiles_from_counts(counts, [0.25, 0.5, 0.75], quantile_method) \
-        .select(FEATURE, F.col("q0_25").alias("p25"), F.col("q0_5").alias("p50"), F.col("q0_75").alias("p75"))
-    out = first.join(spread, FEATURE, "left").join(q, FEATURE, "left")
-    return out.select(FEATURE, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    parts = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    value = {c: F.col(c).cast("double") for c in cols}
+    wide = df.agg(*[F.count(value[c]).alias(f"count_{i}") for i, c in enumerate(cols)],
+                  *[fn(value[c]).alias(f"{name}_{i}") for i, c in enumerate(cols) for name, fn in parts.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias(FEATURE), F.col(f"count_{i}").alias("count"),
+                                        *[F.col(f"{name}_{i}").alias(name) for name in parts])
+                               for i, c in enumerate(cols)])).alias("r")
+    q = quantiles_long(df, cols, [0.25, 0.5, 0.75])
+    # one row per column on either side
+    out = wide.select(rows).select("r.*").join(F.broadcast(q), FEATURE, "left")
+    return out.select(FEATURE, "count", "mean", "std", "min", F.col("q0_25").alias("p25"), F.col("q0_5").alias("p50"),
+                      F.col("q0_75").alias("p75"), "max")
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None, top: int | None = 20) -> DataFrame:

@@ -19,16 +19,16 @@ RBF_GAMMA = 0.5
 def _kernel_query(kind: str):
     def run(spark, sf):
         emb = table(spark, sf, "embeddings")
-        lm = kernels.collect_landmarks(emb, "vec_id", "embedding", order=["vec_id"], m=N_LANDMARKS)
+        lm = kernels.collect_landmarks(emb, "vec_id", "embedding", N_LANDMARKS)
         k = kernels.kernel_long(emb, "vec_id", "embedding", lm, kind, gamma=RBF_GAMMA)
         return k.select("vec_id", "landmark_id", F.round("k", 6).alias("k"))
-    run.__doc__ = f"J10: {kind} kernel of every embedding against the first {N_LANDMARKS} (by id)."
+    run.__doc__ = f"J10: {kind} kernel of every embedding against {N_LANDMARKS} of them, chosen by seeded md5."
     return run
 
 
 KERNEL_SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-lm AS (SELECT vec_id AS landmark_id, x AS l FROM e ORDER BY vec_id LIMIT 20)
+lm AS (SELECT vec_id AS landmark_id, x AS l FROM e ORDER BY md5('42#' || vec_id), vec_id LIMIT 20)
 SELECT e.vec_id, lm.landmark_id, round({expr}, 6) AS k FROM e CROSS JOIN lm"""
 
 KERNEL_EXPRS = {
@@ -47,8 +47,8 @@ for _kind, _expr in KERNEL_EXPRS.items():
 def kernel_fidelity_arrow(spark, sf):
     """J10 through the Arrow path (broadcast landmark matrix, one matmul per batch)."""
     emb = table(spark, sf, "embeddings")
-    lm = kernels.collect_landmarks(emb, "vec_id", "embedding", order=["vec_id"], m=N_LANDMARKS)
-    k = kernels.kernel_long(emb, "vec_id", "embedding", lm, "fidelity", method="arrow")
+    lm = kernels.collect_landmarks(emb, "vec_id", "embedding", N_LANDMARKS)
+    k = kernels.kernel_long(emb, "vec_id", "embedding", lm, "fidelity")
     return k.select("vec_id", "landmark_id", F.round("k", 6).alias("k"))
 
 

@@ -90,8 +90,7 @@ FROM labels""")
 def balanced_weights(spark, sf):
     """N / (k * n_class) per row."""
     lab = table(spark, sf, "labels").select("doc_id", "toxic")
-    w, _ = prep.balanced_weights(lab, "toxic")
-    return w.select("doc_id", "toxic", F.round("weight", 6).alias("weight"))
+    return prep.balanced_weights(lab, "toxic").select("doc_id", "toxic", F.round("weight", 6).alias("weight"))
 
 
 # ------------------------------------------------------------------- sampling
@@ -447,7 +446,7 @@ def weighted_log_loss(spark, sf):
     s = si.scored_labels(spark, sf)
     p1 = F.col("n_chars") / (F.col("n_chars") + 2000.0)
     s = s.withColumn("probs", F.array(F.lit(1.0) - p1, p1))
-    _, weights = prep.balanced_weights(s, "quality")
+    weights = prep.class_weights(prep.class_counts(s, "quality"))
     out = metrics.weighted_log_loss(s, "quality", "probs", weights)
     return out.select(F.round("log_loss", 6).alias("log_loss"))
 
@@ -462,6 +461,6 @@ def loss_gradient(spark, sf):
     s = si.scored_labels(spark, sf)
     p1 = F.col("n_chars") / (F.col("n_chars") + 2000.0)
     s = s.withColumn("probs", F.array(F.lit(1.0) - p1, p1))
-    _, weights = prep.balanced_weights(s, "quality")
+    weights = prep.class_weights(prep.class_counts(s, "quality"))
     g = s.select("doc_id", metrics.loss_gradient("probs", "quality", 2, weights).alias("g"))
     return g.select("doc_id", F.round(F.col("g")[0], 6).alias("grad_0"), F.round(F.col("g")[1], 6).alias("grad_1"))
