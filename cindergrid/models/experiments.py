@@ -6,9 +6,11 @@ parameters and one-row results.
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ def _predictions(model, df: DataFrame, keep: Sequence[str], name: str) -> DataFr
 def run_experiment(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, experiment: str,
                    keep: Sequence[str] = (), naive_col: str | None = "premium_lag1",
                    models: Sequence[str] = ("ridge", "forest", "boosted"), forest_trees: int = 200,
-                   forest_depth: int = 12, gbt_iters: int = 200, alpha: float = 1.0,
+                   forest_depth: int = 30, gbt_iters: int = 200, alpha: float = 1.0,
                    rounding: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """M9: impute with train medians (taken before the null-target drop), drop
     null targets, naive baseline + Spark ML models, one metrics aggregate.
@@ -72,109 +74,171 @@ def run_experiment(train: DataFrame, test: DataFrame, features: Sequence[str], t
         tr_v.unpersist()
     allp = report.stack_frames(preds).withColumn("experiment", F.lit(experiment))
     met = metrics.regression_metrics(allp, "y", "yhat", ["experiment", "model"],
-                                     rounding=dict(rounding or {"MAE": 2, "RMSE": 2, "R2": 4, "MAPE": 2}))
+                                     rounding=dict(rounding or {"MAE": 2, "RMSE": 2, "R2": 4, "MAPE": 2}), half_even=True)
     return met, allp
 
 
 def experiment_matrix(train: DataFrame, test: DataFrame, feature_sets: Mapping[str, Sequence[str]], target: str,
-                      **kw) -> DataFrame:
-    """The same run over several feature sets; metric rows stacked."""
-    frames = []
-    for name, feats in feature_sets.items():
+                      parallelism: int = 4, **kw) -> DataFrame:
+    """The same run over several feature sets; metric rows stacked.
+
+    Up to ``parallelism`` sets are fitted at a time: a boosted fit is a long
+    chain of short jobs, which leave executors idle on their own.
+    """
+    def one(item):
+        name, feats = item
         available = [c for c in feats if c in train.columns]  # P2
-        met, _ = run_experiment(train, test, available, target, name, **kw)
-        frames.append(met)
-    return report.stack_frames(frames)
+        return run_experiment(train, test, available, target, name, **kw)[0]
+
+    with ThreadPool(max(1, min(parallelism, len(feature_sets)))) as pool:
+        return report.stack_frames(pool.map(inheritable_thread_target(train.sparkSession)(one), feature_sets.items()))
 
 
 # ------------------------------------------------------------- classifiers
-def class_metrics(pred: DataFrame, label: str, group: Sequence[str] = ()) -> DataFrame:
+def class_metrics(pred: DataFrame, label: str, group: Sequence[str] = (), prob: str = "prob",
+                  predicted: str = "pred") -> DataFrame:
     """M11 metric set: ROC-AUC, PR-AUC (average precision), F1, precision, recall - one aggregate."""
-    return metrics.ranking_metrics(pred, label, "prob", group, pred="pred")
+    return metrics.ranking_metrics(pred, label, prob, group, pred=predicted)
 
 
-def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features: Sequence[str] | str, label: str,
-                        keep: Sequence[str] = (), name: str = "model") -> tuple[DataFrame, DataFrame, float]:
-    """Fit, predict class and P(class 1) on validation; metrics; fit seconds.
+def weighted(df: DataFrame, label: str) -> tuple[DataFrame, float]:
+    """Balanced weight column and the weight total, which is the number of rows with a class."""
+    return prep.balanced_weights(df, label), float(df.filter(F.col(label).isNotNull()).count())
+
 
-    The assembled training frame is persisted for the fit: iterative
-    solvers pass over it once per iteration, and without it every pass
-    re-derives the features (kernel columns included).
+@dataclass
+class Scorer:
+    """A fitted classifier: ``features`` turns a frame into one with the vector column, ``model`` scores it."""
+
+    name: str
+    model: object
+    features: Callable[[DataFrame, str], DataFrame]
+    columns: list[str]
+    fit_seconds: float
+
+    def score(self, df: DataFrame, prob: str = "prob", pred: str = "pred") -> DataFrame:
+        """``df`` plus P(class 1) and the class; several scorers can follow one another on one frame."""
+        named = {"featuresCol": "__cg_f", "probabilityCol": "__cg_p", "predictionCol": "__cg_y",
+                 "rawPredictionCol": "__cg_r"}
+        model = self.model.copy({self.model.getParam(k): v for k, v in named.items()})
+        out = model.transform(self.features(df, "__cg_f"))
+        return out.withColumn(prob, vector_to_array("__cg_p")[1]).withColumn(pred, F.col("__cg_y").cast("int")) \
+            .drop(*named.values())
+
+
+def fit_scorer(make: Callable[[float], object], train: DataFrame, label: str,
+               features: Callable[[DataFrame, str], DataFrame], columns: Sequence[str], name: str) -> Scorer:
+    """Fit ``make(sum of weights)`` with balanced weights.
+
+    Only label, weight and vector are persisted for the fit: iterative
+    solvers pass over them once per iteration.
     """
-    tr = assemble(train, features).persist(StorageLevel.MEMORY_AND_DISK)
+    slim, total = weighted(features(train, "features").select(label, "features"), label)
+    tr = slim.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        tr.count()
         t0 = time.time()
-        model = estimator.fit(tr)
-        fit_s = time.time() - t0
+        model = make(total).fit(tr)
+        seconds = time.time() - t0
     finally:
         tr.unpersist()
-    pred = model.transform(assemble(valid, features)).select(
-        *keep, F.col(label), F.col("prediction").cast("int").alias("pred"),
-        vector_to_array("probability")[1].alias("prob"))
-    met = class_metrics(pred, label).withColumn("model", F.lit(name))
-    return met, pred, fit_s
+    return Scorer(name, model, features, list(columns), seconds)
 
 
-def weighted(df: DataFrame, label: str) -> tuple[DataFrame, float]:
-    """Balanced weight column and the weight total (one class-count job)."""
-    counts = prep.class_counts(df, label)
-    w, weights = prep.balanced_weights(df, label, counts=counts)
-    return w, float(sum(weights[c] * n for c, n in counts.items()))
+def evaluate(scorer: Scorer, valid: DataFrame, label: str, keep: Sequence[str] = ()
+             ) -> tuple[DataFrame, DataFrame, float]:
+    """Metrics (one row, with the fit's seconds), predictions and the fit's seconds."""
+    pred = scorer.score(valid).select(*keep, F.col(label), "pred", "prob")
+    met = class_metrics(pred, label).withColumn("model", F.lit(scorer.name)) \
+        .withColumn("train_runtime_s", F.lit(round(scorer.fit_seconds, 4)))
+    return met, pred, scorer.fit_seconds
+
+
+def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
+                        keep: Sequence[str] = (), name: str = "model") -> tuple[DataFrame, DataFrame, float]:
+    """M11 for an estimator on plain feature columns."""
+    return evaluate(fit_scorer(lambda _: estimator, train, label, _columns(features), features, name), valid, label, keep)
+
+
+def _columns(features: Sequence[str]) -> Callable[[DataFrame, str], DataFrame]:
+    return lambda df, out: assemble(df, features, out)
+
+
+def _scaled(features: Sequence[str], params: Mapping[str, tuple[float, float]]):
+    """A21 as an array expression, which leaves the columns themselves alone."""
+    return F.array(*[(F.col(c).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1]) for c in features])
+
+
+def fit_logistic(train: DataFrame, features: Sequence[str], label: str, max_iter: int = 1000) -> Scorer:
+    """M4 on A21-scaled features with balanced weights."""
+    vector = _scaled(features, prep.fit_scaler(train, features))
+    return fit_scorer(lambda total: est.logistic(label, total, max_iter=max_iter), train, label,
+                      lambda df, out: df.withColumn(out, array_to_vector(vector)), features, "Logistic Regression")
 
 
 def logistic_classifier(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
                         keep: Sequence[str] = (), max_iter: int = 1000):
-    """M4 on A21-scaled features with balanced weights."""
-    params = prep.fit_scaler(train, features)
-    tr, sw = weighted(prep.apply_scaler(train, params), label)
-    va = prep.apply_scaler(valid, params)
-    return evaluate_classifier(est.logistic(label, sw, max_iter=max_iter), tr, va, features, label, keep,
-                               "Logistic Regression")
+    """M4 fitted and evaluated."""
+    return evaluate(fit_logistic(train, features, label, max_iter), valid, label, keep)
 
 
-def landmark_classifier(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, key: Sequence[str],
-                        kind: str = "fidelity", n_landmarks: int = 800, k_features: int | None = None,
-                        gamma: float | None = None, keep: Sequence[str] = (), seed: int = 42,
-                        max_iter: int = 200, tol: float = 1e-6, name: str | None = None):
-    """M7 / M8 re-aimed: stratified sample of the training rows -> MI feature
-    selection (k) -> scaling fitted on the sample -> kernel features against
-    the sample as landmarks -> balanced logistic regression -> validation metrics.
-
-    Every training and validation row is scored (cost rows x landmarks); only
-    the landmark sample (<= ``n_landmarks`` rows) reaches the driver.
+def draw_landmarks(train: DataFrame, label: str, key: Sequence[str], n: int = 800, seed: int = 42) -> DataFrame:
+    """The stratified sample of ``n`` training rows that landmark classifiers use, written once."""
+    return materialize(sampling.stratified_sample(train, label, key, n, seed))
+
+
+def fit_landmarks(train: DataFrame, features: Sequence[str], label: str, key: Sequence[str], kind: str = "fidelity",
+                  n_landmarks: int = 800, k_features: int | None = None, gamma: float | None = None, seed: int = 42,
+                  max_iter: int = 200, tol: float = 1e-6, name: str | None = None, sample: DataFrame | None = None,
+                  scale_on: DataFrame | None = None) -> Scorer:
+    """M7 / M8 re-aimed: stratified sample -> MI feature selection (k) -> scaling ->
+    whitened kernel features against the sample -> balanced logistic regression.
+
+    ``scale_on`` is the frame that the scaler is fitted on: the sample by
+    default, as the kernel runs do; the RBF baseline passes all training
+    rows.  ``sample`` shares one sample among several fits.  Every training
+    row is fitted on (cost rows x landmarks); only the sample reaches the
+    driver, and its kernel matrix (``n_landmarks`` squared) is whitened
+    there.  A row whose kernel is undefined has features 0.
     """
-    # The sample is bounded by ``n_landmarks`` rows and feeds four jobs
-    # (MI, scaler, landmarks, weights): write it once.
-    sample = materialize(sampling.stratified_sample(train, label, key, n_landmarks, seed))
+    sample = sample if sample is not None else draw_landmarks(train, label, key, n_landmarks, seed)
     feats = list(features)
     if k_features and k_features < len(feats):
         mi = prep.mutual_information(sample, feats, label)
         feats = [r["feature"] for r in prep.select_k_best(mi, k_features).collect()]
-    params = prep.fit_scaler(sample, feats)
-    vec = kernels.vector_from_columns(feats)
-    s_tr = prep.apply_scaler(train, params).withColumn("__cg_x", vec)
-    s_lm = prep.apply_scaler(sample, params).withColumn("__cg_x", vec)
-    s_va = prep.apply_scaler(valid, params).withColumn("__cg_x", vec)
-    lm = kernels.collect_landmarks(s_lm.withColumn("__cg_id", F.concat_ws("#", *[F.col(k).cast("string") for k in key])),
-                                   "__cg_id", "__cg_x", order=["__cg_id"])
+    vector = _scaled(feats, prep.fit_scaler(sample if scale_on is None else scale_on, feats))
+    ident = F.concat_ws("#", *[F.col(k).cast("string") for k in key])
+    marks = kernels.collect_landmarks(sample.select(ident.alias("id"), vector.alias("x")), "id", "x", n_landmarks,
+                                      order=["id"])
     g = gamma if gamma is not None else 1.0 / max(len(feats), 1)
+    turn = kernels.nystroem_map(marks, kind, g)
+
+    def whitened(df: DataFrame, out: str) -> DataFrame:
+        made = kernels.kernel_features(df.withColumn("__cg_x", vector), "__cg_x", marks, kind, g, "__cg_kv", turn)
+        filled = F.transform("__cg_kv", lambda v: F.coalesce(v, F.lit(0.0)))
+        return made.withColumn(out, array_to_vector(filled)).drop("__cg_x", "__cg_kv")
 
-    def kfeat(df):
-        return kernels.kernel_features(df, "__cg_x", lm, kind, g, "__cg_kv")
+    return fit_scorer(lambda total: est.logistic(label, total, max_iter=max_iter, tol=tol), train, label, whitened,
+                      feats, name or f"Kernel LR ({kind}, {len(feats)}f)")
 
-    tr, sw = weighted(kfeat(s_tr), label)
-    met, pred, fit_s = evaluate_classifier(est.logistic(label, sw, max_iter=max_iter, tol=tol), tr, kfeat(s_va),
-                                           "__cg_kv", label, keep, name or f"Kernel LR ({kind}, {len(feats)}f)")
-    return met.withColumn("n_features", F.lit(len(feats))).withColumn("features", F.lit("; ".join(feats))), pred, fit_s
+
+def landmark_classifier(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, key: Sequence[str],
+                        keep: Sequence[str] = (), **kw):
+    """M7 / M8 fitted and evaluated; ``kw`` as in :func:`fit_landmarks`."""
+    scorer = fit_landmarks(train, features, label, key, **kw)
+    met, pred, seconds = evaluate(scorer, valid, label, keep)
+    return met.withColumn("n_features", F.lit(len(scorer.columns))) \
+        .withColumn("features", F.lit("; ".join(scorer.columns))), pred, seconds
 
 
 def ablation(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, key: Sequence[str],
-             settings: Sequence[tuple[int, str]], **kw) -> DataFrame:
-    """The landmark classifier under several (feature count, kernel) settings."""
+             settings: Sequence[tuple[int, str]], n_landmarks: int = 800, seed: int = 42, **kw) -> DataFrame:
+    """The landmark classifier under several (feature count, kernel) settings, on one sample."""
+    sample = draw_landmarks(train, label, key, n_landmarks, seed)
     frames = []
     for k, kind in settings:
         met, _, _ = landmark_classifier(train, valid, features, label, key, kind=kind, k_features=k,
-                                        name=f"{kind}-{k}f", **kw)
+                                        n_landmarks=n_landmarks, sample=sample, name=f"{kind}-{k}f", **kw)
         frames.append(met)
     return report.stack_frames(frames)
 
@@ -182,12 +246,10 @@ def ablation(train: DataFrame, valid: DataFrame, features: Sequence[str], label:
 def score_generator(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
                     entity: Sequence[str], key: Sequence[str], n_landmarks: int = 800,
                     k_features: int | None = None, kind: str = "fidelity") -> DataFrame:
-    """M12 + K4 shape: score every validation entity with two models,
+    """M12 + K4 shape: score every validation entity with two models in one pass,
     ``(entity..., kernel_risk_prob, classical_risk_prob)`` rounded to 6, sorted."""
-    ent = list(entity)
-    _, p_lr, _ = logistic_classifier(train, valid, features, label, keep=ent)
-    _, p_k, _ = landmark_classifier(train, valid, features, label, key, kind=kind, n_landmarks=n_landmarks,
-                                    k_features=k_features, keep=ent)
-    a = p_lr.select(*ent, F.round("prob", 6).alias("classical_risk_prob"))
-    b = p_k.select(*ent, F.round("prob", 6).alias("kernel_risk_prob"))
-    return b.join(a, ent, "inner").select(*ent, "kernel_risk_prob", "classical_risk_prob").orderBy(*ent)
+    plain = fit_logistic(train, features, label)
+    kernel = fit_landmarks(train, features, label, key, kind=kind, n_landmarks=n_landmarks, k_features=k_features)
+    both = kernel.score(plain.score(valid, "classical_risk_prob", "__cg_a"), "kernel_risk_prob", "__cg_b")
+    return both.select(*entity, *[F.round(c, 6).alias(c) for c in ("kernel_risk_prob", "classical_risk_prob")]) \
+        .orderBy(*entity)

@@ -306,6 +306,5 @@ def report_text(spark, sf):
 @query("run_log")
 def run_log_query(spark, sf):
     """K5: one run document whose ``models`` map holds per-language ranking metrics."""
-    s = si.scored_labels(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    m = metrics.ranking_metrics(s, "quality", "n_chars", ["lang"])
+    m = metrics.ranking_metrics(si.scored_labels(spark, sf), "quality", "n_chars", ["lang"])
     return report.run_log(m, "lang", "length_ranking_by_language", 42, {"source_table": "labels"})

@@ -432,8 +432,7 @@ auc AS (SELECT lang, round(sum(neg * (cp - pos + pos / 2)) / (sum(pos) * sum(neg
 SELECT * FROM auc""")
 def ranking_by_group(spark, sf):
     """A18 + A19 per group (document language)."""
-    s = si.scored_labels(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    m = metrics.ranking_metrics(s, "quality", "n_chars", ["lang"])
+    m = metrics.ranking_metrics(si.scored_labels(spark, sf), "quality", "n_chars", ["lang"])
     return m.select("lang", *_r(["roc_auc", "average_precision"], 6))
 
 

@@ -105,5 +105,5 @@ def nation_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation-set stand-in: label rows with the document length as score."""
     lab = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
     return lab.join(docs, "doc_id", "inner")
