@@ -6,13 +6,18 @@ the driver-table stand-ins live in ``driver_*`` modules.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.functions.scalars import abbreviate_list, coerce_int, leading_code, lookup, year_from_text
+from cindergrid.models import estimators as est
+from cindergrid.models import experiments as ex
 from cindergrid.operators import clean, joins, panel, prep, report, stats
 from cindergrid.plans import presets as P
 from cindergrid.plans.wildfire import HistoryPanelSpec, history_panel, history_panel_single_scan
+from cindergrid.session import materialize
 from cindergrid.sources import readers, writers
 
 
@@ -100,6 +105,91 @@ def clean_data(raw: DataFrame, features: list[str], risk: DataFrame | None = Non
     return train, test, filled
 
 
+# ---------------------------------------------------- runs from file to result
+def premium_experiments(raw: DataFrame, risks: Mapping[str, DataFrame] | None = None, out_dir: str | None = None,
+                        feature_sets: Mapping[str, list[str]] | None = None, **kw) -> dict[str, DataFrame]:
+    """Experiments A-D from the raw premium panel: W2 -> J4 per risk column -> P12 -> P2 -> M9 -> K1.
+
+    ``risks`` maps a risk column to its ``(ZIP, wildfire_risk_prob)`` scores.
+    Returns the metric rows of each set; with ``out_dir`` each is also
+    written to ``experiment_<code>_metrics``, the folders W5 reads.
+    """
+    df = premium_panel(raw)
+    for column, scores in (risks or {}).items():
+        adapted = scores.select(coerce_int("ZIP").alias("ZIP"), F.col("wildfire_risk_prob").alias(column))
+        df = joins.merge_score(df, adapted, ["ZIP"], column)
+    train, test = clean.train_test(materialize(df), "Year", P.PREMIUM_TRAIN_YEARS, [P.PREMIUM_TEST_YEAR])
+    found = {}
+    for name, wanted in (feature_sets or P.FEATURE_SETS).items():
+        rows, _ = ex.run_experiment(train, test, [c for c in wanted if c in df.columns], P.PREMIUM_TARGET, name, **kw)
+        rows = rows.select(F.col("experiment").alias("Experiment"), F.col("model").alias("Model"), "MAE", "RMSE", "R2", "MAPE")
+        if out_dir:
+            writers.save_metrics(rows, f"{out_dir}/experiment_{name[0]}_metrics")
+        found[name] = rows
+    return found
+
+
+def classical_run(dataset: DataFrame, out: str | None = None, features: list[str] | None = None, label: str = "fire_event",
+                  key: list[str] | None = None, source: str = "wildfire_weather.csv", forest_trees: int = 300,
+                  boost_rounds: int = 300, n_landmarks: int = 800, seed: int = 42) -> DataFrame:
+    """The classical baselines over W0's panel: M4, M5, M6 and M7, and their full run log (K5).
+
+    The log has the fields that W3 reads; with ``out`` it is appended there.
+    """
+    feats, key = list(features or P.WILDFIRE_CANDIDATE_FEATURES), key or ["zip", "Year"]
+    panel_df = materialize(dataset)
+    train, valid = (panel_df.filter(F.col("split") == x) for x in ("train", "validation"))
+    runs = {
+        "logistic_regression": (ex.logistic_classifier(train, valid, feats, label),
+                                {"max_iter": 1000, "class_weight": "balanced"}),
+        "random_forest": (ex.evaluate_classifier(est.random_forest_classifier(label, forest_trees, seed=seed), train, valid,
+                                                 feats, label), {"n_estimators": forest_trees, "class_weight": "balanced"}),
+        "gradient_boosting": (ex.evaluate_classifier(est.gbt_classifier(label, boost_rounds, seed=seed), train, valid, feats,
+                                                     label),
+                              {"n_estimators": boost_rounds, "learning_rate": 0.05, "max_depth": 4, "subsample": 0.8,
+                               "class_weight": "balanced (via sample_weight)"}),
+        "svm_rbf": (ex.landmark_classifier(train, valid, feats, label, key, kind="rbf", n_landmarks=n_landmarks, seed=seed,
+                                           scale_on=train), {"kernel": "rbf", "class_weight": "balanced"}),
+    }
+    rows = report.stack_frames([
+        met.select(F.lit(name).alias("key"), *[F.bround(c, 4).alias(to) for c, to in (
+            ("roc_auc", "roc_auc"), ("average_precision", "pr_auc"), ("f1", "f1"), ("precision", "precision"),
+            ("recall", "recall"), ("train_runtime_s", "train_runtime_s"))])
+        for name, ((met, _, _), _) in runs.items()])
+    sizes = {r["split"]: r for r in panel_df.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate"), F.sort_array(F.collect_set("Year")).alias("years")).collect()}
+    tr, va = sizes["train"], sizes["validation"]
+    data = F.struct(
+        F.lit(source).alias("source_file"), F.array(*map(F.lit, tr["years"])).alias("train_years"),
+        F.array(*map(F.lit, va["years"])).alias("val_years"), F.lit(tr["n"]).alias("train_samples"),
+        F.lit(va["n"]).alias("val_samples"), F.lit(False).alias("subsampled"),
+        F.struct(F.lit(round(tr["rate"], 4)).alias("train_fire_rate"),
+                 F.lit(round(va["rate"], 4)).alias("val_fire_rate")).alias("class_balance"))
+    used = F.struct(F.array(*map(F.lit, feats)).alias("all_features_used"),
+                    F.lit("StandardScaler (fit on train)").alias("scaler"),
+                    F.lit("balanced (sample_weight for GradientBoosting)").alias("class_weight"))
+    log = report.run_log(rows, "key", "classical_baselines_wildfire", seed, data=data, features=used,
+                         params={name: settings for name, (_, settings) in runs.items()})
+    if out:
+        writers.write_run_log(log, out, partition_by=None)
+    return log
+
+
+def risk_scores(dataset: DataFrame, features: list[str] | None = None, label: str = "fire_event", entity: str = "zip",
+                period: str = "Year", **kw) -> DataFrame:
+    """M12 over W0's panel: both risk scores of every validation entity, in the K4 shape."""
+    panel_df = materialize(dataset)
+    train, valid = (panel_df.filter(F.col("split") == x) for x in ("train", "validation"))
+    return ex.score_generator(train, valid, list(features or P.WILDFIRE_CANDIDATE_FEATURES), label, [entity],
+                              [entity, period], **kw)
+
+
+def premium_with_scores(raw: DataFrame, scores: DataFrame, score: str = "classical_risk_prob",
+                        risk_col: str = P.CLASSICAL_RISK_COL) -> DataFrame:
+    """Scores of M12 -> P16 adapter -> W2 with J4: the premium panel with the scorer's own risk column."""
+    return premium_panel(raw, clean.adapt_scores(scores, "zip", score, "ZIP", "wildfire_risk_prob"), risk_col)
+
+
 # ------------------------------------------------------------------ W3 / W4
 def _fmt_features(c: Column) -> Column:
     return abbreviate_list(c, P.FEATURE_ABBREV)
@@ -213,9 +303,12 @@ def build_reports(spark, baseline_path: str, runs_path: str, out_dir: str | None
 
 
 # ---------------------------------------------------------------------- W5
-def results_summary(spark, metrics_folder: str, combined_out: str | None = None) -> dict:
-    """S4 + U1 -> K6 (to another folder, T13) -> P18 -> J7."""
-    allm = readers.read_metric_folder(spark, metrics_folder)
+def results_summary(spark, metrics_folder: str, combined_out: str | None = None, pattern: str = "*.csv") -> dict:
+    """S4 + U1 -> K6 (to another folder, T13) -> P18 -> J7.
+
+    ``pattern="*/*.csv"`` reads what :func:`premium_experiments` writes.
+    """
+    allm = readers.read_metric_folder(spark, metrics_folder, pattern=pattern)
     if combined_out:
         writers.write_combined(allm.drop(readers.SOURCE_FILE), combined_out)
     model = allm.filter(F.col("Model") == P.SUMMARY_MODEL) \
@@ -227,17 +320,22 @@ def results_summary(spark, metrics_folder: str, combined_out: str | None = None)
 
 # ---------------------------------------------------------------------- W6
 def data_audit(df: DataFrame, target: str = P.PREMIUM_TARGET, period: str = "Year", entity: str = "ZIP",
-               clip_at: float = 2e6) -> dict:
-    """Rows per period, distinct entities, exact describe of the target,
-    null profile, null/negative target counts, histograms, split sizes."""
+               clip_at: float = 2e6, risk_col: str = P.FIRE_RISK_COL) -> dict:
+    """Rows per period, distinct entities, exact describe of the target
+    and of the fire-risk score (where the panel has one) with its null
+    count, null profile, null/negative target counts, histograms, split sizes."""
     t = F.col(f"`{target}`")
     tgt = df.select(t.cast("double").alias("target"))
+    risk = df.select(F.col(f"`{risk_col}`").cast("double").alias("risk")) if risk_col in df.columns else None
     split = clean.temporal_split(df.select(period), period, P.PREMIUM_TRAIN_YEARS, [P.PREMIUM_TEST_YEAR],
                                  labels=("train", "test"))
     return {
         "rows_per_period": stats.value_counts(df, period),
         "distinct_entities": stats.distinct_count(df, entity),
         "target_describe": stats.describe_exact(tgt, ["target"]),
+        **({} if risk is None else {
+            "risk_describe": stats.describe_exact(risk, ["risk"]),
+            "risk_nulls": risk.agg(F.count_if(F.col("risk").isNull()).alias("n_null_risk"))}),
         "null_profile": stats.null_profile(df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]), top=20),
         "target_counts": tgt.agg(F.count_if(F.col("target").isNull()).alias("n_null_target"),
                                  F.count_if(F.col("target") < 0).alias("n_negative_target")),

@@ -14,8 +14,6 @@ from __future__ import annotations
 PREMIUM_TRAIN_YEARS = [2018, 2019, 2020]
 PREMIUM_TEST_YEAR = 2021
 PREMIUM_TARGET = "Earned Premium"
-RANDOM_SEED = 42
-PREMIUM_ID_COLS = ["Year", "ZIP"]
 PREMIUM_DROP_COLS = [
     "OBJECTID", "AGENCY", "UNIT_ID", "FIRE_NAME", "INC_NUM",
     "ALARM_DATE", "CONT_DATE", "CAUSE", "C_METHOD", "OBJECTIVE",
@@ -84,7 +82,6 @@ FEATURE_SETS = {
     "C - Classical Wildfire Risk": PREMIUM_BASE_FEATURES + PREMIUM_LAG_FEATURES + [CLASSICAL_RISK_COL],
     "D - Quantum Wildfire Risk": PREMIUM_BASE_FEATURES + PREMIUM_LAG_FEATURES + [QUANTUM_RISK_COL],
 }
-METRIC_ROUNDING = {"MAE": 2, "RMSE": 2, "R2": 4, "MAPE": 2}
 
 # Wildfire event panel (ZIP x Year from the mixed weather/fire file).
 WILDFIRE_TRAIN_YEARS = [2018, 2019, 2020]

@@ -43,13 +43,16 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("MAPE", T.DoubleType()),
 ])
 
-PREDICTIONS_SCHEMA = T.StructType([
-    T.StructField("ZIP", T.IntegerType()),
-    T.StructField("y_true", T.DoubleType()),
-    T.StructField("y_pred", T.DoubleType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("experiment", T.StringType()),
-])
+# The two report tables (S7): scores and seconds are numbers, counts and "-" markers are text.
+COMPARISON_SCHEMA = T.StructType([
+    T.StructField(c, T.DoubleType() if c in ("ROC-AUC", "PR-AUC", "F1", "Precision", "Recall", "Runtime_s")
+                  else T.LongType() if c == "Train_samples" else T.StringType())
+    for c in ("Model", "Type", "Qubits", "Features", "ROC-AUC", "PR-AUC", "F1", "Precision", "Recall", "Runtime_s",
+              "Train_samples", "Notes")])
+RESOURCE_SCHEMA = T.StructType([
+    T.StructField(c, T.DoubleType() if c == "Best ROC-AUC" else T.StringType())
+    for c in ("Model", "Qubits", "Circuit Depth", "Feature Map", "Shots", "Backend", "Train Samples",
+              "Kernel Build Time (s)", "Total Runtime (s)", "Trainable Parameters", "Best ROC-AUC")])
 
 _CLS_METRICS = [T.StructField(n, T.DoubleType()) for n in ("roc_auc", "pr_auc", "f1", "precision", "recall")]
 _KERNEL_RUN = T.StructType([
@@ -134,15 +137,25 @@ def _with_source(df: DataFrame) -> DataFrame:
     return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             encoding: str = "UTF-8", with_source: bool = False) -> DataFrame:
-    """Header CSV with an explicit schema (or inference when ``schema`` is None)."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, encoding: str = "UTF-8",
+             with_source: bool = False) -> DataFrame:
+    """Header CSV with an explicit schema: one pass, and the same types whatever the rows hold."""
     r = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-    df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+    df = r.schema(schema).csv(path)
     return _with_source(df) if with_source else df
 
 
-def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_comparison(spark: SparkSession, path: str) -> DataFrame:
+    """The model-comparison report, typed."""
+    return read_csv(spark, path, COMPARISON_SCHEMA)
+
+
+def read_resources(spark: SparkSession, path: str) -> DataFrame:
+    """The resource report, typed."""
+    return read_csv(spark, path, RESOURCE_SCHEMA)
+
+
+def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The premium panel (header, typed by ``schema``)."""
     return read_csv(spark, path, schema)
 
