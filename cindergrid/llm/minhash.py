@@ -11,13 +11,17 @@ are neighbouring entries of ``T``.
    and the band hashes of its set.  Texts with equal digests are one node
    from here on, however many there are.
 2. *Star pairs*: in each band bucket, every node is paired with the bucket's
-   smallest node, so a bucket of ``m`` nodes yields ``m - 1`` pairs.
+   centre, the node that meets most others over all buckets, so a bucket of
+   ``m`` nodes yields ``m - 1`` pairs.
 3. *Verification*: pairs are joined with the full shingle sets, and the
    integer test ``100 * intersection >= percent * union`` decides.
-4. *Rest*: where a bucket still holds several components, nodes of
-   different components are paired, so every pair that meets in a bucket is
-   either tested or already connected.  Links inside one component are
-   never listed.
+4. *Outliers*: a node that the links so far don't connect with its centre
+   may still be linked with another node of the bucket.  The outliers of a
+   centre are compared with all its nodes in blocks of bounded size, one
+   task per pair of blocks, by counting common shingles through an inverted
+   index.  A task lists one link per outlier and component at most, so the
+   pairs of a large group are never listed.  Every pair that meets in a bucket is thus
+   tested or already connected.
 5. Components of all links; each is named by its smallest key.
 
 With 42 bands of 6 rows, a pair at similarity 0.8 misses every bucket with
@@ -30,6 +34,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -155,13 +160,62 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
 
 
+def _outlier_links(members: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links ``a, b`` between outliers and other nodes of their centre, in other components.
+
+    ``members(centre, node, n, component, out)``.  Blocks hold about ``size``
+    shingles, however many nodes a centre has.
+    """
+    amount = F.col("n").cast("double")
+    blocks = members.groupBy("centre").agg(
+        F.ceil(F.sum(F.when(F.col("out"), amount)) / size).cast("int").alias("lefts"),
+        F.ceil(F.sum(amount) / size).cast("int").alias("rights"), F.count(F.lit(1)).alias("nodes")) \
+        .where("lefts >= 1 and nodes > 1").drop("nodes")
+    dealt = members.join(blocks, "centre")
+    place = F.xxhash64("node")
+
+    def side(rows: DataFrame, left: bool) -> DataFrame:
+        own, other = ("lefts", "rights") if left else ("rights", "lefts")
+        mine = F.pmod(place, F.col(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.select("centre", (mine if left else each).alias("l"), (each if left else mine).alias("r"),
+                           "node", "component", F.lit(left).alias("left"))
+
+    rows = side(dealt.where("out"), True).unionByName(side(dealt, False)).join(
+        sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["left"]], group[~group["left"]].reset_index(drop=True)
+        theirs = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+        sizes = np.array([len(x) for x in theirs], dtype=np.int64)
+        owner = np.repeat(np.arange(len(theirs)), sizes)
+        flat = np.concatenate(theirs) if theirs else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        component = right["component"].to_numpy()
+        found = []
+        for node, label, raw in zip(left["node"], left["component"], left["shingles"]):
+            mine = np.frombuffer(raw, np.uint64)
+            low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(theirs))
+            near = np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both))
+            # one link into each other component is enough
+            ends = {c: i for i, c in zip(near.tolist(), component[near]) if c != label}
+            found.extend((node, right["node"][i]) for i in ends.values())
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return rows.groupBy("centre", "l", "r").applyInPandas(compare, "a binary, b binary")
+
+
 def _near(n: str, m: str, percent: int):
     """Sizes that allow the similarity at all."""
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 42, rows: int = 6,
-                    key: str = "doc_id", text: str = "text") -> DataFrame:
+                    block: int = 500_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of texts whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
     Returns per row ``key, n_shingles long, component_id (the key's type),
@@ -183,26 +237,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     bucket = Window.partitionBy("band")
     met = materialised(
         made.where("n > 0").dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("band"))
-        .withColumn("members", F.count(F.lit(1)).over(bucket))
-        .withColumn("first", F.min(F.struct("n", "node")).over(bucket))
-        .where("members > 1").drop("members"))
-    star = met.where(F.col("node") != F.col("first.node")).where(_near("n", "first.n", percent)).select(
-        F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
-    members = met.select("node").distinct()
+        .withColumn("others", F.count(F.lit(1)).over(bucket) - 1).where("others > 0"))
+    weights = met.groupBy("node").agg(F.sum("others").alias("weight"))
+    members = materialised(weights.select("node"))
+    centre = F.max(F.struct("weight", "node", "n")).over(bucket)
+    stars = materialised(
+        met.join(weights, "node").withColumn("centre", centre).where("node <> centre.node")
+        .select("node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("m")).distinct())
     sets = materialised(_sets(slim, classes.join(members, "node", "left_semi")
                               .select(F.col("least").alias("key"), "node"), words))
-    star = materialised(star)
-    links = materialised(_linked(star, sets, percent))
+    pairs = stars.where(_near("n", "m", percent)).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    links = materialised(_linked(pairs, sets, percent))
     component = materialised(connected_components(members, links))
 
-    named = met.select("band", "node", "n").join(component, "node")
-    several = named.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
-    mixed = named.join(several.select("band"), "band", "left_semi")
-    other = mixed.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = mixed.join(other, "band").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))) \
-        .where(_near("n", "n2", percent)).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct() \
-        .join(star, ["a", "b"], "left_anti")
-    more = _linked(rest, sets, percent)
+    own = component.select("node", "component")
+    theirs = component.select(F.col("node").alias("centre"), F.col("component").alias("main"))
+    around = stars.join(own, "node").join(theirs, "centre").select(
+        "centre", "node", "n", "component", (F.col("component") != F.col("main")).alias("out"))
+    more = _outlier_links(around, sets, percent, block)
     joined = connected_components(members, links.union(more))
 
     whole = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
