@@ -5,11 +5,10 @@ Entity, period and measure names are arguments.  Two window strategies:
 * ``window``: ``Window.partitionBy(entity).orderBy(period, tiebreak)``.  Used
   on aggregated panels, where one entity holds at most one row per period,
   so the largest window partition is bounded by the number of periods.
-* ``ranged``: row positions from :func:`cindergrid.operators.ordering.positions`
-  (range partitioned, a hot entity spans many tasks), then one grouped pass
-  over (entity, position) that pairs each row with its shifted copies.  Used
-  for lags over raw rows, where one entity may hold a large share of the
-  table.
+* ``ranged``: rows are range-partitioned, so that a hot entity spans many
+  tasks; lags are taken inside each task's piece, and the first rows of a
+  piece look into a small table of the rows before it.  Used for lags over
+  raw rows, where one entity may hold a large share of the table.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindergrid.operators.ordering import positions
+from cindergrid.session import checkpoint_dir, shuffle_partitions
 
 
 # ---------------------------------------------------------------- aggregates
@@ -103,40 +102,54 @@ def _lag_window(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence[
 
 def _lag_ranged(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence[str | Column],
                 values: Mapping[str, Sequence[int]], default=None) -> DataFrame:
-    """Row lags without a window over the entity and without self-joins.
-
-    Rows get skew-safe positions; each row then emits itself (k = 0) plus
-    one copy shifted to ``position + n`` per lag distance ``n`` that carries
-    only the lagged columns.  One ``groupBy(entity, position)`` - at most
-    1 + #distances rows per group, so no group can be hot - picks the row's
-    own columns and each lag.  Positions past the last row are dropped.
+    """Row lags without a window over the entity, and without copies of rows.
+
+    1. Rows are range-partitioned once on (entity, order), so a hot entity
+       spans many partitions; the tagged rows are written to the checkpoint
+       folder, as two evaluations of a range exchange could cut differently.
+    2. Lags are taken inside each piece, the part of an entity in one partition.
+    3. The first ``L`` rows of a later piece (``L`` the longest lag) look back
+       into the pieces before: only entities that cross a partition bound
+       have such pieces, at most two pieces per partition begin or end there, and each
+       gives its last ``L`` rows.  That table is bounded by the number of
+       partitions and is joined by broadcast.
     """
-    pos = "__cg_row"
-    ranked = positions(df, entity_cols, order_cols, name=pos)
-    base_cols = [c for c in df.columns if c not in entity_cols]
-    types = {f.name: f.dataType for f in df.schema.fields}
-    dists = sorted({n for ns in values.values() for n in ns})
-    recs = []
-    for k in [0, *dists]:
-        fields = [F.lit(k).alias("k"), (F.col(pos) + k).alias("p")]
-        for c in base_cols:
-            keep = k == 0 or (c in values and k in values[c])
-            fields.append(F.col(c).alias(c) if keep else F.lit(None).cast(types[c]).alias(c))
-        recs.append(F.struct(*fields))
-    exploded = ranked.select(*entity_cols, F.explode(F.array(*recs)).alias("r"))
-    k = F.col("r.k")
-    aggs = [F.max((k == 0).cast("int")).alias("__cg_base")]
-    aggs += [F.first(F.when(k == 0, F.col(f"r.{c}")), ignorenulls=True).alias(c) for c in base_cols]
-    lag_names = []
-    for c, ns in values.items():
-        for n in ns:
-            name = f"{c}_lag{n}"
-            lag_names.append(name)
-            aggs.append(F.first(F.when(k == n, F.col(f"r.{c}")), ignorenulls=True).alias(name))
-    out = exploded.groupBy(*entity_cols, F.col("r.p").alias(pos)).agg(*aggs).filter(F.col("__cg_base") == 1)
-    if default is not None:
-        out = out.fillna({n: default for n in lag_names})
-    return out.select(*df.columns, *lag_names)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    pid, rn, size, carry = "__cg_pid", "__cg_rn", "__cg_size", "__cg_carry"
+    longest = max(n for ns in values.values() for n in ns)
+    names = {(c, n): f"{c}_lag{n}" for c, ns in values.items() for n in ns}
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    ranged = df.repartitionByRange(shuffle_partitions(spark), *[F.col(c) for c in entity_cols], *order) \
+        .withColumn(pid, F.spark_partition_id()).checkpoint(eager=True)
+    whole = Window.partitionBy(*entity_cols, pid)
+    inside = whole.orderBy(*order)
+    local = ranged.select("*", F.row_number().over(inside).alias(rn), F.count(F.lit(1)).over(whole).alias(size),
+                          *[F.lag(c, n).over(inside).alias(name) for (c, n), name in names.items()])
+
+    def same(left: DataFrame, right: dict[str, str]):
+        return [left[c].eqNullSafe(F.col(o)) for c, o in right.items()]
+
+    renamed = {c: f"__cg_e_{i}" for i, c in enumerate(entity_cols)}
+    crossing = ranged.select(*entity_cols, pid).distinct().groupBy(*entity_cols).agg(F.count(F.lit(1)).alias("k")) \
+        .where("k > 1").select(*[F.col(c).alias(o) for c, o in renamed.items()])
+    last = local.where(F.col(rn) > F.col(size) - longest)
+    ends = last.join(F.broadcast(crossing), same(last, renamed)).groupBy(*renamed.values(), pid).agg(
+        F.sort_array(F.collect_list(F.struct(rn, *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)]))).alias("t"))
+    # each earlier piece holds a row at least, so ``longest`` pieces hold enough
+    before = Window.partitionBy(*renamed.values()).orderBy(pid).rowsBetween(-longest, -1)
+    carried = ends.select(*renamed.values(), F.col(pid).alias("__cg_p"), F.flatten(F.collect_list("t").over(before)).alias(carry))
+    out = local.join(F.broadcast(carried), [*same(local, renamed), local[pid] == F.col("__cg_p"),
+                                            local[rn] <= longest], "left")
+    column = {c: f"v{i}" for i, c in enumerate(values)}
+    lags = []
+    for (c, n), name in names.items():
+        # the row ``n`` back is the (n - rn + 1)-th from the end of what came before the piece
+        back = F.try_element_at(F.col(carry), (F.col(rn) - n - 1).cast("int"))[column[c]]
+        value = F.when(F.col(rn) > n, F.col(name)).otherwise(back)
+        outside = F.col(rn) + F.coalesce(F.array_size(carry), F.lit(0)) <= n
+        lags.append((value if default is None else F.when(outside, F.lit(default)).otherwise(value)).alias(name))
+    return out.select(*df.columns, *lags)
 
 
 def lag_features(df: DataFrame, entity_cols: Sequence[str], order_cols: Sequence[str | Column],
