@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cindergrid.operators.sampling import order_hash
+from cindergrid.session import ship_package
 
 KERNELS = ("linear", "cosine", "rbf", "fidelity")
 
@@ -97,6 +98,7 @@ def kernel_features(df: DataFrame, vec_col: str, lm: Landmarks, kind: str = "rbf
     """
     if kind not in KERNELS:
         raise ValueError(f"unknown kernel {kind!r}")
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((lm.matrix, project))
     width = lm.matrix.shape[1]
 

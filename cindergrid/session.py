@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -84,3 +86,25 @@ def materialize(df):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: ``--py-files``, once per application.
+
+    Functions sent to workers name their module, which a worker must be able
+    to import wherever it was started.  The driver packs its own copy and
+    Spark's file server hands it to every executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cindergrid_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    packed = os.path.join(tempfile.mkdtemp(prefix="cindergrid-code-"), "cindergrid.zip")
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("cindergrid", os.path.relpath(path, top)))
+    sc.addPyFile(packed)
+    sc._cindergrid_shipped = True
