@@ -14,11 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cindergrid.session import checkpoint_dir
+from cindergrid.session import checkpoint_dir, ship_package
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
-    """Bound the Arrow batches sent to Python workers: ``rows`` rows or ``size`` bytes."""
+    """Bound the Arrow batches sent to Python workers, ``rows`` rows or ``size`` bytes, and let workers import this."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
