@@ -209,7 +209,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, ke
     chosen = marks.orderBy(F.xxhash64("key"), "key").limit(max_rows)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = texts.join(F.broadcast(chosen), "key").select(F.col("label").cast("double").alias("label"), "text")
-    return fit_rules(materialised(with_statistics(rows)))
+    # at most max_rows short rows: a few tasks per fitting job are enough
+    return fit_rules(materialised(with_statistics(rows)).coalesce(8))
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, *, key: str = "doc_id", text: str = "text",
