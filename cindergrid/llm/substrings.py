@@ -1,4 +1,4 @@
-"""Operator 5: substring deduplication by hashing lines and the sentences inside them.
+"""Operator 5: substring deduplication by hashing lines, sentences and runs of words.
 
 1. Every text is cut into units: its lines, and the sentences of each line
    that has several.  A unit is normalised (lower case, single spaces, no
@@ -14,6 +14,20 @@
    repeated sentences that has at least ``run_words`` words in all; short
    sentences between two repeats belong to the run.  Removed spans keep
    their offsets in the original text.
+5. *Passages* need no line or sentence of their own: every run of
+   ``passage_words`` words that a smaller key has goes, wherever it starts
+   and ends, and so does one that stands earlier in the same text without
+   overlapping.  Words are compared in lower case without punctuation at
+   either end; line ends count as blanks.  To find the runs without a row
+   per word, each run is named by a seed, the least hash of the short word
+   groups inside it: equal runs have equal seeds.  Only runs whose seed
+   occurs in two different texts are hashed and compared one by one.  A text
+   that is an exact copy of a smaller key's loses all its units and runs and
+   takes no part in that comparison.
+
+A letter of a script written without blanks (Chinese, Japanese, Thai, ...) is
+a word of its own in a passage, and half a word in the length of a line or
+sentence.
 """
 
 from __future__ import annotations
@@ -27,42 +41,194 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.llm.common import bounded_batches
+from cindergrid.llm.common import bounded_batches, materialised
+
+_END = re.compile(r"[.!?]+(?:\s+|$)|[。！？｡]+\s*")
+_EDGES = " \t.,;:!?\"'()[]{}<>*#|-_=/\\。！？｡，、；：「」『』（）《》"
+
+# letters of scripts without blanks: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han
+_LETTERS = "\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff" \
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_LETTERS}]")
+_TOKEN = re.compile(f"[{_LETTERS}]|[^\\s{_LETTERS}]+")
+_SEED_WORDS = 12
+_FACTORS = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+
+
+class _Hashes(dict):
+    """64-bit hash of each token's word, 0 where it has none; bounded by who calls it."""
+
+    def __missing__(self, token: str) -> int:
+        word = token.lower().strip(_EDGES)
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 if word else 0
+        if len(token) <= 40:
+            self[token] = value
+        return value
 
-_END = re.compile(r"[.!?]+(?:\s+|$)")
-_EDGES = " \t.,;:!?\"'()[]{}<>*#|-_=/\\"
+
+_WORD_HASHES = _Hashes()
 
 # a unit: start, end, number of words, digest (None: too short to name a passage)
 Unit = tuple[int, int, int, "bytes | None"]
 
 
-def _unit(start: int, end: int, body: str, least: int) -> Unit:
+def _has_unspaced(text: str) -> bool:
+    return not text.isascii() and _UNSPACED.search(text) is not None
+
+
+def _unit(start: int, end: int, body: str, least: int, unspaced: bool) -> Unit:
     words = body.lower().split()
-    if len(words) < least:
-        return start, end, len(words), None
+    size = len(words)
+    if unspaced:
+        size = max(size, len(_UNSPACED.findall(body)) // 2)
+    if size < least:
+        return start, end, size, None
     named = " ".join(words).strip(_EDGES).encode("utf-8", "surrogatepass")
-    return start, end, len(words), xxhash.xxh3_128_digest(named)
+    return start, end, size, xxhash.xxh3_128_digest(named)
 
 
 def lines_of(text: str, line_words: int, sentence_words: int) -> Iterator[tuple[Unit, list[Unit]]]:
     """Each line (its span holds the newline) with its sentences, where it has several."""
     at = 0
+    unspaced = _has_unspaced(text)
     for body in text.split("\n"):
         end = min(at + len(body) + 1, len(text))
-        line = _unit(at, end, body, line_words)
+        line = _unit(at, end, body, line_words, unspaced)
         sentences: list[Unit] = []
         if line[3] is not None:
             cuts = [m.end() for m in _END.finditer(body)]
             if not cuts or cuts[-1] < len(body):
                 cuts.append(len(body))
             if len(cuts) > 1:
-                sentences = [_unit(at + a, at + b, body[a:b], sentence_words) for a, b in zip([0, *cuts], cuts)]
+                sentences = [_unit(at + a, at + b, body[a:b], sentence_words, unspaced)
+                             for a, b in zip([0, *cuts], cuts)]
         if end > at:
             yield line, sentences
         at = end
 
 
-def digests_of(text: str, line_words: int, sentence_words: int) -> tuple[list[bytes], bool]:
+# --- passages ------------------------------------------------------------
+
+
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, and which of the blank-separated tokens they are; punctuation alone is no word."""
+    tokens = _TOKEN.findall(text) if _has_unspaced(text) else text.split()
+    if len(_WORD_HASHES) > 200_000:
+        _WORD_HASHES.clear()
+    found = np.fromiter(map(_WORD_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    at = np.flatnonzero(found)
+    return found[at], at
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, factor: int) -> np.ndarray:
+    x = a * np.uint64(factor) + b
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _groups(words: np.ndarray, n: int, factor: int) -> np.ndarray:
+    """Hash of every ``n`` consecutive words."""
+    if len(words) < n:
+        return words[:0]
+    found, width = words, 1
+    while width < n:
+        step = min(width, n - width)
+        found = _mixed(found[:len(found) - step], found[step:], factor)
+        width += step
+    return found
+
+
+def _run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """128-bit hashes of every run of ``n`` words, as rows of two integers."""
+    halves = [_groups(words, n, f).view(np.int64) for f in _FACTORS]
+    return np.stack(halves, axis=1).astype("<i8")
+
+
+def _run_seeds(words: np.ndarray, n: int) -> np.ndarray:
+    """The seed of every run of ``n`` words: the least hash of the groups of words inside it."""
+    size = min(n, _SEED_WORDS)
+    found, width = _groups(words, size, 0xA0761D6478BD642F), 1
+    if len(words) < n:
+        return found[:0].view(np.int64)
+    while width < n - size + 1:
+        step = min(width, n - size + 1 - width)
+        found = np.minimum(found[:len(found) - step], found[step:])
+        width += step
+    return found.view(np.int64)
+
+
+def _may_repeat_itself(seeds: np.ndarray, n: int) -> bool:
+    """Whether any run can stand twice in the text: its seed then leads two stretches, or one too long for one place."""
+    if len(seeds) <= n:
+        return False
+    turns = np.concatenate([[0], np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, [len(seeds)]])
+    led = seeds[turns[:-1]]
+    return int(np.diff(turns).max()) > n - min(n, _SEED_WORDS) + 1 or len(np.unique(led)) < len(led)
+
+
+def _repeats_itself(words: np.ndarray, n: int) -> np.ndarray:
+    """Which runs stand earlier in the same text without overlapping."""
+    if not _may_repeat_itself(_run_seeds(words, n), n):
+        return np.zeros(max(len(words) - n + 1, 0), bool)
+    runs = _groups(words, n, _FACTORS[0])
+    _, first, which = np.unique(runs, return_index=True, return_inverse=True)
+    return np.arange(len(runs)) - first[which] >= n
+
+
+def _as_bytes(runs: np.ndarray) -> list[bytes]:
+    raw = np.ascontiguousarray(runs).tobytes()
+    return [raw[i: i + 16] for i in range(0, len(raw), 16)]
+
+
+def passage_spans(text: str, repeated: set[bytes] | None, passage_words: int) -> list[tuple[int, int]]:
+    """Spans of the runs that a smaller key has (``None``: all of them) or that the text repeats itself."""
+    words, at = _word_hashes(text)
+    if len(words) < passage_words:
+        return []
+    if repeated is None:
+        gone = np.ones(len(words) - passage_words + 1, bool)
+    else:
+        gone = _repeats_itself(words, passage_words)
+        known = np.frombuffer(b"".join(repeated), "<i8").reshape(-1, 2)[:, 0]
+        likely = np.flatnonzero(np.isin(_groups(words, passage_words, _FACTORS[0]).view(np.int64), known))
+        if len(likely):
+            runs = _as_bytes(_run_hashes(words, passage_words)[likely])
+            gone[likely] |= np.fromiter((d in repeated for d in runs), bool, len(runs))
+    if not gone.any():
+        return []
+    edges = np.zeros(len(words) + 1, np.int64)
+    starts = np.flatnonzero(gone)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + passage_words, -1)
+    covered = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
+    turns = np.flatnonzero(covered[1:] != covered[:-1])
+    places = [m.span() for m in _TOKEN.finditer(text)]
+    spans = []
+    for a, b in zip(turns[::2], turns[1::2]):
+        start, end = places[at[a]][0], places[at[b - 1]][1]
+        # blanks after the passage go with it, and its line's end where it starts a line
+        while end < len(text) and text[end] != "\n" and text[end].isspace():
+            end += 1
+        if end < len(text) and text[end] == "\n" and (start == 0 or text[start - 1] == "\n"):
+            end += 1
+        spans.append((start, end))
+    return spans
+
+
+# --- units and passages of a text ----------------------------------------
+
+
+def digests_of(text: str, line_words: int, sentence_words: int, passage_words: int = 40) -> tuple[list[bytes], bool]:
+    """The distinct digests of a text's units and runs of words, and whether it repeats any of them."""
+    units, twice = unit_digests(text, line_words, sentence_words)
+    words = _word_hashes(text)[0]
+    runs = _as_bytes(_run_hashes(words, passage_words))
+    return [*units, *dict.fromkeys(runs)], twice or bool(_repeats_itself(words, passage_words).any())
+
+
+def unit_digests(text: str, line_words: int, sentence_words: int) -> tuple[list[bytes], bool]:
     """The distinct digests of a text's units, and whether any of them occurs twice in it."""
     found = []
     for line, sentences in lines_of(text, line_words, sentence_words):
@@ -73,16 +239,16 @@ def digests_of(text: str, line_words: int, sentence_words: int) -> tuple[list[by
     return distinct, len(distinct) < len(found)
 
 
-def removed_spans(text: str, repeated: set[bytes], line_words: int, sentence_words: int,
-                  run_words: int) -> list[tuple[int, int]]:
-    """Spans to remove, given the digests that a smaller key has."""
+def removed_spans(text: str, repeated: set[bytes] | None, line_words: int, sentence_words: int,
+                  run_words: int, passage_words: int = 40) -> list[tuple[int, int]]:
+    """Spans to remove, given the digests that a smaller key has (``None``: all of the text's)."""
     spans: list[tuple[int, int]] = []
     seen: set[bytes] = set()
 
     def repeat(digest: bytes | None) -> bool:
         if digest is None:
             return False
-        known = digest in repeated or digest in seen
+        known = repeated is None or digest in repeated or digest in seen
         seen.add(digest)
         return known
 
@@ -104,10 +270,11 @@ def removed_spans(text: str, repeated: set[bytes], line_words: int, sentence_wor
             if sum(u[2] for u in sentences[i: last + 1]) >= run_words:
                 spans.append((sentences[i][0], sentences[last][1]))
             i = last + 1
+    spans.extend(passage_spans(text, repeated, passage_words))
     merged: list[tuple[int, int]] = []
-    for a, b in spans:
-        if merged and merged[-1][1] == a:
-            merged[-1] = (merged[-1][0], b)
+    for a, b in sorted(spans):
+        if merged and merged[-1][1] >= a:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
     return merged
@@ -122,8 +289,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", line_words: int = 6,
-                   sentence_words: int = 5, run_words: int = 20) -> DataFrame:
-    """``docs`` with repeated lines and sentence runs removed from ``text``.
+                   sentence_words: int = 5, run_words: int = 20, passage_words: int = 40) -> DataFrame:
+    """``docs`` with repeated lines, sentence runs and passages removed from ``text``.
 
     Returns all columns of ``docs`` plus ``removed array<struct<start int,
     end int>>``: code-point offsets into the original text.
@@ -139,58 +306,117 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     bounded_batches(docs.sparkSession)
     rank = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
+    fields = [f for f in docs.schema.fields if f.name != "removed"]
+    names = [f.name for f in fields]
+    spot = names.index(text)
+    tagged = docs.select(*[F.col(f"`{n}`") for n in names]).withColumns({"__rank": rank, "__hash": F.xxhash64(text)})
     slim = docs.select(rank.alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
+    def dealt(batch, key_at, origin, halves, flags=None):
+        # rows are cut into small batches: one text has many units
+        for start in range(0, len(origin), 20_000):
+            part = pa.array(origin[start: start + 20_000], pa.int64())
+            own = halves[start: start + 20_000]
+            columns = [batch.column(key_at).take(part), batch.column(key_at + 1).take(part),
+                       pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(
+                columns + ([pa.array(flags[start: start + 20_000], pa.bool_())] if flags is not None else []),
+                names=["key", "hash", "d1", "d2", "twice"][:4 + (flags is not None)])
+
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            origin, found, twice = [], [], []
+            origin, found, twice, sown, fields_of = [], [], [], [], []
             for i, value in enumerate(batch.column(2)):
-                own, inside = digests_of(value.as_py() or "", line_words, sentence_words)
+                body = value.as_py() or ""
+                own, inside = unit_digests(body, line_words, sentence_words)
+                words = _word_hashes(body)[0]
+                seeds = _run_seeds(words, passage_words)
+                if _may_repeat_itself(seeds, passage_words) and _repeats_itself(words, passage_words).any():
+                    own, inside = own or _as_bytes(_run_hashes(words, passage_words)[:1]), True
                 found.extend(own)
                 origin.extend([i] * len(own))
                 twice.extend([inside] + [False] * (len(own) - 1) if own else [])
-            # rows are cut into small batches: one text has many units
-            halves = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            at = pa.array(origin, pa.int64())
-            for start in range(0, len(found), 20_000):
-                part = at.slice(start, 20_000)
-                own = halves[start: start + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(part), batch.column(1).take(part), pa.array(own[:, 0].copy()),
-                     pa.array(own[:, 1].copy()), pa.array(twice[start: start + 20_000], pa.bool_())],
-                    names=["key", "hash", "d1", "d2", "twice"])
+                seeds = np.unique(seeds)
+                sown.append(seeds)
+                fields_of.append(np.full(len(seeds), i))
+            yield from dealt(batch, 0, origin, np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2), twice)
+            # a seed is a row whose second half is 0
+            seeds = np.concatenate([np.empty(0, np.int64), *sown])
+            yield from dealt(batch, 0, np.concatenate([np.empty(0, np.int64), *fields_of]),
+                             np.stack([seeds, np.zeros_like(seeds)], axis=1), [False] * len(seeds))
 
+    def firsts_of(named: DataFrame) -> DataFrame:
+        return (named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+                .where("first < last").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))
+
+    same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    mark = F.when(F.col("key") > F.col("first"), F.struct("d1", "d2")).alias("mark")
     named = slim.mapInArrow(units, "key long, hash long, d1 long, d2 long, twice boolean")
-    firsts = (named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-              .where("first < last").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))
+    # units count where a smaller key has them, seeds where two different texts do
+    several = (named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"),
+                                             F.min("hash").alias("least"), F.max("hash").alias("most"))
+               .where(F.when(F.col("d2") == 0, F.col("least") < F.col("most")).otherwise(F.col("first") < F.col("last")))
+               .select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))
     # a text that repeats a unit of its own comes back too, with one digest that marks nothing by itself
-    again = named.join(firsts, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").where(
-        (F.col("key") > F.col("first")) | F.col("twice"))
-    marks = again.groupBy(F.col("key").alias("m_key"), F.col("hash").alias("m_hash")).agg(
-        F.collect_set(F.when(F.col("key") > F.col("first"), F.struct("d1", "d2"))).alias("__repeats"))
+    found = materialised(named.join(several, same, "left").where(
+        F.when(F.col("d2") == 0, F.col("first").isNotNull()).otherwise((F.col("key") > F.col("first")) | F.col("twice")))
+        .select("key", "hash", "d1", "d2", "first"))
+    again = found.where("d2 <> 0")
+
+    # exact copies of a smaller key's text, told without their texts
+    ids = docs.where(F.col(text).isNotNull()).select(
+        rank.alias("key"), F.xxhash64(text).alias("hash"), F.crc32(F.col(text)).alias("crc"))
+    originals = (ids.groupBy("hash", "crc").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+                 .where("first < last").select(F.col("hash").alias("o_hash"), F.col("crc").alias("o_crc"), "first"))
+    copies = ids.join(originals, (F.col("hash") == F.col("o_hash")) & (F.col("crc") == F.col("o_crc"))).where(
+        "key > first").select("key", "hash")
+
+    # shared seeds go back to their texts; copies need none
+    common = (found.where("d2 = 0").groupBy(F.col("key").alias("c_key"), F.col("hash").alias("c_hash"))
+              .agg(F.collect_set("d1").alias("__seeds"))
+              .join(copies.distinct(), (F.col("c_key") == F.col("key")) & (F.col("c_hash") == F.col("hash")), "left_anti"))
+    seeded = tagged.join(common, (F.col("__rank") == F.col("c_key")) & (F.col("__hash") == F.col("c_hash"))).select(
+        "__rank", "__hash", "__seeds", *[F.col(f"`{n}`") for n in names])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            origin, found = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
+            for i, (value, wanted) in enumerate(zip(batch.column(3 + spot), batch.column(2))):
+                words = _word_hashes(value.as_py() or "")[0]
+                mine = np.isin(_run_seeds(words, passage_words), wanted.values.to_numpy(zero_copy_only=False))
+                own = _run_hashes(words, passage_words)[mine]
+                found.append(own)
+                origin.append(np.full(len(own), i))
+            yield from dealt(batch, 0, np.concatenate(origin), np.concatenate(found))
+
+    strung = seeded.mapInArrow(runs, "key long, hash long, d1 long, d2 long")
+    passages = strung.join(firsts_of(strung), same).where(F.col("key") > F.col("first"))
+    marks = (again.select("key", "hash", mark, F.lit(False).alias("copy"))
+             .union(passages.select("key", "hash", mark, F.lit(False)))
+             .union(copies.select("key", "hash", F.lit(None).cast("struct<d1: bigint, d2: bigint>"), F.lit(True)))
+             .groupBy(F.col("key").alias("m_key"), F.col("hash").alias("m_hash"))
+             .agg(F.collect_set("mark").alias("__repeats"), F.max("copy").alias("__copy")))
 
-    fields = [f for f in docs.schema.fields if f.name != "removed"]
-    tagged = docs.withColumns({"__rank": rank, "__hash": F.xxhash64(text)})
     joined = tagged.join(marks, (F.col("__rank") == F.col("m_key")) & (F.col("__hash") == F.col("m_hash")), "left") \
-        .select(*[F.col(f"`{f.name}`") for f in fields], "__repeats")
-    spot = [f.name for f in fields].index(text)
+        .select(*[F.col(f"`{n}`") for n in names], "__repeats", "__copy")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
         for batch in batches:
             texts, gone = [], []
-            for value, repeats in zip(batch.column(spot), batch.column(len(fields))):
+            for value, repeats, copy in zip(batch.column(spot), *batch.columns[len(fields):]):
                 body = value.as_py()
                 spans = []
                 if body and repeats.is_valid:
-                    repeated = {np.array([r["d1"], r["d2"]], dtype="<i8").tobytes() for r in repeats.as_py()}
-                    spans = removed_spans(body, repeated, line_words, sentence_words, run_words)
+                    halves = [x.to_numpy(zero_copy_only=False) for x in repeats.values.flatten()]
+                    repeated = None if copy.as_py() else set(_as_bytes(np.stack(halves, axis=1).astype("<i8")))
+                    spans = removed_spans(body, repeated, line_words, sentence_words, run_words, passage_words)
                 texts.append(without(body, spans) if spans else body)
                 gone.append([{"start": a, "end": b} for a, b in spans])
-            columns = list(batch.columns[:-1])
+            columns = list(batch.columns[:-2])
             columns[spot] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind)],
-                                             names=[*[f.name for f in fields], "removed"])
+                                             names=[*names, "removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return joined.mapInArrow(clean, schema + ", removed array<struct<start: int, end: int>>")
