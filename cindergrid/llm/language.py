@@ -27,7 +27,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindergrid.llm.common import bounded_batches, materialised
@@ -72,18 +72,32 @@ class TextModel:
 
 def fit_text_model(texts: DataFrame, *, text: str = "text", language: str = "lang", max_rows: int = 8_000,
                    smoothing: float = 0.5) -> TextModel:
-    """Fit on at most ``max_rows`` rows with a language, chosen by the hash of language and text.
+    """Fit on at most ``max_rows`` distinct texts of each language, chosen by the hash of language and text.
 
+    Every language that labels a text enters the model, whatever its share.
     The driver gets one row per language and bucket that occurs: at most
-    65,536 per language, and languages only of the chosen rows.
+    65,536 per language.
     """
     chosen = (texts.select(F.lower(F.trim(language)).alias("lang"), F.col(text).alias("text"))
               .where("lang is not null and lang <> '' and text is not null")
               .withColumn("hash", F.xxhash64("lang", "text")))
-    # the limit's threshold comes from the hashes alone, so that no text is sorted
-    top = chosen.select("hash").orderBy("hash").limit(max_rows).agg(F.max("hash")).first()[0]
-    if top is None:
+    # copies are one hash; each language is cut into slices by hash, and only slices that can hold
+    # its lowest hashes are ranked, so that no text is sorted and no task ranks a whole language
+    hashes = chosen.select("lang", "hash").distinct().withColumn("slice", F.shiftright("hash", 52))
+    sizes = hashes.groupBy("lang", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("slice").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("before", before).where(F.col("before") < max_rows).select(
+        F.col("lang").alias("s_lang"), F.col("slice").alias("s_slice"), "before")
+    place = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("hash")) + F.col("before")
+    low = (hashes.join(sizes, (F.col("lang") == F.col("s_lang")) & (F.col("slice") == F.col("s_slice")))
+           .withColumn("place", place).where(F.col("place") <= max_rows)
+           .groupBy("lang").agg(F.max("hash").alias("top")).collect())
+    if not low:
         return TextModel((), np.zeros((0, BUCKETS)))
+    tops = texts.sparkSession.createDataFrame([(r["lang"], r["top"]) for r in low], "t_lang string, top long")
+    sample = (chosen.join(F.broadcast(tops), F.col("lang") == F.col("t_lang")).where("hash <= top")
+              .groupBy("lang", "hash").agg(F.first("text").alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
@@ -97,7 +111,7 @@ def fit_text_model(texts: DataFrame, *, text: str = "text", language: str = "lan
                                              names=["lang", "bucket", "n"])
 
     bounded_batches(texts.sparkSession)
-    counts = chosen.where(F.col("hash") <= top).select("lang", "text").mapInArrow(
+    counts = sample.select("lang", "text").mapInArrow(
         count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
     table = np.full((len(languages), BUCKETS), smoothing)
