@@ -13,7 +13,9 @@ For each row the posterior over the model's languages multiplies
 
 The shares and the declaration table are grouped aggregates of the text-only
 posteriors of all rows.  The text model is fitted on a bounded number of
-labelled texts (``max_rows``).
+distinct labelled texts of each language (``max_rows``).  A text that none of
+its languages explains is in none of them: it is undetermined and counts
+nowhere.
 """
 
 from __future__ import annotations
@@ -59,13 +61,31 @@ class TextModel:
     logs: np.ndarray
     longest: float = 100.0
 
+    share: float = 0.35
+
+    def __post_init__(self):
+        # a text's mean per trigram under its own language is near the language's negative entropy,
+        # and near the uniform one where the language doesn't know it
+        uniform = -math.log(BUCKETS)
+        logs = self.logs.astype(np.float64)
+        self.floors = uniform + self.share * np.maximum((np.exp(logs) * logs).sum(axis=1) - uniform, 0.0)
+
     def log_likelihoods(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Number of trigrams, and tempered log-likelihoods less their largest."""
+        """Number of trigrams, and tempered log-likelihoods less their largest.
+
+        A text in none of the languages has its number of trigrams negative
+        and likelihoods that are all alike: under the likeliest language its
+        mean per trigram is below that language's floor, ``share`` of the way
+        from uniform trigrams to what the language's own texts have.
+        """
         found = trigram_buckets(text)
         if not len(found) or not self.languages:
             return len(found), np.zeros(len(self.languages))
         counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS else None
         mean = (self.logs @ counts if counts is not None else self.logs[:, found].sum(axis=1)) / len(found)
+        best = int(mean.argmax())
+        if mean[best] < self.floors[best]:
+            return -len(found), np.zeros(len(self.languages))
         total = mean * min(len(found) / 3.0, self.longest)
         return len(found), total - total.max()
 
@@ -218,8 +238,9 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...], *, strength: float = 5
 
     Returns ``key, lang string, posterior double, text_lang, declared, host
     string, trigrams long``.  ``lang`` is ``und`` where no posterior reaches
-    ``least``, where the text has no letters, or where the model knows no
-    language.  Of equal posteriors the first language in order counts.
+    ``least``, where the text has no letters or is in none of the model's
+    languages (``trigrams`` negative in ``evidence``; the posterior is 0 then,
+    whatever is declared), or where the model knows no language.  Of equal posteriors the first language in order counts.
     """
     if not languages:
         return evidence.select("key", F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("posterior"),
@@ -280,9 +301,10 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...], *, strength: float = 5
                           F.when(F.col("trigrams") > 0, F.element_at(
                               names, F.array_position("logs", F.array_max("logs")).cast("int"))).alias("text_lang"),
                           "declared", "host", "trigrams")
+    found = found.withColumn("posterior", F.when(F.col("trigrams") < 0, F.lit(0.0)).otherwise(F.col("posterior")))
     sure = (F.col("posterior") >= least) & (F.col("trigrams") > 0)
     return found.select("key", F.when(sure, F.col("guess")).otherwise(F.lit(UNDETERMINED)).alias("lang"),
-                        "posterior", "text_lang", "declared", "host", "trigrams")
+                        "posterior", "text_lang", "declared", "host", F.abs("trigrams").alias("trigrams"))
 
 
 def identify_pages(pages: DataFrame, model: TextModel, *, key: str = "page_id", url: str = "url",
