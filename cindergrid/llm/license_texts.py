@@ -46,4 +46,24 @@ NOTICES: dict[str, str] = {
         "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
         "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
         "with the distribution."),
+    "bsd-line": "Released under the BSD License.",
+    "cc-by-4.0-short-line": "Licensed under CC BY 4.0.",
+    "cc0-1.0-line": "Licensed under CC0 1.0.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+}
+
+# The same words as a relative's notice but for the license's name or a clause more.
+_GPL = NOTICES["gpl-3.0-notice"]
+NOTICES |= {
+    "gpl-2.0-notice": _GPL.replace("either version 3", "either version 2"),
+    "lgpl-3.0-notice": _GPL.replace("GNU General", "GNU Lesser General"),
+    "agpl-3.0-notice": _GPL.replace("GNU General", "GNU Affero General"),
+    "bsd-3-clause": NOTICES["bsd-2-clause"] + (
+        " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."),
 }

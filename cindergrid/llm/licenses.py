@@ -12,8 +12,11 @@ A notice is found in a text by aligning their words:
    matched; words that occur exactly once on both sides are anchors; the
    longest increasing subsequence of the anchors' places is kept; and the
    gaps between kept anchors are aligned in the same way.
-4. *Coverage* is the share of the notice's words that were matched.  Of
-   matches that overlap in the text, the one with most words stays.
+4. *Coverage* is the share of the notice's words that were matched.  A
+   notice of under ``WHOLE`` words must be matched whole and without words
+   between, and so must the *naming words* of longer ones: each phrase that
+   tells the license from its relatives, at one of its places.  Of matches that overlap in
+   the text, the one with most words stays.
 
 Each text is scanned where it is read; nothing is shuffled.
 """
@@ -34,6 +37,29 @@ from cindergrid.llm.common import bounded_batches
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 
+WHOLE = 12
+
+# what names a license inside a longer notice, and what must not stand between
+_NAMING = re.compile(
+    r"(?:apache|mit|mozilla|eclipse|boost) (?:public |software )?license(?: version \d[\d.]*)?"
+    r"|\b(?:lesser|library|affero)\b|version \d[\d.]*"
+    r"|creative commons attribution\S* \d[\d.]*")
+
+
+# words that make another license of the same notice where it doesn't have them
+_OTHERS = frozenset(("lesser", "library", "affero"))
+
+
+def naming_runs(words: list[str]) -> list[tuple[int, int]]:
+    """Places of the runs of words that name the license."""
+    starts, at = {}, 0
+    for i, w in enumerate(words):
+        starts[at] = i
+        at += len(w) + 1
+    return [(starts[m.start()], starts[m.start()] + m[0].count(" ") + 1)
+            for m in _NAMING.finditer(" ".join(words)) if m.start() in starts]
+
+
 def words_of(text: str) -> list[str]:
     return [m[0].lower() for m in _WORD.finditer(text)]
 
@@ -95,6 +121,7 @@ class Scanner:
         self.notices = {name: words_of(body) for name, body in notices.items()}
         if not all(self.notices.values()):
             raise ValueError("a notice without words")
+        self.naming = {name: [(0, len(ws))] if len(ws) < WHOLE else naming_runs(ws) for name, ws in self.notices.items()}
         tally = Counter(w for ws in self.notices.values() for w in set(ws))
         self.signals: dict[str, list[str]] = {}
         for name, ws in self.notices.items():
@@ -116,6 +143,19 @@ class Scanner:
             self.automaton.add_word(w, w)
         self.automaton.make_automaton()
 
+    def _named(self, name: str, found: list[tuple[int, int]], words: list[str], low: int) -> bool:
+        """Whether every naming phrase of the notice is matched somewhere, word by word."""
+        between = _OTHERS.intersection(words[low + found[0][0]: low + found[-1][0] + 1])
+        if not between.issubset(self.notices[name]):
+            return False
+        place = {j: i for i, j in found}
+        phrases: dict[tuple[str, ...], bool] = {}
+        for a, b in self.naming[name]:
+            phrase = tuple(self.notices[name][a:b])
+            whole = all(j in place and place[j] - place.get(a, -1) == j - a for j in range(a, b))
+            phrases[phrase] = phrases.get(phrase, False) or whole
+        return all(phrases.values())
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """``(notice, coverage, start, end)`` with code-point offsets, in the order of the text."""
         low = f" {text.lower()} "
@@ -143,7 +183,7 @@ class Scanner:
                         low = max(low, at[k - 1] + 1 if k else 0)
                         high = min(high, at[k + 1] if k + 1 < len(at) else len(words))
                     found = patience_align(words[low:high], notice)
-                    if len(found) >= self.coverage * len(notice) - 1e-9:
+                    if len(found) >= self.coverage * len(notice) - 1e-9 and self._named(name, found, words, low):
                         first, last = low + found[0][0], low + found[-1][0] + 1
                         if last - first <= 2 * reach:
                             best[name, first, last] = len(found)
