@@ -62,6 +62,7 @@ class TextModel:
     longest: float = 100.0
 
     share: float = 0.35
+    slack: float = 5.5
 
     def __post_init__(self):
         # a text's mean per trigram under its own language is near the language's negative entropy,
@@ -84,7 +85,8 @@ class TextModel:
         counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS else None
         mean = (self.logs @ counts if counts is not None else self.logs[:, found].sum(axis=1)) / len(found)
         best = int(mean.argmax())
-        if mean[best] < self.floors[best]:
+        # the mean of few trigrams varies, so short texts have a lower floor
+        if mean[best] < self.floors[best] - self.slack / math.sqrt(len(found)):
             return -len(found), np.zeros(len(self.languages))
         total = mean * min(len(found) / 3.0, self.longest)
         return len(found), total - total.max()
