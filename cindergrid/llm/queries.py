@@ -43,6 +43,14 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""
 
 
+ORACLES["op11_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: floor(64 * e)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text under the multilingual rank file."""
@@ -119,3 +127,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cindergrid.llm.license_texts import NOTICES
     from cindergrid.llm.licenses import scan_licenses
     return scan_licenses(table(spark, sf_dir, "documents"), NOTICES)
+
+
+@query
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector against all others."""
+    from cindergrid.llm.topk import top_k
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
