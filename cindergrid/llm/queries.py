@@ -51,6 +51,30 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.x, b.x) A
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
+ORACLES["op13_phrases"] = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM w),
+g AS (SELECT lang, size, unnest(list_transform(range(1, greatest(len(w) - size + 2, 1)),
+             lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM s),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:size], ' ') AS rp
+      FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+x AS (SELECT k.lang, k.phrase, k.a, l.a AS l, r.a AS r, k.k,
+             CAST(CAST(2000000 AS HUGEINT) * k.a // (l.a + r.a) AS BIGINT) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = lp JOIN f r ON r.lang = k.lang AND r.phrase = rp),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (SELECT lang, size, a, w, unnest(range(2, size)) AS part FROM c WHERE size > 2),
+v AS (SELECT lang, part, a, w, unnest(range(1, size - part + 2)) AS pos FROM u),
+y AS (SELECT lang, array_to_string(w[pos:pos + part - 1], ' ') AS phrase, max(a) AS longer FROM v GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN y ON y.lang = b.lang AND y.phrase = b.phrase
+      WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * b.a)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN t ON t.lang = z.lang WHERE rank <= 2000"""
+
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text under the multilingual rank file."""
@@ -134,3 +158,10 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every 20th vector against all others."""
     from cindergrid.llm.topk import top_k
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language over all documents."""
+    from cindergrid.llm.phrases import collocations
+    return collocations(table(spark, sf_dir, "documents"))
