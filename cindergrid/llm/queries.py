@@ -165,3 +165,13 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best collocations of each language over all documents."""
     from cindergrid.llm.phrases import collocations
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and piece tokens of every document, aligned and linked."""
+    import public_tokenizers
+
+    from cindergrid.llm.alignment import align_tokens
+    return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
