@@ -191,7 +191,7 @@ def _best(blocks: _Blocks, state: DataFrame) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding",
-          scale: float = 64.0, bins: int = 256, query_block: int = 1024, candidate_block: int = 1024) -> DataFrame:
+          scale: float = 64.0, bins: int = 256, query_block: int = 1024, candidate_block: int = 4096) -> DataFrame:
     """The ``k`` best candidates of each query row: ``query_id long, rank int, key long, score long``.
 
     Queries are the rows whose key is divisible by ``every``; candidates are
