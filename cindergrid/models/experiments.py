@@ -5,6 +5,7 @@ parameters and one-row results.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cindergrid.models import boosting, trees
 from cindergrid.models import estimators as est
 from cindergrid.operators import kernels, metrics, prep, report, sampling
 from cindergrid.session import materialize
@@ -39,43 +41,45 @@ def _predictions(model, df: DataFrame, keep: Sequence[str], name: str) -> DataFr
 def run_experiment(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, experiment: str,
                    keep: Sequence[str] = (), naive_col: str | None = "premium_lag1",
                    models: Sequence[str] = ("ridge", "forest", "boosted"), forest_trees: int = 200,
-                   forest_depth: int = 30, gbt_iters: int = 200, alpha: float = 1.0,
-                   rounding: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+                   forest_depth: int | None = None, gbt_iters: int = 200, alpha: float = 1.0,
+                   rounding: Mapping[str, int] | None = None, key: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """M9: impute with train medians (taken before the null-target drop), drop
-    null targets, naive baseline + Spark ML models, one metrics aggregate.
+    null targets, naive baseline, ridge, forest and boosting, one metrics aggregate.
 
     Returns ``(metrics, predictions)``; predictions keep ``keep`` columns.
+    The draws of the forest go by ``key`` (by all columns where none is
+    given, so that equal rows are drawn together).  Fitted trees are tables;
+    each model's predictions are written before they are stacked.
     """
     feats = list(features)
-    cols = list(dict.fromkeys([*keep, *feats, target] + ([naive_col] if naive_col else [])))
+    cols = list(dict.fromkeys([*keep, *key, *feats, target] + ([naive_col] if naive_col else [])))
     tr, te, _ = prep.impute_train_median(train.select(*cols), test.select(*cols), feats)
-    tr = tr.filter(F.col(target).isNotNull())
-    te = te.filter(F.col(target).isNotNull())
+    tr = materialize(tr.filter(F.col(target).isNotNull()))
+    te = materialize(te.filter(F.col(target).isNotNull()))
+    ident = list(key) or cols
     preds = []
     if naive_col and naive_col in feats:
         preds.append(te.select(*keep, F.col(target).alias("y"), F.col(naive_col).cast("double").alias("yhat"),
                                F.lit(NAIVE).alias("model")))
-    tr_v = assemble(tr, feats).persist(StorageLevel.MEMORY_AND_DISK)
-    te_v = assemble(te, feats)
-    try:
-        if "ridge" in models:
-            params = prep.fit_scaler(tr, feats)
-            tr_s = assemble(prep.apply_scaler(tr, params), feats)
-            te_s = assemble(prep.apply_scaler(te, params), feats)
-            m = est.ridge(tr_s, target, alpha).fit(tr_s)
-            preds.append(_predictions(m, te_s.withColumn("y", F.col(target)), [*keep, "y"], "Ridge"))
-        if "forest" in models:
-            m = est.random_forest_regressor(target, forest_trees, forest_depth).fit(tr_v)
-            preds.append(_predictions(m, te_v.withColumn("y", F.col(target)), [*keep, "y"], "Random Forest"))
-        if "boosted" in models:
-            m = est.gbt_regressor(target, gbt_iters).fit(tr_v)
-            preds.append(_predictions(m, te_v.withColumn("y", F.col(target)), [*keep, "y"], "Gradient Boosting"))
-    finally:
-        tr_v.unpersist()
+    if "ridge" in models:
+        params = prep.fit_scaler(tr, feats)
+        tr_s = assemble(prep.apply_scaler(tr, params), feats)
+        te_s = assemble(prep.apply_scaler(te, params), feats)
+        m = est.ridge(tr_s, target, alpha).fit(tr_s)
+        preds.append(_predictions(m, te_s.withColumn("y", F.col(target)), [*keep, "y"], "Ridge"))
+    fits = {}
+    if "forest" in models:
+        fits["Random Forest"] = trees.fit_forest(tr, feats, target, ident, trees=forest_trees, max_depth=forest_depth,
+                                                 seed=est.SEED)
+    if "boosted" in models:
+        fits["Gradient Boosting"] = boosting.fit_boosted(tr, feats, target, ident, rounds=gbt_iters, seed=est.SEED)
+    for name, fitted in fits.items():
+        scored = trees.score_trees(te.withColumn("y", F.col(target)), fitted, feats, "yhat")
+        preds.append(materialize(scored.select(*keep, "y", "yhat", F.lit(name).alias("model"))))
     allp = report.stack_frames(preds).withColumn("experiment", F.lit(experiment))
     met = metrics.regression_metrics(allp, "y", "yhat", ["experiment", "model"],
                                      rounding=dict(rounding or {"MAE": 2, "RMSE": 2, "R2": 4, "MAPE": 2}), half_even=True)
-    return met, allp
+    return materialize(met), allp
 
 
 def experiment_matrix(train: DataFrame, test: DataFrame, feature_sets: Mapping[str, Sequence[str]], target: str,
@@ -83,7 +87,8 @@ def experiment_matrix(train: DataFrame, test: DataFrame, feature_sets: Mapping[s
     """The same run over several feature sets; metric rows stacked.
 
     Up to ``parallelism`` sets are fitted at a time: a boosted fit is a long
-    chain of short jobs, which leave executors idle on their own.
+    chain of short jobs, which leave executors idle on their own.  A set's
+    metric rows are written as soon as it is done.
     """
     def one(item):
         name, feats = item
@@ -145,7 +150,7 @@ def fit_scorer(make: Callable[[float], object], train: DataFrame, label: str,
     return Scorer(name, model, features, list(columns), seconds)
 
 
-def evaluate(scorer: Scorer, valid: DataFrame, label: str, keep: Sequence[str] = ()
+def evaluate(scorer: Scorer | TreeScorer, valid: DataFrame, label: str, keep: Sequence[str] = ()
              ) -> tuple[DataFrame, DataFrame, float]:
     """Metrics (one row, with the fit's seconds), predictions and the fit's seconds."""
     pred = scorer.score(valid).select(*keep, F.col(label), "pred", "prob")
@@ -160,6 +165,42 @@ def evaluate_classifier(estimator, train: DataFrame, valid: DataFrame, features:
     return evaluate(fit_scorer(lambda _: estimator, train, label, _columns(features), features, name), valid, label, keep)
 
 
+@dataclass
+class TreeScorer:
+    """A fitted ensemble of trees for a 0/1 label: mean leaf shares, or log odds where it has a start value."""
+
+    name: str
+    model: trees.Forest
+    columns: list[str]
+    fit_seconds: float
+
+    def score(self, df: DataFrame, prob: str = "prob", pred: str = "pred") -> DataFrame:
+        """``df`` plus P(class 1) and the class (1 above one half)."""
+        out = trees.score_trees(df, self.model, self.columns, "__cg_s")
+        p = F.col("__cg_s") if self.model.start is None else 1 / (1 + F.exp(-F.col("__cg_s")))
+        return out.withColumn(prob, p).withColumn(pred, (F.col(prob) > 0.5).cast("int")).drop("__cg_s")
+
+
+def fit_forest_classifier(train: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = (),
+                          n_trees: int = 300, seed: int = est.SEED, name: str = "Random Forest", **kw) -> TreeScorer:
+    """M5: square root of the features at a split, balanced weights, trees grown to the end."""
+    slim, _ = weighted(train.select(*dict.fromkeys([*key, *features, label])), label)
+    slim, t0 = materialize(slim), time.time()
+    model = trees.fit_forest(slim, features, label, list(key) or [*features, label], trees=n_trees, weight="weight",
+                             max_features=max(1, math.isqrt(len(features))), seed=seed, **kw)
+    return TreeScorer(name, model, list(features), time.time() - t0)
+
+
+def fit_boosted_classifier(train: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = (),
+                           rounds: int = 300, seed: int = est.SEED, name: str = "Gradient Boosting", **kw) -> TreeScorer:
+    """M6: log-loss boosting on eight tenths of the rows a round, balanced weights, Newton leaves."""
+    slim, _ = weighted(train.select(*dict.fromkeys([*key, *features, label])), label)
+    slim, t0 = materialize(slim), time.time()
+    model = boosting.fit_boosted(slim, features, label, list(key) or [*features, label], rounds=rounds, weight="weight",
+                                 loss=boosting.LOGISTIC, subsample=0.8, seed=seed, **kw)
+    return TreeScorer(name, model, list(features), time.time() - t0)
+
+
 def _columns(features: Sequence[str]) -> Callable[[DataFrame, str], DataFrame]:
     return lambda df, out: assemble(df, features, out)
 

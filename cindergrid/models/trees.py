@@ -37,7 +37,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -298,51 +297,46 @@ SPLITS = "slot int, feature int, low int, high int, n_l long, w_l double, s_l do
     "s_r double, h_r double"
 
 
+def pick_split(cells: pa.Table, features: int, width: int, m: int | None = None, seed: int = 0,
+               name: tuple[int, int] = (0, 0)) -> dict[str, float]:
+    """The split of one node's histogram: ``feature``, the bins around it and both sides' sums; feature -1 without one."""
+    at = cells["feature"].to_numpy(), cells["bin"].to_numpy()
+    dense = {c: np.zeros((features, width)) for c in ("n", "w", "s", "q", "h")}
+    for c, v in dense.items():
+        v[at] = cells[c].to_numpy()
+    upto = {c: np.cumsum(v, axis=1) for c, v in dense.items()}
+    whole = {c: v[:, -1:] for c, v in upto.items()}
+    there = dense["n"] > 0
+    ok = there & (upto["n"] < whole["n"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sl, wl = upto["s"], upto["w"]
+        gain = np.where(ok, sl * sl / wl + (whole["s"] - sl) ** 2 / (whole["w"] - wl), -np.inf)
+    use = ok.any(axis=1)
+    if m is not None and m < features:
+        use = _allowed(use[None], feature_order(np.array([name[1] * 1_000_003]), features, name[0], seed), m)[0]
+    gain[~use] = -np.inf
+    j, low = divmod(int(np.argmax(gain)), width)
+    # targets that are all equal have no spread about their mean
+    w, s, q = whole["w"][j, 0], whole["s"][j, 0], whole["q"][j, 0]
+    if not use.any() or q - s * s / w <= 1e-12 * q:
+        found = {"feature": -1, "low": 0, "high": 0}
+        sides = [{c: whole[c][0, 0] for c in "nwsh"}, dict.fromkeys("nwsh", 0.0)]
+    else:
+        found = {"feature": j, "low": low, "high": low + 1 + int(np.argmax(there[j, low + 1:]))}
+        sides = [{c: upto[c][j, low] for c in "nwsh"}, {c: whole[c][j, 0] - upto[c][j, low] for c in "nwsh"}]
+    return found | {f"{c}_{side}": int(v) if c == "n" else float(v) for side, sums in zip("lr", sides) for c, v in sums.items()}
+
+
 def best_splits(sums: DataFrame, features: int, width: int, m: int | None = None, seed: int = 0,
                 names: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """The split of each slot: ``feature``, the bins around it and both sides' sums; feature -1 without one.
-
-    ``names`` are (tree, node) of the slots, which the choice of features depends on.
-    """
+    """:func:`pick_split` of every slot, in tasks; ``names`` are (tree, node) of the slots."""
     names = list(names)
 
     def run(key: tuple, cells: pa.Table) -> pa.Table:
-        at = cells["feature"].to_numpy(), cells["bin"].to_numpy()
-        dense = {}
-        for c in ("n", "w", "s", "q", "h"):
-            dense[c] = np.zeros((features, width))
-            np.add.at(dense[c], at, cells[c].to_numpy())
-        upto = {c: np.cumsum(v, axis=1) for c, v in dense.items()}
-        whole = {c: v[:, -1:] for c, v in upto.items()}
-        there = dense["n"] > 0
-        ok = there & (upto["n"] < whole["n"])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sl, wl = upto["s"], upto["w"]
-            gain = np.where(ok, sl * sl / wl + (whole["s"] - sl) ** 2 / (whole["w"] - wl), -np.inf)
         slot = key[0].as_py()
-        use = ok.any(axis=1)
-        if m is not None and m < features:
-            tree, node = names[slot]
-            rank = feature_order(np.array([node * 1_000_003]), features, tree, seed)
-            use = _allowed(use[None], rank, m)[0]
-        gain[~use] = -np.inf
-        j, low = divmod(int(np.argmax(gain)), width)
-        # targets that are all equal have no spread about their mean
-        w, s, q = whole["w"][j, 0], whole["s"][j, 0], whole["q"][j, 0]
-        spread = q - s * s / w
-        row: dict[str, list] = {"slot": [slot]}
-        if not use.any() or spread <= 1e-12 * max(q, 1e-300):
-            row |= {"feature": [-1], "low": [0], "high": [0]}
-            sides = [{c: float(whole[c][0, 0]) for c in "nwsh"}, dict.fromkeys("nwsh", 0.0)]
-        else:
-            high = low + 1 + int(np.argmax(there[j, low + 1:]))
-            row |= {"feature": [j], "low": [low], "high": [high]}
-            sides = [{c: float(upto[c][j, low]) for c in "nwsh"}, {c: float(whole[c][j, 0] - upto[c][j, low]) for c in "nwsh"}]
-        for name, side in zip("lr", sides):
-            row |= {f"{c}_{name}": [side[c]] for c in "nwsh"}
+        row = {"slot": slot, **pick_split(cells, features, width, m, seed, names[slot])}
         kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
-        parts = [p.split(" ") for p in SPLITS.split(", ")]
-        return pa.table({c: pa.array([int(row[c][0]) if t != "double" else row[c][0]], kinds[t]) for c, t in parts})
+        return pa.table({c: pa.array([row[c]], kinds[t]) for c, t in (p.split(" ") for p in SPLITS.split(", "))})
 
     return sums.groupBy("slot").applyInArrow(run, SPLITS)
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.functions.scalars import abbreviate_list, coerce_int, leading_code, lookup, year_from_text
-from cindergrid.models import estimators as est
 from cindergrid.models import experiments as ex
 from cindergrid.operators import clean, joins, panel, prep, report, stats
 from cindergrid.plans import presets as P
@@ -142,10 +141,10 @@ def classical_run(dataset: DataFrame, out: str | None = None, features: list[str
     runs = {
         "logistic_regression": (ex.logistic_classifier(train, valid, feats, label),
                                 {"max_iter": 1000, "class_weight": "balanced"}),
-        "random_forest": (ex.evaluate_classifier(est.random_forest_classifier(label, forest_trees, seed=seed), train, valid,
-                                                 feats, label), {"n_estimators": forest_trees, "class_weight": "balanced"}),
-        "gradient_boosting": (ex.evaluate_classifier(est.gbt_classifier(label, boost_rounds, seed=seed), train, valid, feats,
-                                                     label),
+        "random_forest": (ex.evaluate(ex.fit_forest_classifier(train, feats, label, key, forest_trees, seed), valid, label),
+                          {"n_estimators": forest_trees, "class_weight": "balanced"}),
+        "gradient_boosting": (ex.evaluate(ex.fit_boosted_classifier(train, feats, label, key, boost_rounds, seed), valid,
+                                          label),
                               {"n_estimators": boost_rounds, "learning_rate": 0.05, "max_depth": 4, "subsample": 0.8,
                                "class_weight": "balanced (via sample_weight)"}),
         "svm_rbf": (ex.landmark_classifier(train, valid, feats, label, key, kind="rbf", n_landmarks=n_landmarks, seed=seed,
