@@ -2,7 +2,7 @@
 
 from cindergrid.plans import (  # noqa: F401
     driver_composites,
-    driver_fits,
+    driver_fits, driver_linear,
     driver_models,
     driver_panel,
     driver_reports,
