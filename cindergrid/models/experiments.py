@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.models import boosting, trees
+from cindergrid.models import boosting, linear, trees
 from cindergrid.models import estimators as est
 from cindergrid.operators import kernels, metrics, prep, report, sampling
 from cindergrid.session import materialize
@@ -150,7 +150,7 @@ def fit_scorer(make: Callable[[float], object], train: DataFrame, label: str,
     return Scorer(name, model, features, list(columns), seconds)
 
 
-def evaluate(scorer: Scorer | TreeScorer, valid: DataFrame, label: str, keep: Sequence[str] = ()
+def evaluate(scorer: Scorer | TreeScorer | linear.LinearScorer | linear.MarginScorer, valid: DataFrame, label: str, keep: Sequence[str] = ()
              ) -> tuple[DataFrame, DataFrame, float]:
     """Metrics (one row, with the fit's seconds), predictions and the fit's seconds."""
     pred = scorer.score(valid).select(*keep, F.col(label), "pred", "prob")
@@ -210,11 +210,11 @@ def _scaled(features: Sequence[str], params: Mapping[str, tuple[float, float]]):
     return F.array(*[(F.col(c).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1]) for c in features])
 
 
-def fit_logistic(train: DataFrame, features: Sequence[str], label: str, max_iter: int = 1000) -> Scorer:
-    """M4 on A21-scaled features with balanced weights."""
-    vector = _scaled(features, prep.fit_scaler(train, features))
-    return fit_scorer(lambda total: est.logistic(label, total, max_iter=max_iter), train, label,
-                      lambda df, out: df.withColumn(out, array_to_vector(vector)), features, "Logistic Regression")
+def fit_logistic(train: DataFrame, features: Sequence[str], label: str, max_iter: int = 1000) -> linear.LinearScorer:
+    """M4 on A21-scaled features with balanced weights, by Newton steps."""
+    slim, _ = weighted(train.select(*features, label), label)
+    return linear.fit_logistic(materialize(slim), features, label, "weight", scale=prep.fit_scaler(train, features),
+                               steps=max_iter)
 
 
 def logistic_classifier(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
@@ -230,17 +230,18 @@ def draw_landmarks(train: DataFrame, label: str, key: Sequence[str], n: int = 80
 
 def fit_landmarks(train: DataFrame, features: Sequence[str], label: str, key: Sequence[str], kind: str = "fidelity",
                   n_landmarks: int = 800, k_features: int | None = None, gamma: float | None = None, seed: int = 42,
-                  max_iter: int = 200, tol: float = 1e-6, name: str | None = None, sample: DataFrame | None = None,
-                  scale_on: DataFrame | None = None) -> Scorer:
-    """M7 / M8 re-aimed: stratified sample -> MI feature selection (k) -> scaling ->
-    whitened kernel features against the sample -> balanced logistic regression.
+                  tol: float = 1e-6, name: str | None = None, sample: DataFrame | None = None,
+                  scale_on: DataFrame | None = None, folds: int = 5) -> linear.MarginScorer:
+    """M7 / M8: stratified sample -> MI feature selection (k) -> scaling ->
+    whitened kernel features against the sample -> balanced margin classifier
+    with calibrated probabilities.
 
     ``scale_on`` is the frame that the scaler is fitted on: the sample by
     default, as the kernel runs do; the RBF baseline passes all training
     rows.  ``sample`` shares one sample among several fits.  Every training
     row is fitted on (cost rows x landmarks); only the sample reaches the
     driver, and its kernel matrix (``n_landmarks`` squared) is whitened
-    there.  A row whose kernel is undefined has features 0.
+    there.  An undefined kernel value counts as 0.
     """
     sample = sample if sample is not None else draw_landmarks(train, label, key, n_landmarks, seed)
     feats = list(features)
@@ -253,14 +254,10 @@ def fit_landmarks(train: DataFrame, features: Sequence[str], label: str, key: Se
                                       order=["id"])
     g = gamma if gamma is not None else 1.0 / max(len(feats), 1)
     turn = kernels.nystroem_map(marks, kind, g)
-
-    def whitened(df: DataFrame, out: str) -> DataFrame:
-        made = kernels.kernel_features(df.withColumn("__cg_x", vector), "__cg_x", marks, kind, g, "__cg_kv", turn)
-        filled = F.transform("__cg_kv", lambda v: F.coalesce(v, F.lit(0.0)))
-        return made.withColumn(out, array_to_vector(filled)).drop("__cg_x", "__cg_kv")
-
-    return fit_scorer(lambda total: est.logistic(label, total, max_iter=max_iter, tol=tol), train, label, whitened,
-                      feats, name or f"Kernel LR ({kind}, {len(feats)}f)")
+    slim, _ = weighted(train.select(*dict.fromkeys([*key, *feats, label])), label)
+    return linear.fit_margin(slim, vector, len(feats), label, key, feats, weight="weight", landmarks=marks, kind=kind,
+                             gamma=g, turn=turn, folds=folds, seed=seed, tol=tol,
+                             name=name or f"Kernel margin ({kind}, {len(feats)}f)")
 
 
 def landmark_classifier(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, key: Sequence[str],
