@@ -8,19 +8,24 @@ that occur once.  Toivonen's method counts few others than the frequent ones:
 2. one pass over all texts counts the proposed phrases and their negative
    border: phrases that aren't proposed, but whose two parts of one word
    less are.  All single words are proposed or on the border;
-3. a border phrase that turns out frequent was missed by the sample.  It
-   joins the proposed ones, and a further pass counts the phrases that only
-   now have both parts proposed.  Passes end when none fails.
+3. a border phrase that turns out frequent was missed by the sample.  A
+   further pass then takes every phrase that holds a missed one for proposed,
+   and counts the phrases that this adds with their border.  Passes end when
+   none is missed.
 
-Counts are therefore exact and complete whatever the sample holds: a
-frequent phrase has frequent parts, so it is counted in the pass after they
-are known.
+Counts are therefore complete whatever the sample holds: a frequent phrase
+has frequent parts, so either all its parts are proposed, or the shortest one
+that isn't lies on the border, where it is found.
+
+Passes count phrases by 64-bit hashes, which hold the phrase's length: the
+rows of a phrase that occurs once are two numbers.  Equal hashes can only
+raise a count, so no frequent phrase is lost; a last pass counts the phrases
+themselves, exactly, for the hashes that are frequent.
 
 Proposed phrases travel to the tasks as a Bloom filter of bounded size.  A
 phrase that it takes for proposed by mistake only widens the border.  Its
 bits are set by grouped bitmap aggregates; no list of phrases reaches the
-driver.  Tasks count inside runs of ``flush`` words and send distinct
-phrases with their counts.
+driver.  Tasks count inside runs of ``flush`` words.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindergrid.llm.common import bounded_batches, materialised
 
-ROWS = "lang string, words int, phrase string, hash long, known boolean, f long"
+COUNTS = "hash long, f long"
+ROWS = "lang string, words int, phrase string, f long"
+LONGEST = 8  # a hash holds the length in its last three bits
 _MARK = b"\xff"  # between pieces; no byte of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r",
                         b"abcdefghijklmnopqrstuvwxyz " + _MARK * 10)
@@ -98,134 +105,218 @@ class PhraseFilter:
 # --- one pass ------------------------------------------------------------
 
 
-def _run_counts(lang: str, ids: _Ids, words: np.ndarray, filters: Sequence[PhraseFilter], lengths: range
-                ) -> Iterator[tuple]:
-    """``(length, phrases, hashes, known, counts)`` of one run of words of one language.
-
-    ``filters`` are those of all passes so far; phrases that an earlier one
-    already had counted are left out.
+class _Run:
+    """Words of one language as they come, and the hashes of their phrases."""
+
+    def __init__(self, lang: str):
+        import xxhash
+
+        self.digest, self.lang = xxhash.xxh64_intdigest, lang
+        self.ids, self.parts = _Ids({_MARK: 0}), []
+
+    def add(self, text: str) -> int:
+        found = split_words(text)
+        found.append(_MARK)
+        self.parts.append(np.fromiter(map(self.ids.__getitem__, found), np.int32, len(found)))
+        return len(found)
+
+    def close(self) -> None:
+        self.words = np.concatenate([*self.parts, np.zeros(1, np.int32)])
+        self.parts = []
+        self.spelled = list(self.ids)
+        self.hashed = np.fromiter(map(self.digest, self.spelled), np.uint64, len(self.spelled))
+
+    def walk(self, longest: int, members: Sequence[Callable[[int, np.ndarray, list], np.ndarray]]
+             ) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """Per length: where phrases start, their hashes, and for each rule whether it has them counted and proposed.
+
+        A rule of ``members`` says which phrases of a length are proposed;
+        one word more is counted where this and the next place are proposed.
+        Places go on while the last rule counts them, and it counts whatever
+        the others count.  A rule gets the length, the hashes and its own
+        list for what it carries along; arrays in it follow the places.
+        """
+        words = self.words
+        place = np.flatnonzero(words)
+        full = np.full(len(place), self.digest(self.lang.encode()), np.uint64)
+        counted = [np.ones(len(place), bool) for _ in members]
+        carried: list[list] = [[] for _ in members]
+        for length in range(1, longest + 1):
+            with np.errstate(over="ignore"):
+                full = _mixed(full * _PRIME + self.hashed[words[place + length - 1]])
+            named = (full & ~np.uint64(LONGEST - 1)) | np.uint64(length - 1)
+            proposed = [m(length, named, c) for m, c in zip(members, carried)]
+            yield length, place, named, counted, proposed
+            if length == longest or not members:
+                return
+            follows = np.zeros(len(place), bool)
+            follows[:-1] = place[1:] == place[:-1] + 1
+            held = [p & c for p, c in zip(proposed, counted)]
+            counted = [h & np.append(h[1:], False) & follows for h in held]
+            keep = np.flatnonzero(counted[-1])
+            for c in carried:
+                # what is carried for a place holds for this and the next one
+                c[:] = [(v | np.append(v[1:], False))[keep] for v in c]
+            place, full, counted = place[keep], full[keep], [c[keep] for c in counted]
+
+
+def _in(filter_: PhraseFilter) -> Callable[[int, np.ndarray, list], np.ndarray]:
+    return lambda length, named, carried: filter_.has(named)
+
+
+def _in_or_around(filter_: PhraseFilter, missed: PhraseFilter) -> Callable[[int, np.ndarray, list], np.ndarray]:
+    """Proposed: in the filter, or with a missed phrase inside."""
+
+    def rule(length: int, named: np.ndarray, carried: list) -> np.ndarray:
+        around = missed.has(named)
+        if carried:
+            around |= carried[0]
+        carried[:] = [around]
+        return filter_.has(named) | around
+
+    return rule
+
+
+def _runs(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[list[_Run]]:
+    """Runs of about ``flush`` words, by language."""
+    runs: dict[str, _Run] = {}
+    held = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if lang not in runs:
+                runs[lang] = _Run(lang)
+            held += runs[lang].add(text)
+            if held >= flush:
+                for r in runs.values():
+                    r.close()
+                yield list(runs.values())
+                runs, held = {}, 0
+    for r in runs.values():
+        r.close()
+    yield list(runs.values())
+
+
+def _hash_counts(texts: DataFrame, filters: Sequence[PhraseFilter], lengths: range, flush: int) -> DataFrame:
+    """``hash, f``: all occurrences of the phrases that the last rule counts and no earlier one does.
+
+    ``filters`` are none (every word counts), the proposed phrases, or these
+    and the missed ones of a further pass.
     """
-    import xxhash
-
-    spelled = list(ids)
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in spelled), np.uint64, len(spelled))
-    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    place = np.flatnonzero(words)  # where the phrases of this length start
-    code, size = words[place], len(spelled)
-    counted = [np.ones(len(place), bool) for _ in filters]  # whether each pass has the phrase at a place
-    full = np.full(len(place), seed, np.uint64)
-    for length in range(1, lengths[-1] + 1):
-        with np.errstate(over="ignore"):
-            full = _mixed(full * _PRIME + hashed[words[place + length - 1]])
-        unique, first, where, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        member = [f.has(full[first]) for f in filters]
-        known = member[-1] if filters else np.zeros(len(unique), bool)
-        if length in lengths:
-            before = np.zeros(len(unique), bool)
-            for earlier in counted[:-1]:
-                before |= earlier[first]
-            fresh = np.flatnonzero(~before)
-            starts = place[first[fresh]]
-            columns = [[spelled[i] for i in words[starts + j].tolist()] for j in range(length)]
-            phrases = columns[0] if length == 1 else list(map(b" ".join, zip(*columns)))
-            yield length, phrases, full[first[fresh]].astype(np.int64), known[fresh], n[fresh]
-        if length == lengths[-1] or not filters:
-            break
-        # a phrase one word longer starts where this and the next place have a proposed phrase
-        follows = np.zeros(len(place), bool)
-        follows[:-1] = place[1:] == place[:-1] + 1
-        held = [m[where] & c for m, c in zip(member, counted)]
-        ahead = [h & np.append(h[1:], False) & follows for h in held]
-        keep = np.flatnonzero(ahead[-1])
-        following = words[place[keep] + length]
-        place, full, counted = place[keep], full[keep], [a[keep] for a in ahead]
-        code = where[keep].astype(np.int64) * size + following
-
-
-def _pass(texts: DataFrame, filters: Sequence[PhraseFilter], lengths: range, flush: int) -> DataFrame:
-    """Exact counts over all rows of ``texts(lang, text)``, one row per language and phrase.
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast([(f.size, f.bits) for f in filters])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = [PhraseFilter(*f) for f in shared.value]
+        members = [] if not told else [_in(told[0])] + ([_in_or_around(*told)] if len(told) > 1 else [])
+        for runs in _runs(batches, flush):
+            for one in runs:
+                for length, _, named, counted, _ in one.walk(lengths[-1], members):
+                    if length not in lengths:
+                        continue
+                    fresh = named if len(members) < 2 else named[~counted[0]]
+                    hashes, n = np.unique(fresh, return_counts=True)
+                    for start in range(0, len(hashes), 1 << 17):
+                        cut = slice(start, start + (1 << 17))
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes[cut].astype(np.int64)), pa.array(n[cut])],
+                                                         names=["hash", "f"])
+
+    bounded_batches(spark)
+    # tasks have added up their own; dealing first spares a second adding up before the shuffle
+    rows = texts.select("lang", "text").mapInArrow(run, COUNTS).repartition("hash")
+    return rows.groupBy("hash").agg(F.sum("f").alias("f"))
+
+
+def _named_counts(texts: DataFrame, frequent: PhraseFilter, longest: int, flush: int) -> DataFrame:
+    """``lang, words, phrase, f``: exact counts of the phrases whose hash is in the filter.
 
     The row of 0 words and an empty phrase has a language's number of words.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast([(f.size, f.bits) for f in filters])
+    shared = spark.sparkContext.broadcast((frequent.size, frequent.bits))
+
+    def rows(one: _Run, filter_: PhraseFilter) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+        yield 0, [b""], np.array([np.count_nonzero(one.words)])
+        size = len(one.spelled)
+        for length, place, _, _, proposed in one.walk(longest, [_in(filter_)]):
+            at = place[proposed[0]]
+            code = np.zeros(len(at), np.int64)
+            for j in range(length):
+                if len(code) and int(code.max()) >= (1 << 62) // size:  # numbered anew, so that codes stay exact
+                    code = np.unique(code, return_inverse=True)[1]
+                code = code * size + one.words[at + j]
+            _, first, n = np.unique(code, return_index=True, return_counts=True)
+            columns = [[one.spelled[i] for i in one.words[at[first] + j].tolist()] for j in range(length)]
+            yield length, list(map(b" ".join, zip(*columns))), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = [PhraseFilter(*f) for f in shared.value]
-        runs: dict[str, tuple[_Ids, list[np.ndarray]]] = {}
-        held = 0
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, (ids, parts) in runs.items():
-                words = np.concatenate([*parts, np.zeros(1, np.int64)])
-                total = int(np.count_nonzero(words))
-                out = _run_counts(lang, ids, words, told, lengths) if total else ()
-                for length, phrases, hashes, known, n in [(0, [b""], np.zeros(1, np.int64), [True], [total]), *out]:
-                    for start in range(0, len(phrases), 1 << 16):
-                        cut = slice(start, start + (1 << 16))
-                        size = len(phrases[cut])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * size, pa.string()), pa.array([length] * size, pa.int32()),
-                             pa.array(phrases[cut], pa.binary()).cast(pa.string()), pa.array(hashes[cut], pa.int64()),
-                             pa.array(known[cut], pa.bool_()), pa.array(n[cut], pa.int64())],
-                            names=["lang", "words", "phrase", "hash", "known", "f"])
+        filter_ = PhraseFilter(*shared.value)
+        for runs in _runs(batches, flush):
+            for one in runs:
+                for length, phrases, n in rows(one, filter_):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([one.lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)),
+                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)],
+                        names=["lang", "words", "phrase", "f"])
+
+    bounded_batches(spark)
+    return texts.select("lang", "text").mapInArrow(run, ROWS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+
 
+def _unproposed(counts: DataFrame, filter_: PhraseFilter, longest: int) -> DataFrame:
+    """The hashes of phrases shorter than ``longest`` that the filter doesn't hold."""
+    shared = counts.sparkSession.sparkContext.broadcast((filter_.size, filter_.bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = PhraseFilter(*shared.value)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, parts = runs.setdefault(lang, (_Ids({_MARK: 0}), []))
-                found = split_words(text)
-                found.append(_MARK)
-                parts.append(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
-                held += len(found)
-                if held >= flush:
-                    yield from flushed()
-                    runs, held = {}, 0
-        yield from flushed()
+            h = batch.column(0).to_numpy().astype(np.uint64)
+            out = ~told.has(h) & ((h & np.uint64(LONGEST - 1)) < longest - 1)
+            yield batch.filter(pa.array(out))
 
-    bounded_batches(spark)
-    rows = texts.select("lang", "text").mapInArrow(run, ROWS)
-    return rows.groupBy("lang", "phrase").agg(*[F.max(c).alias(c) for c in ("words", "hash", "known")], F.sum("f").alias("f"))
+    return counts.select("hash").mapInArrow(run, "hash long")
 
 
 # --- mining --------------------------------------------------------------
 
 
-def frequent_phrases(texts: DataFrame, *, least: int, longest: int, sample: float, key: Sequence[Column], flush: int,
-                     most_bits: int = 1 << 26, told: Callable[[int, int], None] | None = None
-                     ) -> tuple[DataFrame, DataFrame]:
+def _filter_of(hashes: DataFrame, most_bits: int) -> PhraseFilter:
+    """A filter of 16 bits a phrase, at most ``most_bits``."""
+    n, size = hashes.count(), 1 << 16
+    while size < 16 * n and size < most_bits:
+        size *= 2
+    return PhraseFilter(size).with_phrases(hashes)
+
+
+def frequent_phrases(texts: DataFrame, *, least: int, longest: int, sample: float, key: Sequence[str], flush: int,
+                     most_bits: int = 1 << 26, told: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lang, words, phrase, f)`` of all phrases of at most ``longest`` words found ``least`` times, and ``(lang, n)``.
 
-    ``told`` gets each pass's number and how many border phrases failed.
+    ``told`` gets the number of missed phrases of each pass.
     """
+    if not 2 <= longest <= LONGEST or least < 1:
+        raise ValueError(f"2 <= longest <= {LONGEST} and least >= 1 are needed")
     drawn = texts.where(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < F.lit(int(sample * (1 << 20))))
-    # half of what a phrase of just enough occurrences has on average, so that few are missed
+    # below what a phrase of just enough occurrences has on average, so that few are missed
     lowered = max(2, int(sample * least * 0.7))
-    proposed: DataFrame | None = None
-    bloom = PhraseFilter(1 << 16)
+    bloom, proposed = PhraseFilter(1 << 16), None
     for length in range(1, longest if sample > 0 else 1):
-        found = _pass(drawn, [] if length == 1 else [bloom], range(length, length + 1), flush)
-        found = materialised(found.where((F.col("words") == length) & (F.col("f") >= lowered)).select("hash"))
+        found = _hash_counts(drawn, [bloom] if proposed is not None else [], range(length, length + 1), flush)
+        found = materialised(found.where(F.col("f") >= lowered).select("hash"))
         proposed = found if proposed is None else proposed.unionByName(found)
-        size = 1 << 16
-        while size < 16 * proposed.count() and size < most_bits:
-            size *= 2
-        bloom = PhraseFilter(size).with_phrases(proposed)
-    filters, frequent, number = [bloom], None, 1
+        bloom = _filter_of(proposed, most_bits)
     lengths = range(1, longest + 1)
-    while True:
-        counted = _pass(texts, filters, lengths, flush)
-        counted = materialised(counted.where((F.col("f") >= least) | (F.col("words") == 0)))
-        if frequent is None:
-            totals = counted.where("words = 0").select("lang", F.col("f").alias("n"))
-        found = counted.where("words > 0")
-        frequent = found if frequent is None else frequent.unionByName(found)
-        failed = found.where(~F.col("known") & (F.col("words") < longest))
-        failures = failed.count()
-        if told:
-            told(number, failures)
-        if not failures:
-            return frequent.select("lang", "words", "phrase", "f"), totals
-        filters, number = [*filters, filters[-1].with_phrases(failed)], number + 1
+    frequent = materialised(_hash_counts(texts, [bloom], lengths, flush).where(F.col("f") >= least))
+    missed = materialised(_unproposed(frequent, bloom, longest))
+    n = missed.count()
+    if told:
+        told(n)
+    if n:
+        # every phrase around a missed one counts as proposed, so nothing is left on the border of this pass
+        more = _hash_counts(texts, [bloom, _filter_of(missed, most_bits)], lengths, flush).where(F.col("f") >= least)
+        frequent = frequent.unionByName(materialised(more))
+    named = materialised(_named_counts(texts, _filter_of(frequent, most_bits), longest, flush)
+                         .where((F.col("f") >= least) | (F.col("words") == 0)))
+    return named.where("words > 0"), named.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def _words(at: Column, n: Column) -> Column:
@@ -234,7 +325,7 @@ def _words(at: Column, n: Column) -> Column:
 
 def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, absorbed: int = 80, first: int = 2000,
                  sample: float = 0.1, text: str = "text", lang: str = "lang", key: str = "doc_id",
-                 flush: int = 1 << 21, told: Callable[[int, int], None] | None = None) -> DataFrame:
+                 flush: int = 1 << 21, told: Callable[[int], None] | None = None) -> DataFrame:
     """The best phrases of each language: ``lang, rank long, phrase, a, l, r, n, score`` (long).
 
     Texts are lower-cased (A-Z only) and split at ``.,;:!?`` and line ends
@@ -247,8 +338,8 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, absorbed
     ``first`` ones by score, a (both descending) and phrase (by bytes) are
     returned; ``n`` counts a language's words.
 
-    ``sample`` (a share of rows, by the hash of ``key``) decides how many
-    passes are needed, never the result.  A null language is ``und``; null
+    ``sample`` (a share of rows, by the hash of ``key``) decides how much the
+    passes count, never the result.  A null language is ``und``; null
     and empty texts have no words; repeated rows count again; an empty table
     gives no rows; other columns are ignored.
     """
