@@ -226,18 +226,22 @@ def _hash_counts(texts: DataFrame, filters: Sequence[PhraseFilter], lengths: ran
     return rows.groupBy("hash").agg(F.sum("f").alias("f"))
 
 
-def _named_counts(texts: DataFrame, frequent: PhraseFilter, longest: int, flush: int) -> DataFrame:
-    """``lang, words, phrase, f``: exact counts of the phrases whose hash is in the filter.
+def _named_counts(texts: DataFrame, frequent: PhraseFilter, longest: int, flush: int, least: int = 1, buckets: int = 32
+                  ) -> DataFrame:
+    """``lang, words, phrase, f``: exact counts of the phrases whose hash is in the filter, from ``least`` on.
 
     The row of 0 words and an empty phrase has a language's number of words.
+    A run's phrases travel packed, one row per language and ``bucket`` of
+    their hashes; a bucket's rows meet in one task, which adds them up.
     """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((frequent.size, frequent.bits))
 
-    def rows(one: _Run, filter_: PhraseFilter) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-        yield 0, [b""], np.array([np.count_nonzero(one.words)])
+    def counted(one: _Run, filter_: PhraseFilter) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Phrases, how often each occurs, and its bucket."""
         size = len(one.spelled)
-        for length, place, _, _, proposed in one.walk(longest, [_in(filter_)]):
+        phrases, numbers, homes = [b""], [np.array([np.count_nonzero(one.words)])], [np.zeros(1, np.int64)]
+        for length, place, named, _, proposed in one.walk(longest, [_in(filter_)]):
             at = place[proposed[0]]
             code = np.zeros(len(at), np.int64)
             for j in range(length):
@@ -246,20 +250,48 @@ def _named_counts(texts: DataFrame, frequent: PhraseFilter, longest: int, flush:
                 code = code * size + one.words[at + j]
             _, first, n = np.unique(code, return_index=True, return_counts=True)
             columns = [[one.spelled[i] for i in one.words[at[first] + j].tolist()] for j in range(length)]
-            yield length, list(map(b" ".join, zip(*columns))), n
+            phrases += columns[0] if length == 1 else map(b" ".join, zip(*columns))
+            numbers.append(n)
+            homes.append(((named[proposed[0]][first] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64))
+        return phrases, np.concatenate(numbers), np.concatenate(homes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = PhraseFilter(*shared.value)
         for runs in _runs(batches, flush):
             for one in runs:
-                for length, phrases, n in rows(one, filter_):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([one.lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)),
-                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)],
-                        names=["lang", "words", "phrase", "f"])
+                phrases, n, home = counted(one, filter_)
+                order = np.argsort(home, kind="stable")
+                cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+                langs, homes, bodies, numbers = [], [], [], []
+                for at in np.split(order, cuts[1:]):
+                    langs.append(one.lang)
+                    homes.append(int(home[at[0]]))
+                    # no phrase holds a line end
+                    bodies.append(pa.compress(b"\n".join([phrases[i] for i in at.tolist()]), codec="zstd", asbytes=True)
+                                  + sum(len(phrases[i]) + 1 for i in at.tolist()).to_bytes(8, "little"))
+                    numbers.append(pa.compress(n[at].astype("<i8").tobytes(), codec="zstd", asbytes=True)
+                                   + len(at).to_bytes(8, "little"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs, pa.string()), pa.array(homes, pa.int32()), pa.array(bodies, pa.binary()),
+                     pa.array(numbers, pa.binary())], names=["lang", "bucket", "phrases", "numbers"])
+
+    def added(key: tuple, group: pa.Table) -> pa.Table:
+        found: dict[bytes, int] = {}
+        for body, numbers in zip(group["phrases"].to_pylist(), group["numbers"].to_pylist()):
+            size, k = int.from_bytes(body[-8:], "little") - 1, int.from_bytes(numbers[-8:], "little")
+            phrases = pa.decompress(body[:-8], size, codec="zstd", asbytes=True).split(b"\n")
+            n = np.frombuffer(pa.decompress(numbers[:-8], 8 * k, codec="zstd", asbytes=True), "<i8").tolist()
+            for p, m in zip(phrases, n):
+                found[p] = found.get(p, 0) + m
+        kept = {p: m for p, m in found.items() if m >= least or not p}
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(kept), pa.string()),
+                         "words": pa.array([p.count(b" ") + 1 if p else 0 for p in kept], pa.int32()),
+                         "phrase": pa.array(list(kept), pa.binary()).cast(pa.string()),
+                         "f": pa.array(list(kept.values()), pa.int64())})
 
     bounded_batches(spark)
-    return texts.select("lang", "text").mapInArrow(run, ROWS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    packed = texts.select("lang", "text").mapInArrow(run, "lang string, bucket int, phrases binary, numbers binary")
+    return packed.groupBy("lang", "bucket").applyInArrow(added, ROWS)
 
 
 def _unproposed(counts: DataFrame, filter_: PhraseFilter, longest: int) -> DataFrame:
@@ -314,8 +346,10 @@ def frequent_phrases(texts: DataFrame, *, least: int, longest: int, sample: floa
         # every phrase around a missed one counts as proposed, so nothing is left on the border of this pass
         more = _hash_counts(texts, [bloom, _filter_of(missed, most_bits)], lengths, flush).where(F.col("f") >= least)
         frequent = frequent.unionByName(materialised(more))
-    named = materialised(_named_counts(texts, _filter_of(frequent, most_bits), longest, flush)
-                         .where((F.col("f") >= least) | (F.col("words") == 0)))
+    # a bucket holds what about 2^18 words have to offer
+    occurrences = frequent.where(F.col("hash").bitwiseAND(F.lit(LONGEST - 1)) == 0).agg(F.sum("f")).first()[0] or 0
+    named = materialised(_named_counts(texts, _filter_of(frequent, most_bits), longest, flush, least,
+                                       max(32, min(occurrences >> 18, 1 << 30))))
     return named.where("words > 0"), named.where("words = 0").select("lang", F.col("f").alias("n"))
 
 

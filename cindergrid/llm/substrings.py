@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.llm.common import bounded_batches, materialised
+from cindergrid.llm.common import bounded_batches, materialised, written
 
 _END = re.compile(r"[.!?]+(?:\s+|$)|[。！？｡]+\s*")
 _EDGES = " \t.,;:!?\"'()[]{}<>*#|-_=/\\。！？｡，、；：「」『』（）《》"
@@ -168,6 +168,31 @@ def _may_repeat_itself(seeds: np.ndarray, n: int) -> bool:
     return int(np.diff(turns).max()) > n - min(n, _SEED_WORDS) + 1 or len(np.unique(led)) < len(led)
 
 
+def _batch_seeds(words: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, seed, suspects)``: the distinct seeds of each text, and the texts in which a run may stand twice.
+
+    One pass over the words of all texts at once; runs that would cross from
+    one text to the next don't count.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    seeds = _run_seeds(np.concatenate([np.empty(0, np.uint64), *words]), n)
+    texts = np.repeat(np.arange(len(words)), np.maximum(lengths - n + 1, 0))
+    first = np.cumsum(lengths) - lengths
+    places = np.arange(len(texts)) - np.repeat(np.cumsum(np.maximum(lengths - n + 1, 0)), np.maximum(lengths - n + 1, 0))
+    seeds = seeds[first[texts] + places + np.maximum(lengths - n + 1, 0)[texts]]
+    if not len(seeds):
+        return texts, seeds, texts
+    turns = np.concatenate([[0], np.flatnonzero((seeds[1:] != seeds[:-1]) | (texts[1:] != texts[:-1])) + 1, [len(seeds)]])
+    led, of = seeds[turns[:-1]], texts[turns[:-1]]
+    long_ = of[np.diff(turns) > n - min(n, _SEED_WORDS) + 1]
+    order = np.lexsort((led, of))
+    led, of = led[order], of[order]
+    again = (led[1:] == led[:-1]) & (of[1:] == of[:-1])
+    keep = np.concatenate([[True], ~again])
+    suspects = np.unique(np.concatenate([long_, of[1:][again]]))
+    return of[keep], led[keep], suspects[lengths[suspects] - n + 1 > n]
+
+
 def _repeats_itself(words: np.ndarray, n: int) -> np.ndarray:
     """Which runs stand earlier in the same text without overlapping."""
     if not _may_repeat_itself(_run_seeds(words, n), n):
@@ -182,7 +207,7 @@ def _as_bytes(runs: np.ndarray) -> list[bytes]:
     return [raw[i: i + 16] for i in range(0, len(raw), 16)]
 
 
-def passage_spans(text: str, repeated: set[bytes] | None, passage_words: int) -> list[tuple[int, int]]:
+def passage_spans(text: str, repeated: set[bytes] | None, passage_words: int, twice: bool = True) -> list[tuple[int, int]]:
     """Spans of the runs that a smaller key has (``None``: all of them) or that the text repeats itself."""
     words, at = _word_hashes(text)
     if len(words) < passage_words:
@@ -190,7 +215,7 @@ def passage_spans(text: str, repeated: set[bytes] | None, passage_words: int) ->
     if repeated is None:
         gone = np.ones(len(words) - passage_words + 1, bool)
     else:
-        gone = _repeats_itself(words, passage_words)
+        gone = _repeats_itself(words, passage_words) if twice else np.zeros(len(words) - passage_words + 1, bool)
         known = np.frombuffer(b"".join(repeated), "<i8").reshape(-1, 2)[:, 0]
         likely = np.flatnonzero(np.isin(_groups(words, passage_words, _FACTORS[0]).view(np.int64), known))
         if len(likely):
@@ -240,8 +265,14 @@ def unit_digests(text: str, line_words: int, sentence_words: int) -> tuple[list[
 
 
 def removed_spans(text: str, repeated: set[bytes] | None, line_words: int, sentence_words: int,
-                  run_words: int, passage_words: int = 40) -> list[tuple[int, int]]:
-    """Spans to remove, given the digests that a smaller key has (``None``: all of the text's)."""
+                  run_words: int, passage_words: int = 40, runs: set[bytes] | None = None, twice: bool = True
+                  ) -> list[tuple[int, int]]:
+    """Spans to remove, given the digests of units and of runs that a smaller key has (``None``: all of the text's).
+
+    Without ``runs`` these are among ``repeated``.  ``twice`` is whether the
+    text may repeat a unit or run of its own.
+    """
+    runs = repeated if runs is None else runs
     spans: list[tuple[int, int]] = []
     seen: set[bytes] = set()
 
@@ -252,7 +283,7 @@ def removed_spans(text: str, repeated: set[bytes] | None, line_words: int, sente
         seen.add(digest)
         return known
 
-    for line, sentences in lines_of(text, line_words, sentence_words):
+    for line, sentences in lines_of(text, line_words, sentence_words) if repeated is None or repeated or twice else ():
         whole = repeat(line[3])
         marks = [repeat(u[3]) for u in sentences]
         if whole:
@@ -270,7 +301,8 @@ def removed_spans(text: str, repeated: set[bytes] | None, line_words: int, sente
             if sum(u[2] for u in sentences[i: last + 1]) >= run_words:
                 spans.append((sentences[i][0], sentences[last][1]))
             i = last + 1
-    spans.extend(passage_spans(text, repeated, passage_words))
+    if runs is None or runs or twice:
+        spans.extend(passage_spans(text, runs, passage_words, twice))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and merged[-1][1] >= a:
@@ -309,7 +341,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     fields = [f for f in docs.schema.fields if f.name != "removed"]
     names = [f.name for f in fields]
     spot = names.index(text)
-    tagged = docs.select(*[F.col(f"`{n}`") for n in names]).withColumns({"__rank": rank, "__hash": F.xxhash64(text)})
+    # the table's own columns go by number, so that no name of theirs meets one of these
+    inner = [f"in_{i}" for i in range(len(names))]
+    tagged = docs.select(*[F.col(f"`{n}`").alias(i) for n, i in zip(names, inner)], rank.alias("rank_"),
+                         F.xxhash64(text).alias("hash_"))
     slim = docs.select(rank.alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
     def dealt(batch, key_at, origin, halves, flags=None):
@@ -325,25 +360,21 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            origin, found, twice, sown, fields_of = [], [], [], [], []
-            for i, value in enumerate(batch.column(2)):
-                body = value.as_py() or ""
+            bodies = [value or "" for value in batch.column(2).to_pylist()]
+            words = [_word_hashes(body)[0] for body in bodies]
+            texts, seeds, suspects = _batch_seeds(words, passage_words)
+            doubtful = set(suspects.tolist())
+            origin, found, twice = [], [], []
+            for i, body in enumerate(bodies):
                 own, inside = unit_digests(body, line_words, sentence_words)
-                words = _word_hashes(body)[0]
-                seeds = _run_seeds(words, passage_words)
-                if _may_repeat_itself(seeds, passage_words) and _repeats_itself(words, passage_words).any():
-                    own, inside = own or _as_bytes(_run_hashes(words, passage_words)[:1]), True
+                if i in doubtful and _repeats_itself(words[i], passage_words).any():
+                    own, inside = own or _as_bytes(_run_hashes(words[i], passage_words)[:1]), True
                 found.extend(own)
                 origin.extend([i] * len(own))
                 twice.extend([inside] + [False] * (len(own) - 1) if own else [])
-                seeds = np.unique(seeds)
-                sown.append(seeds)
-                fields_of.append(np.full(len(seeds), i))
             yield from dealt(batch, 0, origin, np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2), twice)
             # a seed is a row whose second half is 0
-            seeds = np.concatenate([np.empty(0, np.int64), *sown])
-            yield from dealt(batch, 0, np.concatenate([np.empty(0, np.int64), *fields_of]),
-                             np.stack([seeds, np.zeros_like(seeds)], axis=1), [False] * len(seeds))
+            yield from dealt(batch, 0, texts, np.stack([seeds, np.zeros_like(seeds)], axis=1), [False] * len(seeds))
 
     def firsts_of(named: DataFrame) -> DataFrame:
         return (named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
@@ -351,7 +382,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
     mark = F.when(F.col("key") > F.col("first"), F.struct("d1", "d2")).alias("mark")
-    named = slim.mapInArrow(units, "key long, hash long, d1 long, d2 long, twice boolean")
+    # written once: it feeds the aggregate and the join
+    named = written(slim.mapInArrow(units, "key long, hash long, d1 long, d2 long, twice boolean"))
     # units count where a smaller key has them, seeds where two different texts do
     several = (named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"),
                                              F.min("hash").alias("least"), F.max("hash").alias("most"))
@@ -360,7 +392,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # a text that repeats a unit of its own comes back too, with one digest that marks nothing by itself
     found = materialised(named.join(several, same, "left").where(
         F.when(F.col("d2") == 0, F.col("first").isNotNull()).otherwise((F.col("key") > F.col("first")) | F.col("twice")))
-        .select("key", "hash", "d1", "d2", "first"))
+        .select("key", "hash", "d1", "d2", "first", "twice"))
     again = found.where("d2 <> 0")
 
     # exact copies of a smaller key's text, told without their texts
@@ -373,15 +405,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # shared seeds go back to their texts; copies need none
     common = (found.where("d2 = 0").groupBy(F.col("key").alias("c_key"), F.col("hash").alias("c_hash"))
-              .agg(F.collect_set("d1").alias("__seeds"))
+              .agg(F.collect_set("d1").alias("seeds"))
               .join(copies.distinct(), (F.col("c_key") == F.col("key")) & (F.col("c_hash") == F.col("hash")), "left_anti"))
-    seeded = tagged.join(common, (F.col("__rank") == F.col("c_key")) & (F.col("__hash") == F.col("c_hash"))).select(
-        "__rank", "__hash", "__seeds", *[F.col(f"`{n}`") for n in names])
+    seeded = tagged.join(common, (F.col("rank_") == F.col("c_key")) & (F.col("hash_") == F.col("c_hash"))).select(
+        "rank_", "hash_", "seeds", inner[spot])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             origin, found = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
-            for i, (value, wanted) in enumerate(zip(batch.column(3 + spot), batch.column(2))):
+            for i, (value, wanted) in enumerate(zip(batch.column(3), batch.column(2))):
                 words = _word_hashes(value.as_py() or "")[0]
                 mine = np.isin(_run_seeds(words, passage_words), wanted.values.to_numpy(zero_copy_only=False))
                 own = _run_hashes(words, passage_words)[mine]
@@ -391,32 +423,38 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     strung = seeded.mapInArrow(runs, "key long, hash long, d1 long, d2 long")
     passages = strung.join(firsts_of(strung), same).where(F.col("key") > F.col("first"))
-    marks = (again.select("key", "hash", mark, F.lit(False).alias("copy"))
-             .union(passages.select("key", "hash", mark, F.lit(False)))
-             .union(copies.select("key", "hash", F.lit(None).cast("struct<d1: bigint, d2: bigint>"), F.lit(True)))
+    none = F.lit(None).cast("struct<d1: bigint, d2: bigint>")
+    marks = (again.select("key", "hash", mark, none.alias("run"), F.lit(False).alias("copy"), "twice")
+             .union(passages.select("key", "hash", none, mark, F.lit(False), F.lit(False)))
+             .union(copies.select("key", "hash", none, none, F.lit(True), F.lit(False)))
              .groupBy(F.col("key").alias("m_key"), F.col("hash").alias("m_hash"))
-             .agg(F.collect_set("mark").alias("__repeats"), F.max("copy").alias("__copy")))
+             .agg(F.collect_set("mark").alias("units"), F.collect_set("run").alias("runs"), F.max("copy").alias("copy"),
+                  F.max("twice").alias("twice")))
+
+    joined = tagged.join(marks, (F.col("rank_") == F.col("m_key")) & (F.col("hash_") == F.col("m_hash")), "left") \
+        .select(*inner, "units", "runs", "copy", "twice")
 
-    joined = tagged.join(marks, (F.col("__rank") == F.col("m_key")) & (F.col("__hash") == F.col("m_hash")), "left") \
-        .select(*[F.col(f"`{n}`") for n in names], "__repeats", "__copy")
+    def digests(found: pa.ListScalar) -> set[bytes]:
+        halves = [x.to_numpy(zero_copy_only=False) for x in found.values.flatten()]
+        return set(_as_bytes(np.stack(halves, axis=1).astype("<i8")))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
         for batch in batches:
             texts, gone = [], []
-            for value, repeats, copy in zip(batch.column(spot), *batch.columns[len(fields):]):
+            for value, units_, runs_, copy, twice in zip(batch.column(spot), *batch.columns[len(fields):]):
                 body = value.as_py()
                 spans = []
-                if body and repeats.is_valid:
-                    halves = [x.to_numpy(zero_copy_only=False) for x in repeats.values.flatten()]
-                    repeated = None if copy.as_py() else set(_as_bytes(np.stack(halves, axis=1).astype("<i8")))
-                    spans = removed_spans(body, repeated, line_words, sentence_words, run_words, passage_words)
+                if body and units_.is_valid:
+                    spans = removed_spans(body, None if copy.as_py() else digests(units_), line_words, sentence_words, run_words,
+                                          passage_words, None if copy.as_py() else digests(runs_), twice.as_py())
                 texts.append(without(body, spans) if spans else body)
                 gone.append([{"start": a, "end": b} for a, b in spans])
-            columns = list(batch.columns[:-2])
+            columns = list(batch.columns[:-4])
             columns[spot] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind)],
-                                             names=[*names, "removed"])
+                                             names=[*inner, "removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return joined.mapInArrow(clean, schema + ", removed array<struct<start: int, end: int>>")
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, fields))
+    cleaned = joined.mapInArrow(clean, schema + ", removed array<struct<start: int, end: int>>")
+    return cleaned.select(*[F.col(i).alias(n) for i, n in zip(inner, names)], "removed")
