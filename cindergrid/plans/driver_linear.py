@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 
 from cindergrid.models import custom_loss, linear
 from cindergrid.operators import moments, prep
+from cindergrid.operators.neighbour_information import neighbour_information
 from cindergrid.plans.driver_fits import LENGTH_SQL, length_labels
-from cindergrid.plans.driver_stats import LAG_PANEL_SQL, lag_panel, split_lag_panel
+from cindergrid.plans.driver_stats import (
+    DOC_FEATURES,
+    LAG_PANEL_SQL,
+    MI_QUANTILE_SQL,
+    doc_features,
+    lag_panel,
+    split_lag_panel,
+)
 from cindergrid.plans.registry import ORACLES, query
 
 PANEL_COLUMNS = ["premium", "exposure", "premium_lag1", "premium_lag2"]
@@ -117,3 +125,31 @@ def margin_calibrated(spark, sf):
     points = scorer.score(rows.select("x").distinct())
     margin = scorer.model.scores(spark)(F.array("x"))
     return points.select("x", F.round(margin, 5).alias("margin"), F.round("prob", 5).alias("prob"))
+
+
+def _digamma_sql(n: str) -> str:
+    z = f"(({n}) + 10.0::DOUBLE)"
+    series = f"ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6)"
+    return f"({series} - " + " - ".join(f"1 / (({n}) + {i}.0::DOUBLE)" for i in range(10)) + ")"
+
+
+NEIGHBOUR_SQL = f"""
+r AS (SELECT row_number() OVER () AS id, quality AS y, unnest([0, 1, 2]) AS position, unnest([n_chars, n_spaces, n_lines]) AS x
+      FROM d),
+s AS (SELECT *, count(*) OVER (PARTITION BY position, y) AS size FROM r),
+w AS (SELECT a.position, a.id, a.x, a.y, a.size, abs(b.x - a.x) AS away,
+             row_number() OVER (PARTITION BY a.position, a.id ORDER BY abs(b.x - a.x)) AS i
+      FROM s a JOIN s b ON a.position = b.position AND a.y = b.y AND a.id <> b.id WHERE a.size > 1),
+q AS (SELECT * FROM w WHERE i = least(3, size - 1)),
+m AS (SELECT q.position, q.id, q.size, count(*) AS m FROM q JOIN s b
+      ON q.position = b.position AND b.size > 1 AND (abs(b.x - q.x) < q.away OR (q.away = 0 AND b.x = q.x)) GROUP BY ALL)
+SELECT ['n_chars', 'n_spaces', 'n_lines'][position + 1] AS feature, CAST(position AS INTEGER) AS position,
+       round(greatest({_digamma_sql("count(*)")} + avg({_digamma_sql("least(3, size - 1)")}) - avg({_digamma_sql("size")})
+                      - avg({_digamma_sql("m")}), 0), 6) AS mi FROM m GROUP BY position"""
+
+
+@query("mutual_information_neighbours", sql=f"WITH {MI_QUANTILE_SQL.split('long AS')[0]}" + NEIGHBOUR_SQL.lstrip())
+def mutual_information_neighbours(spark, sf):
+    """A24 by nearest neighbours within the class; the oracle compares all pairs."""
+    mi = neighbour_information(doc_features(spark, sf), DOC_FEATURES, "quality", piece_rows=100)
+    return mi.select("feature", "position", F.round("mi", 6).alias("mi"))
