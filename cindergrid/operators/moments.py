@@ -27,7 +27,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def merged(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], object], merge: Callable[[object, object], object],
            fan: int = 32) -> object:
-    """``partial`` of every task's batches, merged; a task may have no rows.
+    """``partial`` of every task's batches, merged; a task may have no rows, and None comes where there is no task.
 
     ``merge`` must give the same result, up to rounding, in whatever order
     partial results meet.
@@ -88,9 +88,10 @@ def co_moments(df: DataFrame, columns: Sequence[str], weight: str | None = None)
     size = len(columns)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), w.alias("w"))
+    none = Moments(0, 0.0, np.zeros(size), np.zeros((size, size)))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Moments:
-        out = Moments(0, 0.0, np.zeros(size), np.zeros((size, size)))
+        out = none
         for batch in batches:
             x, weights = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             keep = ~np.isnan(x).any(axis=1) & (weights > 0)
@@ -98,7 +99,7 @@ def co_moments(df: DataFrame, columns: Sequence[str], weight: str | None = None)
                 out = out.plus(Moments.of(x[keep], weights[keep]))
         return out
 
-    return merged(rows, partial, Moments.plus)
+    return merged(rows, partial, Moments.plus) or none
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
