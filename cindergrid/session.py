@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -88,6 +89,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_SHIPPING = threading.Lock()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package: ``--py-files``, once per application.
 
@@ -96,8 +100,12 @@ def ship_package(spark: SparkSession) -> None:
     Spark's file server hands it to every executor.
     """
     sc = spark.sparkContext
-    if getattr(sc, "_cindergrid_shipped", False):
-        return
+    with _SHIPPING:  # models may be fitted in several threads
+        if not getattr(sc, "_cindergrid_shipped", False):
+            _ship(sc)
+
+
+def _ship(sc) -> None:
     top = os.path.dirname(os.path.abspath(__file__))
     packed = os.path.join(tempfile.mkdtemp(prefix="cindergrid-code-"), "cindergrid.zip")
     with zipfile.ZipFile(packed, "w") as archive:
