@@ -311,7 +311,7 @@ def _unproposed(counts: DataFrame, filter_: PhraseFilter, longest: int) -> DataF
 # --- mining --------------------------------------------------------------
 
 
-def _filter_of(hashes: DataFrame, most_bits: int) -> PhraseFilter:
+def filter_of(hashes: DataFrame, most_bits: int) -> PhraseFilter:
     """A filter of 16 bits a phrase, at most ``most_bits``."""
     n, size = hashes.count(), 1 << 16
     while size < 16 * n and size < most_bits:
@@ -335,7 +335,7 @@ def frequent_phrases(texts: DataFrame, *, least: int, longest: int, sample: floa
         found = _hash_counts(drawn, [bloom] if proposed is not None else [], range(length, length + 1), flush)
         found = materialised(found.where(F.col("f") >= lowered).select("hash"))
         proposed = found if proposed is None else proposed.unionByName(found)
-        bloom = _filter_of(proposed, most_bits)
+        bloom = filter_of(proposed, most_bits)
     lengths = range(1, longest + 1)
     frequent = materialised(_hash_counts(texts, [bloom], lengths, flush).where(F.col("f") >= least))
     missed = materialised(_unproposed(frequent, bloom, longest))
@@ -344,11 +344,11 @@ def frequent_phrases(texts: DataFrame, *, least: int, longest: int, sample: floa
         told(n)
     if n:
         # every phrase around a missed one counts as proposed, so nothing is left on the border of this pass
-        more = _hash_counts(texts, [bloom, _filter_of(missed, most_bits)], lengths, flush).where(F.col("f") >= least)
+        more = _hash_counts(texts, [bloom, filter_of(missed, most_bits)], lengths, flush).where(F.col("f") >= least)
         frequent = frequent.unionByName(materialised(more))
     # a bucket holds what about 2^18 words have to offer
     occurrences = frequent.where(F.col("hash").bitwiseAND(F.lit(LONGEST - 1)) == 0).agg(F.sum("f")).first()[0] or 0
-    named = materialised(_named_counts(texts, _filter_of(frequent, most_bits), longest, flush, least,
+    named = materialised(_named_counts(texts, filter_of(frequent, most_bits), longest, flush, least,
                                        max(32, min(occurrences >> 18, 1 << 30))))
     return named.where("words > 0"), named.where("words = 0").select("lang", F.col("f").alias("n"))
 
@@ -359,7 +359,7 @@ def _words(at: Column, n: Column) -> Column:
 
 def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, absorbed: int = 80, first: int = 2000,
                  sample: float = 0.1, text: str = "text", lang: str = "lang", key: str = "doc_id",
-                 flush: int = 1 << 21, told: Callable[[int], None] | None = None) -> DataFrame:
+                 flush: int = 1 << 22, told: Callable[[int], None] | None = None) -> DataFrame:
     """The best phrases of each language: ``lang, rank long, phrase, a, l, r, n, score`` (long).
 
     Texts are lower-cased (A-Z only) and split at ``.,;:!?`` and line ends

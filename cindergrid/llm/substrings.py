@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.llm.common import bounded_batches, materialised, written
+from cindergrid.llm.phrases import PhraseFilter, filter_of
 
 _END = re.compile(r"[.!?]+(?:\s+|$)|[。！？｡]+\s*")
 _EDGES = " \t.,;:!?\"'()[]{}<>*#|-_=/\\。！？｡，、；：「」『』（）《》"
@@ -321,7 +322,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", line_words: int = 6,
-                   sentence_words: int = 5, run_words: int = 20, passage_words: int = 40) -> DataFrame:
+                   sentence_words: int = 5, run_words: int = 20, passage_words: int = 40,
+                   most_bits: int = 1 << 26) -> DataFrame:
     """``docs`` with repeated lines, sentence runs and passages removed from ``text``.
 
     Returns all columns of ``docs`` plus ``removed array<struct<start int,
@@ -385,10 +387,22 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # written once: it feeds the aggregate and the join
     named = written(slim.mapInArrow(units, "key long, hash long, d1 long, d2 long, twice boolean"))
     # units count where a smaller key has them, seeds where two different texts do
-    several = (named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"),
-                                             F.min("hash").alias("least"), F.max("hash").alias("most"))
-               .where(F.when(F.col("d2") == 0, F.col("least") < F.col("most")).otherwise(F.col("first") < F.col("last")))
-               .select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))
+    several = materialised(
+        named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"),
+                                      F.min("hash").alias("least"), F.max("hash").alias("most"))
+        .where(F.when(F.col("d2") == 0, F.col("least") < F.col("most")).otherwise(F.col("first") < F.col("last")))
+        .select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))
+    # most digests occur once; a filter of bounded size over the others keeps them out of the join
+    known = filter_of(several.select(F.col("e1").alias("hash")), most_bits)
+    told = docs.sparkSession.sparkContext.broadcast((known.size, known.bits))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = PhraseFilter(*told.value)
+        for batch in batches:
+            may = among.has(batch.column(2).to_numpy().view(np.uint64)) | batch.column(4).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(may))
+
+    named = named.mapInArrow(likely, "key long, hash long, d1 long, d2 long, twice boolean")
     # a text that repeats a unit of its own comes back too, with one digest that marks nothing by itself
     found = materialised(named.join(several, same, "left").where(
         F.when(F.col("d2") == 0, F.col("first").isNotNull()).otherwise((F.col("key") > F.col("first")) | F.col("twice")))
@@ -410,19 +424,26 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     seeded = tagged.join(common, (F.col("rank_") == F.col("c_key")) & (F.col("hash_") == F.col("c_hash"))).select(
         "rank_", "hash_", "seeds", inner[spot])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+        among = PhraseFilter(*shared.value) if shared else None
         for batch in batches:
             origin, found = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
             for i, (value, wanted) in enumerate(zip(batch.column(3), batch.column(2))):
                 words = _word_hashes(value.as_py() or "")[0]
                 mine = np.isin(_run_seeds(words, passage_words), wanted.values.to_numpy(zero_copy_only=False))
                 own = _run_hashes(words, passage_words)[mine]
+                if among:
+                    own = own[among.has(np.ascontiguousarray(own[:, 0]).view(np.uint64))]
                 found.append(own)
                 origin.append(np.full(len(own), i))
             yield from dealt(batch, 0, np.concatenate(origin), np.concatenate(found))
 
     strung = seeded.mapInArrow(runs, "key long, hash long, d1 long, d2 long")
-    passages = strung.join(firsts_of(strung), same).where(F.col("key") > F.col("first"))
+    firsts = materialised(firsts_of(strung))
+    known_runs = filter_of(firsts.select(F.col("e1").alias("hash")), most_bits)
+    told_runs = docs.sparkSession.sparkContext.broadcast((known_runs.size, known_runs.bits))
+    strung = seeded.mapInArrow(lambda batches: runs(batches, told_runs), "key long, hash long, d1 long, d2 long")
+    passages = strung.join(firsts, same).where(F.col("key") > F.col("first"))
     none = F.lit(None).cast("struct<d1: bigint, d2: bigint>")
     marks = (again.select("key", "hash", mark, none.alias("run"), F.lit(False).alias("copy"), "twice")
              .union(passages.select("key", "hash", none, mark, F.lit(False), F.lit(False)))
