@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindergrid.llm.common import bounded_batches, materialised
+from cindergrid.llm.common import bounded_batches, materialised, release
 
 COUNTS = "hash long, f long"
 ROWS = "lang string, words int, phrase string, f long"
@@ -336,8 +336,10 @@ def frequent_phrases(texts: DataFrame, *, least: int, longest: int, sample: floa
         found = materialised(found.where(F.col("f") >= lowered).select("hash"))
         proposed = found if proposed is None else proposed.unionByName(found)
         bloom = filter_of(proposed, most_bits)
+    release(texts.sparkSession)
     lengths = range(1, longest + 1)
     frequent = materialised(_hash_counts(texts, [bloom], lengths, flush).where(F.col("f") >= least))
+    release(texts.sparkSession)
     missed = materialised(_unproposed(frequent, bloom, longest))
     n = missed.count()
     if told:

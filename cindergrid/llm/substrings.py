@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.llm.common import bounded_batches, materialised, written
+from cindergrid.llm.common import bounded_batches, materialised, release, written
 from cindergrid.llm.phrases import PhraseFilter, filter_of
 
 _END = re.compile(r"[.!?]+(?:\s+|$)|[。！？｡]+\s*")
@@ -392,6 +392,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                                       F.min("hash").alias("least"), F.max("hash").alias("most"))
         .where(F.when(F.col("d2") == 0, F.col("least") < F.col("most")).otherwise(F.col("first") < F.col("last")))
         .select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))
+    release(docs.sparkSession)
     # most digests occur once; a filter of bounded size over the others keeps them out of the join
     known = filter_of(several.select(F.col("e1").alias("hash")), most_bits)
     told = docs.sparkSession.sparkContext.broadcast((known.size, known.bits))
@@ -407,6 +408,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = materialised(named.join(several, same, "left").where(
         F.when(F.col("d2") == 0, F.col("first").isNotNull()).otherwise((F.col("key") > F.col("first")) | F.col("twice")))
         .select("key", "hash", "d1", "d2", "first", "twice"))
+    release(docs.sparkSession)
     again = found.where("d2 <> 0")
 
     # exact copies of a smaller key's text, told without their texts
@@ -440,6 +442,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     strung = seeded.mapInArrow(runs, "key long, hash long, d1 long, d2 long")
     firsts = materialised(firsts_of(strung))
+    release(docs.sparkSession)
     known_runs = filter_of(firsts.select(F.col("e1").alias("hash")), most_bits)
     told_runs = docs.sparkSession.sparkContext.broadcast((known_runs.size, known_runs.bits))
     strung = seeded.mapInArrow(lambda batches: runs(batches, told_runs), "key long, hash long, d1 long, d2 long")
