@@ -6,6 +6,7 @@ from cindergrid.plans import (  # noqa: F401
     driver_models,
     driver_panel,
     driver_reports,
+    driver_sketches,
     driver_stats,
 )
 from cindergrid.plans.registry import ORACLES, QUERIES

@@ -26,10 +26,13 @@ def save_metrics(metrics: DataFrame, path: str) -> DataFrame:
 
 def save_predictions(preds: DataFrame, path: str, key: str, y_true: str, y_pred: str, model: str,
                      experiment: str, key_out: str = "ZIP") -> DataFrame:
-    """K2: per-row predictions tagged with model and experiment, partitioned by both."""
+    """K2: per-row predictions tagged with model and experiment, partitioned by both.
+
+    Writing a model of an experiment again replaces its rows and leaves the others.
+    """
     out = preds.select(F.col(key).alias(key_out), F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred"),
                        F.lit(model).alias("model"), F.lit(experiment).alias("experiment"))
-    out.write.mode("overwrite").partitionBy("experiment", "model").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "model").parquet(path)
     return out
 
 
@@ -53,12 +56,20 @@ def write_scores(scores: DataFrame, path: str, key: str, score_cols: Sequence[st
     return out
 
 
-def write_run_log(log: DataFrame, path: str, partition_by: str | None = "experiment") -> str:
-    """K5: one JSON document per run, appended (runs accumulate)."""
-    w = log.coalesce(1).write.mode("append")
-    if partition_by and partition_by in log.columns:
-        w = w.partitionBy(partition_by)
-    w.json(path)
+def write_run_log(log: DataFrame, path: str, partition_by: str | None = "experiment", run_id: str | None = None) -> str:
+    """K5: one JSON document per run; runs accumulate.
+
+    With ``run_id`` the document has its own partition, which Spark stages
+    and swaps in whole: a run that is retried or repeated under its id is
+    there once.  Without it a document is appended.
+    """
+    parts = [partition_by] if partition_by and partition_by in log.columns else []
+    if run_id is None:
+        w = log.coalesce(1).write.mode("append")
+    else:
+        parts.append("run_id")
+        w = log.coalesce(1).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (w.partitionBy(*parts) if parts else w).json(path)
     return path
 
 
