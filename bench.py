@@ -32,8 +32,11 @@ HEADLINE = [
     "regression_metrics",       # A16 + M0
     "histogram",                # A12
     "improvement_vs_baseline",  # J7 report
-    "logistic_score",           # M4 fit + scoring
-    "kernel_classifier",        # M8 sample -> MI -> 800 landmarks, whitened -> LR
+    "logistic_score",           # M4 fit (Newton steps) + scoring
+    "forest_two_trees_levels",  # M2, every level a histogram job
+    "boosted_three_rounds",     # M3
+    "correlation_matrix",       # A11 from one co-moment matrix
+    "kernel_classifier",        # M8 sample -> MI -> 800 landmarks, whitened -> calibrated margin
 ]
 
 

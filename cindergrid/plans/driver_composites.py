@@ -66,15 +66,15 @@ def w1_clean_data(spark, sf):
 WITH {RAW_SQL},
 c AS (SELECT zip, year, cat, greatest(premium, 0) AS premium, exposure, coalesce(loss, 0) AS loss FROM raw),
 r AS (SELECT *, loss / (premium + 1) AS ratio, premium / (exposure + 1) AS per FROM c),
-risk AS (SELECT c_custkey AS zip, c_acctbal / 10000 AS score FROM customer WHERE c_custkey % 2 = 0)
+risk AS (SELECT c_custkey AS zip, c_acctbal / 10000 AS score FROM customer WHERE c_acctbal > 4000)
 SELECT r.zip, year, cat, round(premium, 2) AS premium, round(lag(premium, 1) OVER w, 2) AS premium_lag1,
        round(lag(premium, 2) OVER w, 2) AS premium_lag2, round(lag(premium, 1) OVER w - lag(premium, 2) OVER w, 2) AS yoy,
        round(lag(ratio, 1) OVER w, 6) AS loss_ratio_lag1, round(lag(per, 1) OVER w, 4) AS per_lag1,
        round(coalesce(score, 0), 6) AS risk
 FROM r LEFT JOIN risk ON r.zip = risk.zip WINDOW w AS (PARTITION BY r.zip, cat ORDER BY year)""")
 def w2_premium_panel(spark, sf):
-    """Clipped target, one-hots, lags per ZIP and category, and a joined risk score that half the ZIPs lack."""
-    risk = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+    """Clipped target, one-hots, lags per ZIP and category, and a joined risk score that ZIPs of low balance lack."""
+    risk = table(spark, sf, "customer").where("c_acctbal > 4000").select(
         F.col("c_custkey").alias("ZIP"), (F.col("c_acctbal") / 10000).alias("wildfire_risk_prob"))
     df = W.premium_panel(premium_raw(spark, sf), risk, P.CLASSICAL_RISK_COL)
     return df.select(F.col("ZIP").alias("zip"), F.col("Year").alias("year"), _category(df),

@@ -11,7 +11,7 @@ from cindergrid.plans.driver_stats import LAG_PANEL_SQL, split_lag_panel
 from cindergrid.plans.registry import query
 from cindergrid.sources.tables import table
 
-N_LANDMARKS = 20
+N_LANDMARKS = 800  # as many as the models use
 RBF_GAMMA = 0.5
 
 
@@ -28,7 +28,7 @@ def _kernel_query(kind: str):
 
 KERNEL_SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-lm AS (SELECT vec_id AS landmark_id, x AS l FROM e ORDER BY md5('42#' || vec_id), vec_id LIMIT 20)
+lm AS (SELECT vec_id AS landmark_id, x AS l FROM e ORDER BY md5('42#' || vec_id), vec_id LIMIT 800)
 SELECT e.vec_id, lm.landmark_id, round({expr}, 6) AS k FROM e CROSS JOIN lm"""
 
 KERNEL_EXPRS = {
