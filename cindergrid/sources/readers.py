@@ -138,13 +138,29 @@ def _with_source(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, encoding: str = "UTF-8",
-             with_source: bool = False) -> DataFrame:
-    """Header CSV with an explicit schema: one pass, and the same types whatever the rows hold."""
+             with_source: bool = False, rejects: str | None = None) -> DataFrame:
+    """Header CSV with an explicit schema: one pass, and the same types whatever the rows hold.
+
+    A cell that doesn't fit its type is null.  ``rejects`` names a column
+    that then holds the row's text (null for good rows), for
+    :func:`count_rejects`.
+    """
     r = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+    if rejects:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        schema = T.StructType([*schema.fields, T.StructField(rejects, T.StringType())])
+        r = r.option("columnNameOfCorruptRecord", rejects)
     df = r.schema(schema).csv(path)
     return _with_source(df) if with_source else df
 
 
+def count_rejects(df: DataFrame, rejects: str) -> DataFrame:
+    """``(rows, rejected)`` of a frame read with ``rejects``."""
+    # all columns are kept: Spark parses no cell that isn't asked for, and then finds no fault
+    faulty = F.when(F.col(rejects).isNotNull(), F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(faulty).alias("rejected"))
+
+
 def read_comparison(spark: SparkSession, path: str) -> DataFrame:
     """The model-comparison report, typed."""
     return read_csv(spark, path, COMPARISON_SCHEMA)
@@ -155,20 +171,21 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, RESOURCE_SCHEMA)
 
 
-def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType | str, rejects: str | None = None) -> DataFrame:
     """The premium panel (header, typed by ``schema``)."""
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, rejects=rejects)
 
 
 def read_mixed_csv(spark: SparkSession, path: str, schema: T.StructType = WILDFIRE_SCHEMA,
-                   encoding: str = "ISO-8859-1") -> DataFrame:
+                   encoding: str = "ISO-8859-1", rejects: str | None = None) -> DataFrame:
     """The mixed weather/fire file in Latin-1."""
-    return read_csv(spark, path, schema, encoding=encoding)
+    return read_csv(spark, path, schema, encoding=encoding, rejects=rejects)
 
 
-def read_scores(spark: SparkSession, path: str, schema: T.StructType = SCORE_SCHEMA) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, schema: T.StructType = SCORE_SCHEMA, rejects: str | None = None
+                ) -> DataFrame:
     """S3: external score file."""
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, rejects=rejects)
 
 
 def read_metric_folder(spark: SparkSession, folder: str, schema: T.StructType = METRICS_SCHEMA,

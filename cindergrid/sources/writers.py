@@ -48,6 +48,20 @@ def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] = ("Year",
     return path
 
 
+def write_bucketed_panel(df: DataFrame, name: str, entity: Sequence[str], period: Sequence[str], buckets: int,
+                         path: str | None = None) -> str:
+    """K3 as a table of ``buckets`` buckets by entity, each sorted by entity and period.
+
+    Windows by entity and joins or aggregates on it read the table
+    (``spark.table(name)``) without an exchange: a bucket is one file and one
+    task.  ``path`` keeps the files outside the warehouse.
+    """
+    w = df.repartition(buckets, *entity).write.mode("overwrite").format("parquet") \
+        .bucketBy(buckets, *entity).sortBy(*entity, *period)
+    (w.option("path", path) if path else w).saveAsTable(name)
+    return name
+
+
 def write_scores(scores: DataFrame, path: str, key: str, score_cols: Sequence[str], digits: int = 6) -> DataFrame:
     """K4: zip-level scores rounded to ``digits``, globally sorted by key
     (a range-partitioned sort, so part files are in key order)."""
