@@ -9,6 +9,7 @@ Every reader takes a folder or glob, so a whole directory is one scan.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +134,10 @@ RUN_LOG_SCHEMA = T.StructType([
 ])
 
 
+# what a run's entry says of its classifier
+LOG_FIELDS = {"roc_auc": "double", "pr_auc": "double", "f1": "double", "precision": "double", "recall": "double"}
+
+
 def _with_source(df: DataFrame) -> DataFrame:
     return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
@@ -215,6 +220,29 @@ def read_json_docs(spark: SparkSession, path: str, schema: T.StructType = RUN_LO
     return _with_source(df)
 
 
+def read_log_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S5 without a fixed schema: ``(source_file, doc variant)``, one row per file, null for unreadable ones."""
+    text = _with_source(spark.read.text(path, wholetext=True))
+    return text.select(SOURCE_FILE, F.try_parse_json("value").alias("doc"))
+
+
+def log_entries(docs: DataFrame, fields: Mapping[str, str] | None = None) -> DataFrame:
+    """P19 over logs of any shape: one row per top-level key whose value is an object with any of ``fields``.
+
+    Returns ``(source_file, timestamp_utc, key, <fields...>, entry variant)``;
+    ``fields`` maps a name inside the entry to its type.  A run under a key
+    that no schema knows gives its row like any other; missing fields are
+    null; documents that can't be read give none.
+    """
+    fields = LOG_FIELDS if fields is None else fields
+    rows = docs.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("doc").outer()))
+    found = rows.where(F.schema_of_variant("value").startswith("OBJECT")).select(
+        SOURCE_FILE, F.try_variant_get("doc", "$.timestamp_utc", "string").alias("timestamp_utc"), "key",
+        *[F.try_variant_get("value", f"$.{name}", kind).alias(name) for name, kind in fields.items()],
+        F.col("value").alias("entry"))
+    return found.where(F.coalesce(*[F.col(n).cast("string") for n in fields]).isNotNull())
+
+
 def pick_latest(docs: DataFrame, predicate: Column | None = None, order: str = "timestamp_utc") -> DataFrame:
     """The newest document satisfying ``predicate``; unreadable rows skipped.
 
