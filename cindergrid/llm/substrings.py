@@ -393,17 +393,23 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         .where(F.when(F.col("d2") == 0, F.col("least") < F.col("most")).otherwise(F.col("first") < F.col("last")))
         .select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))
     release(docs.sparkSession)
-    # most digests occur once; a filter of bounded size over the others keeps them out of the join
-    known = filter_of(several.select(F.col("e1").alias("hash")), most_bits)
-    told = docs.sparkSession.sparkContext.broadcast((known.size, known.bits))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among = PhraseFilter(*told.value)
-        for batch in batches:
-            may = among.has(batch.column(2).to_numpy().view(np.uint64)) | batch.column(4).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(may))
+    def among(digests_: DataFrame):
+        """Most digests occur once; a filter of bounded size over the others keeps them out of a join."""
+        known = filter_of(digests_.select(F.col("e1").alias("hash")), most_bits)
+        told = docs.sparkSession.sparkContext.broadcast((known.size, known.bits))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = PhraseFilter(*told.value)
+            for batch in batches:
+                may = known.has(batch.column(2).to_numpy().view(np.uint64))
+                if batch.num_columns > 4:  # a text that repeats itself
+                    may |= batch.column(4).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(may))
+
+        return run
 
-    named = named.mapInArrow(likely, "key long, hash long, d1 long, d2 long, twice boolean")
+    named = named.mapInArrow(among(several), "key long, hash long, d1 long, d2 long, twice boolean")
     # a text that repeats a unit of its own comes back too, with one digest that marks nothing by itself
     found = materialised(named.join(several, same, "left").where(
         F.when(F.col("d2") == 0, F.col("first").isNotNull()).otherwise((F.col("key") > F.col("first")) | F.col("twice")))
@@ -426,26 +432,22 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     seeded = tagged.join(common, (F.col("rank_") == F.col("c_key")) & (F.col("hash_") == F.col("c_hash"))).select(
         "rank_", "hash_", "seeds", inner[spot])
 
-    def runs(batches: Iterator[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
-        among = PhraseFilter(*shared.value) if shared else None
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             origin, found = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
             for i, (value, wanted) in enumerate(zip(batch.column(3), batch.column(2))):
                 words = _word_hashes(value.as_py() or "")[0]
                 mine = np.isin(_run_seeds(words, passage_words), wanted.values.to_numpy(zero_copy_only=False))
                 own = _run_hashes(words, passage_words)[mine]
-                if among:
-                    own = own[among.has(np.ascontiguousarray(own[:, 0]).view(np.uint64))]
                 found.append(own)
                 origin.append(np.full(len(own), i))
             yield from dealt(batch, 0, np.concatenate(origin), np.concatenate(found))
 
-    strung = seeded.mapInArrow(runs, "key long, hash long, d1 long, d2 long")
-    firsts = materialised(firsts_of(strung))
+    # written once too, so that the texts travel once
+    strung = written(seeded.mapInArrow(runs, "key long, hash long, d1 long, d2 long"))
     release(docs.sparkSession)
-    known_runs = filter_of(firsts.select(F.col("e1").alias("hash")), most_bits)
-    told_runs = docs.sparkSession.sparkContext.broadcast((known_runs.size, known_runs.bits))
-    strung = seeded.mapInArrow(lambda batches: runs(batches, told_runs), "key long, hash long, d1 long, d2 long")
+    firsts = materialised(firsts_of(strung))
+    strung = strung.mapInArrow(among(firsts), "key long, hash long, d1 long, d2 long")
     passages = strung.join(firsts, same).where(F.col("key") > F.col("first"))
     none = F.lit(None).cast("struct<d1: bigint, d2: bigint>")
     marks = (again.select("key", "hash", mark, none.alias("run"), F.lit(False).alias("copy"), "twice")
