@@ -147,7 +147,9 @@ def fit_text_model(texts: DataFrame, *, text: str = "text", language: str = "lan
 
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
 _HIDDEN = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "nav", "noscript", "template")}
-_DECLARED = re.compile(r"""<html\b[^<>]*?\blang\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.I)
+_HTML = re.compile(r"""<html(?=[\s/])((?:"[^"]*"|'[^']*'|[^<>])*)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s<>]+))?""")
+_PRIMARY = re.compile(r"""["']?\s*([A-Za-z]{2,3})\b""")
 
 
 def visible_text(page: str | None) -> str:
@@ -177,9 +179,13 @@ def visible_text(page: str | None) -> str:
 
 
 def declared_language(page: str | None) -> str | None:
-    """Primary subtag of ``<html lang=...>`` in lower case."""
-    found = _DECLARED.search(page or "")
-    return found[1].lower() if found else None
+    """Primary subtag of ``<html lang=...>`` in lower case; attributes of other names (``xml:lang``, ``data-lang``) don't count."""
+    for tag in _HTML.finditer(page or ""):
+        for name, value in _ATTRIBUTE.findall(tag[1]):
+            if name.lower() == "lang":
+                found = _PRIMARY.match(value)
+                return found[1].lower() if found else None
+    return None
 
 
 def address_levels(url: str | None) -> tuple[str | None, str | None, str | None]:
