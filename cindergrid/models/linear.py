@@ -9,6 +9,10 @@
   digest, and one further model a fold is fitted without it.  All folds share
   each aggregate.
 
+Where the kernel's rank is high, sums are taken over kernel values and turned
+into those of the features when they are whole, which takes far fewer
+operations than turning every row.
+
 Rows carry their plain features; a kernel's features against landmarks are
 made inside the tasks (``Lift``), so no row stores hundreds of values.
 """
@@ -76,11 +80,20 @@ class Lift:
     turn: np.ndarray | None = None
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        if self.marks is None:
-            return x
+        return x if self.marks is None else self.values(x) @ self.turn
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """Kernel values, where an undefined one counts as 0."""
         values = kernel_matrix(x, self.marks, self.kind, self.gamma)
-        # an undefined kernel value counts as 0
-        return np.nan_to_num(values, nan=0.0) @ self.turn
+        return np.nan_to_num(values, copy=False, nan=0.0)
+
+    @property
+    def late(self) -> bool:
+        """Whether sums over kernel values, turned when they are whole, take fewer operations than turning every row."""
+        if self.marks is None:
+            return False
+        m, r = self.turn.shape
+        return m * m < 2 * m * r + r * r
 
     @property
     def size(self) -> int | None:
@@ -102,6 +115,49 @@ def _squared_hinge(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nda
 LOSSES = {"logistic": _logistic, "squared_hinge": _squared_hinge}
 
 
+class Curves:
+    """Curvature matrices ``X' diag(bend) X`` of several problems that each leave out one fold.
+
+    Problems mostly agree on a row's bend, so rows are multiplied out once,
+    by fold, with the bend of most problems, and only the rows on which a
+    problem differs a second time.
+    """
+
+    def __init__(self, size: int, own: Sequence[int], folds: int):
+        self.own, self.folds = own, folds
+        self.of_fold = np.zeros((max(folds, 1), size, size))
+        self.apart = np.zeros((len(own), size, size))
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in own]
+
+    def add(self, x: np.ndarray, bend: np.ndarray, used: np.ndarray, fold: np.ndarray) -> None:
+        common = np.where(2 * (bend > 0).sum(axis=1) >= used.sum(axis=1), bend.max(axis=1), 0.0)
+        for f in np.unique(fold) if self.folds else [0]:
+            rows = np.flatnonzero((common > 0) & (fold == f) if self.folds else common > 0)
+            root = x[rows] * np.sqrt(common[rows])[:, None]
+            self.of_fold[f] += root.T @ root
+        for i in range(len(self.own)):
+            gap = bend[:, i] - np.where(used[:, i], common, 0.0)
+            rows = np.flatnonzero(gap)
+            if len(rows):
+                self.held[i].append((x[rows], gap[rows]))
+                if sum(len(g) for _, g in self.held[i]) >= 1024:
+                    self._settle(i)
+
+    def _settle(self, i: int) -> None:
+        if self.held[i]:
+            x, gap = (np.concatenate(c) for c in zip(*self.held[i]))
+            self.apart[i] += (x * gap[:, None]).T @ x
+            self.held[i] = []
+
+    def whole(self) -> list[np.ndarray]:
+        for i, j in enumerate(self.own):
+            self._settle(i)
+            for f in range(len(self.of_fold)):
+                if not self.folds or f != j:
+                    self.apart[i] += self.of_fold[f]
+        return list(self.apart)
+
+
 def newton(rows: DataFrame, size: int, loss: str, *, c: float = 1.0, lift: Lift | None = None, folds: int = 0,
            start: np.ndarray | None = None, steps: int = 100, tol: float = 1e-10) -> np.ndarray:
     """Minimises ``|w|^2 / 2 + c * sum(weight * loss(x w + b))`` for all rows, or once without each fold.
@@ -118,33 +174,38 @@ def newton(rows: DataFrame, size: int, loss: str, *, c: float = 1.0, lift: Lift
     spark = rows.sparkSession
     ship_package(spark)
     shared_lift = spark.sparkContext.broadcast(lift)
+    late = lift.late
+    back = np.eye(size + 1)
+    if late:  # from the features, and the bias, to kernel values
+        back = np.zeros((lift.turn.shape[0] + 1, size + 1))
+        back[:-1, :-1], back[-1, -1] = lift.turn, 1.0
     for _ in range(steps):
-        points, own = at.copy(), list(live)
+        own = list(live)
+        points = at[own] @ back.T
 
         def partial(batches: Iterator[pa.RecordBatch]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-            sums = [[0.0, np.zeros(size + 1), np.zeros((size + 1, size + 1))] for _ in own]
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = shared_lift.value(matrix(batch.column(0)))
+            make = shared_lift.value.values if late else shared_lift.value
+            values, slopes = np.zeros(len(own)), np.zeros((points.shape[1], len(own)))
+            curves = Curves(points.shape[1], own, folds)
+            for batch in (b.slice(i, 4096) for b in batches for i in range(0, len(b), 4096)):
+                x = make(matrix(batch.column(0)))
                 x = np.column_stack((x, np.ones(len(x))))
                 y, w, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                for out, j in zip(sums, own):
-                    use = fold != j if folds else slice(None)
-                    xs, ws = x[use], w[use]
-                    value, slope, curve = rule(xs @ points[j], y[use])
-                    out[0] += float(ws @ value)
-                    out[1] += xs.T @ (ws * slope)
-                    bent = curve > 0
-                    root = xs[bent] * np.sqrt(ws[bent] * curve[bent])[:, None]
-                    out[2] += root.T @ root
-            return [tuple(s) for s in sums]
-
-        found = merged(rows, partial, lambda a, b: [tuple(u + v for u, v in zip(s, t)) for s, t in zip(a, b)])
+                used = np.stack([fold != j if folds else np.ones(len(x), bool) for j in own], axis=1)
+                value, slope, curve = rule(x @ points.T, y[:, None])
+                weight = used * w[:, None]
+                values += (weight * value).sum(axis=0)
+                slopes += x.T @ (weight * slope)
+                curves.add(x, weight * curve, used, fold)
+            return [(float(v), g, c) for v, g, c in zip(values, slopes.T, curves.whole())]
+
+        found = merged(rows, partial, lambda a, b: [tuple(u + v for u, v in zip(s, t)) for s, t in zip(a, b)], fan=8)
         if found is None:
             break
         for (value, slope, curve), j in zip(found, own):
             w = at[j]
+            if late:
+                slope, curve = back.T @ slope, back.T @ curve @ back
             total = c * value + w[:-1] @ w[:-1] / 2
             if best[j] is not None and total > best[j][0] + 1e-12 * abs(best[j][0]):
                 at[j] = (best[j][1] + w) / 2  # too far: half the step
@@ -171,8 +232,10 @@ def labelled(df: DataFrame, x: Column, label: str, weight: str | None, key: Sequ
     fold = hash_to_long(order_hash(seed, list(key))) % F.lit(folds) if folds > 1 else F.lit(0)
     rows = df.select(x.alias("x"), F.col(label).cast("double").alias("y"),
                      (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), fold.cast("long").alias("fold"))
-    return materialize(rows.where(F.col("y").isNotNull() & (F.col("w") > 0) & F.col("x").isNotNull()
-                                  & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
+    rows = rows.where(F.col("y").isNotNull() & (F.col("w") > 0) & F.col("x").isNotNull()
+                      & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    # a fold's rows of a task are multiplied out together
+    return materialize(rows.sortWithinPartitions("fold") if folds > 1 else rows)
 
 
 # --- calibration ---------------------------------------------------------
@@ -266,8 +329,9 @@ class Margin:
             out = np.full(len(vectors), np.nan)
             if known.any():
                 x = np.array(vectors[known].tolist(), float)
-                values = x if lift.marks is None else np.nan_to_num(kernel_matrix(x, lift.marks, lift.kind, lift.gamma), nan=0.0)
-                out[known] = values @ a + bias
+                # few rows at a time: they are as wide as there are landmarks
+                out[known] = np.concatenate([(piece if lift.marks is None else lift.values(piece)) @ a + bias
+                                             for piece in (x[i: i + 1024] for i in range(0, len(x), 1024))])
             return pd.Series(out)
 
         return lambda x: F.nanvl(score(x), F.lit(None).cast("double"))
@@ -312,8 +376,8 @@ def fit_margin(train: DataFrame, vector: Column, size: int, label: str, key: Seq
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lift_, each = shared.value
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
                 x = lift_(matrix(batch.column(0)))
                 own = each[batch.column(3).to_numpy()]
                 score = np.einsum("ij,ij->i", x, own[:, :-1]) + own[:, -1]
