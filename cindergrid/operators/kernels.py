@@ -10,8 +10,9 @@ Kernels: ``linear`` (x.l), ``cosine``, ``rbf`` (exp(-gamma |x - l|^2)) and
 ``fidelity`` = squared inner product of the unit vectors (the overlap
 |<phi(x)|phi(l)>|^2 of normalised state vectors).
 
-A pandas UDF multiplies each Arrow batch by the broadcast landmark matrix
-(one matrix product per batch).  A kernel value is null where it is not
+A task multiplies ``PIECE`` rows at a time by the broadcast landmark matrix
+and hands their values on before the next, so its memory is bounded by
+``PIECE`` times the landmarks whatever the batches and the number of rows.  A kernel value is null where it is not
 defined: for a null vector, a vector with a null or of another length, and
 under ``cosine`` and ``fidelity`` for a zero vector on either side.
 
@@ -22,10 +23,11 @@ landmarks' own kernel matrix ``K`` (m x m), the features of a row ``k`` are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +91,18 @@ def nystroem_map(lm: Landmarks, kind: str, gamma: float = 1.0, tol: float = 1e-9
     return vectors[:, keep] / np.sqrt(values[keep])
 
 
+PIECE = 512  # rows whose kernel values a task holds at once
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors as a matrix, NaN for a null and for a vector that is null or of another length."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    x = np.full((len(column), width), np.nan)
+    flat = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x[fits.to_numpy(zero_copy_only=False)] = flat.reshape(-1, width)
+    return x
+
+
 def kernel_features(df: DataFrame, vec_col: str, lm: Landmarks, kind: str = "rbf", gamma: float = 1.0,
                     out: str = "kernel", project: np.ndarray | None = None) -> DataFrame:
     """Add ``out`` = array of kernel values against every landmark (in landmark order).
@@ -101,18 +115,23 @@ def kernel_features(df: DataFrame, vec_col: str, lm: Landmarks, kind: str = "rbf
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((lm.matrix, project))
     width = lm.matrix.shape[1]
+    kept = [c for c in df.columns if c != out]
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def kernel_rows(vectors: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, turn = shared.value
-        blank = np.full(width, np.nan)
-        x = np.array([blank if v is None or len(v) != width else v for v in vectors], dtype=np.float64)
-        values = kernel_matrix(x.reshape(len(vectors), width), marks, kind, gamma)
-        return pd.Series(list(values if turn is None else values @ turn), dtype=object)
-
-    raw = kernel_rows(F.col(vec_col).cast("array<double>"))
-    # the UDF marks undefined values by NaN; the array itself is always there
-    return df.withColumn(out, raw).withColumn(out, F.transform(out, lambda v: F.when(~F.isnan(v), v)))
+        for whole in batches:
+            for batch in (whole.slice(i, PIECE) for i in range(0, len(whole), PIECE)):
+                values = kernel_matrix(_vectors(batch.column(len(kept)), width), marks, kind, gamma)
+                if turn is not None:
+                    values = values @ turn
+                n, m = values.shape
+                flat = values.ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(flat, mask=np.isnan(flat)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists], names=[*kept, out])
+
+    slim = df.select(*kept, F.col(vec_col).cast("array<double>").alias("__cg_v"))
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return slim.mapInArrow(run, schema)
 
 
 def kernel_long(df: DataFrame, id_col: str, vec_col: str, lm: Landmarks, kind: str = "rbf", gamma: float = 1.0,
