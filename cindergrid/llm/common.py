@@ -9,14 +9,13 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cindergrid.session import checkpoint_dir, ship_package
+from cindergrid.session import checkpoint_dir, release, ship_package  # noqa: F401
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
@@ -40,16 +39,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written.
-
-    They go when the driver's objects for them are collected as garbage,
-    which on a large driver heap may be long after the step.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def utf8_text(text: str | Column) -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

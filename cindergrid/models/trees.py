@@ -32,15 +32,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.session import materialize, ship_package
+from cindergrid.session import materialize, release, ship_package
 
 NODES = ("tree int, node long, part long, feature int, threshold double, left long, right long, value double, weight double")
 PRIME = 2147483647
@@ -124,7 +127,7 @@ def grow_part(x: np.ndarray, y: np.ndarray, w: np.ndarray, *, depth: int | None,
             o = order[j]
             o = o[slot[o] >= 0]
             s = slot[o]
-            turn = np.argsort(s, kind="stable")
+            turn = np.argsort(s.astype(np.uint16) if k < 1 << 16 else s, kind="stable")  # short numbers sort by digits
             o, s = o[turn], s[turn]
             order[j] = o
             start = np.searchsorted(s, np.arange(k))
@@ -292,25 +295,16 @@ def find_bins(rows: DataFrame, features: int, bins: int) -> Bins:
     return Bins([np.unique(np.array(v, float)) for v in values], exact)
 
 
-HISTOGRAM = "slot int, feature int, bin int, n long, w double, s double, q double, h double"
 SPLITS = "slot int, feature int, low int, high int, n_l long, w_l double, s_l double, h_l double, n_r long, w_r double, " \
     "s_r double, h_r double"
 
 
-def pick_split(cells: pa.Table, features: int, width: int, m: int | None = None, seed: int = 0,
-               name: tuple[int, int] = (0, 0)) -> dict[str, float]:
-    """The split of one node's histogram: ``feature``, the bins around it and both sides' sums; feature -1 without one."""
-    at = cells["feature"].to_numpy(), cells["bin"].to_numpy()
-    dense = {c: np.zeros((features, width)) for c in ("n", "w", "s", "q", "h")}
-    for c, v in dense.items():
-        v[at] = cells[c].to_numpy()
-    # every feature's bins hold all rows of the node
-    return split_of(dense, float(dense.pop("q")[0].sum()), m, seed, name)
-
-
 def split_of(dense: dict[str, np.ndarray], q: float, m: int | None = None, seed: int = 0, name: tuple[int, int] = (0, 0)
              ) -> dict[str, float]:
-    """The same of sums ``features x bins`` by name; ``q`` is the node's sum of squared targets."""
+    """The split of one node's sums ``features x bins`` by name: ``feature``, the bins around it and both sides' sums.
+
+    ``q`` is the node's sum of squared targets; ``feature`` is -1 without a split.
+    """
     features, width = dense["n"].shape
     upto = {c: np.cumsum(v, axis=1) for c, v in dense.items()}
     whole = {c: v[:, -1:] for c, v in upto.items()}
@@ -335,46 +329,32 @@ def split_of(dense: dict[str, np.ndarray], q: float, m: int | None = None, seed:
     return found | {f"{c}_{side}": int(v) if c == "n" else float(v) for side, sums in zip("lr", sides) for c, v in sums.items()}
 
 
-def best_splits(sums: DataFrame, features: int, width: int, m: int | None = None, seed: int = 0,
+def best_splits(partial: DataFrame, features: int, width: int, m: int | None = None, seed: int = 0,
                 names: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """:func:`pick_split` of every slot, in tasks; ``names`` are (tree, node) of the slots."""
+    """:func:`split_of` of every slot, in tasks, from rows ``slot, body``; ``names`` are (tree, node) of the slots."""
     names = list(names)
 
-    def run(key: tuple, cells: pa.Table) -> pa.Table:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
         slot = key[0].as_py()
-        row = {"slot": slot, **pick_split(cells, features, width, m, seed, names[slot])}
+        sums = sum(np.frombuffer(b.as_py()) for b in group["body"])
+        dense = dict(zip("nwsh", sums[:-1].reshape(4, features, width)))
+        row = {"slot": slot, **split_of(dense, float(sums[-1]), m, seed, names[slot])}
         kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
         return pa.table({c: pa.array([row[c]], kinds[t]) for c, t in (p.split(" ") for p in SPLITS.split(", "))})
 
-    return sums.groupBy("slot").applyInArrow(run, SPLITS)
-
-
-class Histogram:
-    """Sums per (slot, feature, bin) inside one task."""
-
-    def __init__(self, slots: int, features: int, width: int):
-        self.shape = slots, features, width
-        self.sums = np.zeros((5, slots * features * width))
-
-    def add(self, bins: np.ndarray, slot: np.ndarray, w: np.ndarray, y: np.ndarray, h: np.ndarray | None = None) -> None:
-        slots, features, width = self.shape
-        size = slots * features * width
-        for j in range(features):
-            cell = (slot * features + j) * width + bins[:, j]
-            for i, v in enumerate((None, w, w * y, w * y * y, w if h is None else h)):
-                self.sums[i] += np.bincount(cell, v, size)
-
-    def batch(self) -> pa.RecordBatch:
-        slots, features, width = self.shape
-        at = np.flatnonzero(self.sums[0])
-        columns = [at // (features * width), at // width % features, at % width]
-        return pa.RecordBatch.from_arrays(
-            [*[pa.array(c.astype(np.int32)) for c in columns], pa.array(self.sums[0][at].astype(np.int64)),
-             *[pa.array(v[at]) for v in self.sums[1:]]], names=[p.split(" ")[0] for p in HISTOGRAM.split(", ")])
+    return partial.groupBy("slot").applyInArrow(run, SPLITS)
 
 
-def summed(partial: DataFrame) -> DataFrame:
-    return partial.groupBy("slot", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "w", "s", "q", "h")])
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """The batches put together to about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 # --- forests -------------------------------------------------------------
@@ -386,37 +366,59 @@ def _level(rows: DataFrame, top: Top, frontier: Sequence[int], bins: Bins, featu
     spark = rows.sparkSession
     width = bins.width
     roots = {top.tree[i]: i for i in range(len(top.tree)) if top.depth[i] == 0}
-    shared = spark.sparkContext.broadcast((top.arrays(), roots, list(frontier), sorted({top.tree[i] for i in frontier}), bins))
+    by_tree: dict[int, list[int]] = {}
+    for slot, i in enumerate(frontier):
+        by_tree.setdefault(top.tree[i], []).append(slot)
+    shared = spark.sparkContext.broadcast((top.arrays(), roots, list(frontier), by_tree, bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, starts, wanted, trees, cut = shared.value
-        slot_of = np.full(len(nodes[0]), -1)
-        slot_of[wanted] = np.arange(len(wanted))
-        sums = Histogram(len(wanted), features, width)
-        for batch in batches:
+        # a tree's rows are added up over its own nodes only
+        place_of = np.full(len(nodes[0]), -1)
+        for slots in trees.values():
+            place_of[[wanted[s] for s in slots]] = np.arange(len(slots))
+        sums = {t: np.zeros((4, features, len(s) * width)) for t, s in trees.items()}
+        squares = {t: np.zeros(len(s)) for t, s in trees.items()}
+        for batch in chunks(batches):
             x = _matrix(batch.column("x"), features)
-            binned = cut.of(x)
+            binned = np.ascontiguousarray(cut.of(x).T)
             rid, y, w = (batch.column(c).to_numpy() for c in ("rid", "y", "w"))
-            for tree in trees:
+            for tree, slots in trees.items():
                 times = bootstrap_counts(rid, seed, tree) if bootstrap else np.ones(len(rid), np.int64)
-                slot = slot_of[route(x, np.full(len(x), starts[tree]), *nodes)]
-                use = np.flatnonzero((slot >= 0) & (times > 0))
-                sums.add(binned[use], slot[use], w[use] * times[use], y[use])
-        yield sums.batch()
+                place = place_of[route(x, np.full(len(x), starts[tree]), *nodes)]
+                use = np.flatnonzero((place >= 0) & (times > 0))
+                base, ws = place[use] * width, w[use] * times[use]
+                wy = ws * y[use]
+                squares[tree] += np.bincount(place[use], wy * y[use], len(slots))
+                for j in range(features):
+                    cell = base + binned[j, use]
+                    for out, v in zip(sums[tree], (None, ws, wy)):
+                        out[j] += np.bincount(cell, v, len(out[j]))
+        for tree, slots in trees.items():
+            held = sums[tree]
+            held[3] = held[1]  # a row's curvature is its weight
+            each = held.reshape(4, features, len(slots), width)
+            bodies = [np.append(each[:, :, k].ravel(), squares[tree][k]).tobytes() for k in range(len(slots))]
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(bodies, pa.binary())], names=["slot", "body"])
 
     names = [(top.tree[i], i) for i in frontier]
-    found = best_splits(summed(rows.mapInArrow(run, HISTOGRAM)), features, width, m, seed, names).collect()
-    return found
+    return best_splits(rows.mapInArrow(run, "slot int, body binary"), features, width, m, seed, names).collect()
 
 
 @dataclass
 class Forest:
-    """A fitted ensemble: its node table (``NODES``) and how trees combine: ``mean`` of their values, or ``start + sum``."""
+    """A fitted ensemble: its node table (``NODES``) and how trees combine: ``mean`` of their values, or ``start + sum``.
+
+    A forest grown to the end has more nodes than the table had rows, many
+    times, so parts are kept as arrays and become node rows when asked for.
+    """
 
     nodes: DataFrame
     features: int
     trees: int
     start: float | None = None  # None: mean of the trees
+    packed: DataFrame | None = None  # the parts as ``PARTS``, a row a part, where the nodes are made from them
+    tops: DataFrame | None = None  # and the nodes above them
 
     def write(self, path: str) -> None:
         self.nodes.write.mode("overwrite").parquet(path)
@@ -425,7 +427,7 @@ class Forest:
 def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Sequence[str], *, size: int | None = None,
                trees: int = 200, weight: str | None = None, max_features: int | None = None, max_depth: int | None = None,
                bootstrap: bool = True, bins: int = 256, limit: int = 1 << 16, most_top: int = 1 << 20, seed: int = 42,
-               cells: int = 1 << 23) -> Forest:
+               cells: int = 1 << 23, round_bytes: int = 2 << 30) -> Forest:
     """Forest of fully grown trees (or of ``max_depth``); a leaf's value is its weighted mean of the label.
 
     ``features`` are columns, or one array column of ``size`` values.  Rows
@@ -433,7 +435,8 @@ def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Se
     below every threshold.  With no rows left, each tree is one leaf of
     value 0.  A row's draws depend on ``key``, so rows with equal keys are
     drawn together.  ``limit`` is the number of rows that one task grows a
-    subtree from; a forest whose level nodes would pass ``most_top`` raises.
+    subtree from, and rows are dealt to their parts for as many trees at a
+    time as ``round_bytes`` hold; a forest whose level nodes would pass ``most_top`` raises.
     """
     f = size if isinstance(features, str) else len(features)
     if not f or trees < 1:
@@ -468,14 +471,24 @@ def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Se
                 top.left[i], top.right[i] = c - 1, c
         if len(top.tree) > most_top:
             raise ValueError(f"more than {most_top} nodes above the parts: raise limit or bound max_depth")
+        following.sort(key=lambda i: top.tree[i])
         large = [i for i in following if bag[i] > limit and (max_depth is None or top.depth[i] < max_depth)]
     # leaves and inner nodes of the level stage, then the parts
     parts = {i for i, b in bag.items() if b and (max_depth is None or top.depth[i] < max_depth)}
-    grown = _grow_parts(rows, top, parts, f, max_depth, bootstrap, seed, max_features)
+    per_tree = max(1, n * (f + 2) * 8)
+    together = max(1, round_bytes // per_tree)  # trees whose rows are dealt at a time
+    packed = []
+    for first in range(0, trees, together):
+        some = {i for i in parts if first <= top.tree[i] < first + together}
+        if some:
+            packed.append(materialize(_grow_parts(rows, top, some, f, max_depth, bootstrap, seed, max_features)))
+            release(spark)
+    grown = reduce(DataFrame.unionByName, packed, spark.createDataFrame([], PARTS))
     above = [(top.tree[i], i << 32, -1, top.feature[i], top.threshold[i] if top.feature[i] >= 0 else None,
               top.left[i] << 32 if top.feature[i] >= 0 else -1, top.right[i] << 32 if top.feature[i] >= 0 else -1,
               top.value[i], top.weight[i]) for i in range(len(top.tree)) if i not in parts]
-    return Forest(materialize(spark.createDataFrame(above, NODES).unionByName(grown)), f, trees)
+    tops = materialize(spark.createDataFrame(above, NODES))
+    return Forest(tops.unionByName(_node_rows(grown)), f, trees, packed=grown, tops=tops)
 
 
 def _grow_parts(rows: DataFrame, top: Top, parts: set[int], f: int, max_depth: int | None, bootstrap: bool, seed: int,
@@ -489,51 +502,102 @@ def _grow_parts(rows: DataFrame, top: Top, parts: set[int], f: int, max_depth: i
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, starts, wanted, _ = shared.value
-        for batch in batches:
-            x, rid = _matrix(batch.column("x"), f), batch.column("rid").to_numpy()
-            w = batch.column("w").to_numpy()
+        for batch in chunks(batches):
+            x, (rid, y, w) = _matrix(batch.column("x"), f), (batch.column(c).to_numpy() for c in ("rid", "y", "w"))
             for tree, own in wanted.items():
                 times = bootstrap_counts(rid, seed, tree) if bootstrap else np.ones(len(rid), np.int64)
                 part = route(x, np.full(len(x), starts[tree]), *nodes)
                 use = np.flatnonzero(np.isin(part, own) & (times > 0))
-                taken = batch.take(pa.array(use))
+                use = use[np.argsort(part[use], kind="stable")]
+                found, first = np.unique(part[use], return_index=True)
+                table = np.column_stack((x[use], y[use], w[use] * times[use]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(use), tree, np.int32)), pa.array(part[use]), taken.column("x"), taken.column("y"),
-                     pa.array(w[use] * times[use])], names=["tree", "part", "x", "y", "w"])
+                    [pa.array(np.full(len(found), tree, np.int32)), pa.array(found),
+                     pa.array([rows_.tobytes() for rows_ in np.split(table, first[1:])][: len(found)], pa.binary())],
+                    names=["tree", "part", "body"])
 
     def grow(key: tuple, group: pa.Table) -> pa.Table:
         tree, part = (k.as_py() for k in key)
         depth = shared.value[3]
-        x = _matrix(group["x"], f)
-        y, w = group["y"].to_numpy(), group["w"].to_numpy()
+        table = np.concatenate([np.frombuffer(b.as_py()).reshape(-1, f + 2) for b in group["body"]])
         # one order of rows whatever the shuffle made of them, so that sums round alike
-        order = np.lexsort((w, y, *x.T[::-1]))
-        made = grow_part(x[order], y[order], w[order], depth=None if max_depth is None else max_depth - int(depth[part]),
-                         m=m, tree=tree, part=part, seed=seed)
-        k, base = len(made["feature"]), part << 32
-        leaf = made["feature"] < 0
-        return pa.table({
-            "tree": pa.array(np.full(k, tree, np.int32)), "node": base + np.arange(k), "part": np.full(k, part),
-            "feature": made["feature"].astype(np.int32), "threshold": pa.array(made["threshold"], mask=leaf),
-            "left": np.where(leaf, -1, base + made["left"]), "right": np.where(leaf, -1, base + made["right"]),
-            "value": made["value"], "weight": made["weight"]})
+        table = table[np.lexsort((table[:, -1], table[:, -2], *table[:, f - 1:: -1].T))]
+        made = grow_part(np.ascontiguousarray(table[:, :f]), table[:, f].copy(), table[:, f + 1].copy(),
+                         depth=None if max_depth is None else max_depth - int(depth[part]), m=m, tree=tree, part=part, seed=seed)
+        return pa.table({"tree": pa.array([tree], pa.int32()), "part": [part], "n": [len(made["feature"])],
+                         "body": pa.array([_pack(made)], pa.binary())})
+
+    dealt = rows.mapInArrow(deal, "tree int, part long, body binary")
+    return dealt.groupBy("tree", "part").applyInArrow(grow, PARTS)
+
+
+PARTS = "tree int, part long, n long, body binary"
+
 
-    dealt = rows.mapInArrow(deal, "tree int, part long, x array<double>, y double, w double")
-    return dealt.groupBy("tree", "part").applyInArrow(grow, NODES)
+def _pack(made: dict[str, np.ndarray]) -> bytes:
+    """A subtree as bytes: features, then thresholds of inner nodes and values of leaves, then the rest.
+
+    Children aren't stored: :func:`grow_part` numbers the k-th inner node's
+    2 k + 1 and 2 k + 2.
+    """
+    leaf = made["feature"] < 0
+    columns = (made["feature"].astype("<i4"), np.where(leaf, made["value"], made["threshold"]), made["value"][~leaf], made["weight"])
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _unpack(body: bytes, n: int) -> tuple[np.ndarray, ...]:
+    """``feature, number, left, right, value, weight`` of a packed subtree; ``number`` is the threshold or a leaf's value."""
+    feature, number = np.frombuffer(body, "<i4", n), np.frombuffer(body, "<f8", n, 4 * n)
+    inner = feature >= 0
+    k = int(inner.sum())
+    left = np.where(inner, 2 * np.cumsum(inner) - 1, -1)
+    value = number.copy()
+    value[inner] = np.frombuffer(body, "<f8", k, 12 * n)
+    return feature, number, left, np.where(inner, left + 1, -1), value, np.frombuffer(body, "<f8", n, 12 * n + 8 * k)
+
+
+def _node_rows(packed: DataFrame) -> DataFrame:
+    """The packed parts as rows of ``NODES``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree, part, n, body in zip(*(c.to_pylist() for c in batch.columns)):
+                feature, number, left, right, value, weight = _unpack(body, n)
+                leaf, base = feature < 0, part << 32
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, tree, np.int32)), pa.array(base + np.arange(n)), pa.array(np.full(n, part)),
+                     pa.array(feature), pa.array(number, mask=leaf), pa.array(np.where(leaf, -1, base + left)),
+                     pa.array(np.where(leaf, -1, base + right)), pa.array(value), pa.array(weight)],
+                    names=[c.split(" ")[0] for c in NODES.split(", ")])
+
+    return packed.mapInArrow(run, NODES)
+
+
+def _packed_nodes(nodes: DataFrame) -> DataFrame:
+    """Rows of ``NODES`` as ``PARTS``, for ensembles that come as a node table."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        made = {c: group[c].to_numpy() for c in ("feature", "threshold", "value", "weight")}
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "part": [key[1].as_py()], "n": [len(group)],
+                         "body": pa.array([_pack(made)], pa.binary())})
+
+    return materialize(nodes.where("part >= 0").groupBy("tree", "part").applyInArrow(run, PARTS))
 
 
 # --- scoring -------------------------------------------------------------
 
 
 def score_trees(df: DataFrame, model: Forest, features: Sequence[str] | str, out: str = "prediction",
-                bundle: int = 1 << 20, block: int = 1 << 15) -> DataFrame:
+                bundle: int = 1 << 20, block: int = 1 << 21) -> DataFrame:
     """``df`` plus the ensemble's value for each row.
 
     Rows are routed through the nodes above the parts, which are few and
     checked; then rows meet the parts they need in bundles of about
-    ``bundle`` nodes, a block of ``block`` rows at a time, and the sums over
-    bundles come back to the rows.  A task holds one bundle and one block,
-    whatever the size of the ensemble and of ``df``.
+    ``bundle`` nodes.  A bundle that more than about ``block`` pairs of a row
+    and a part need is met by several blocks of rows, so a task holds one
+    bundle and one block whatever the size of the ensemble and of ``df``.
+    Rows travel as arrays, and so do the bundles' sums on their way back.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -541,14 +605,21 @@ def score_trees(df: DataFrame, model: Forest, features: Sequence[str] | str, out
     x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(
         *[F.col(c).cast("double") for c in features])
     rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__x", x))
-    top = model.nodes.where("part < 0").select("tree", "node", "feature", "threshold", "left", "right", "value").collect()
-    sizes = sorted((r["part"], r["n"]) for r in
-                   model.nodes.where("part >= 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    bundle_of, held = {}, 0
-    for part, n in sizes:
+    top = (model.nodes if model.packed is None else model.tops).where("part < 0").select(
+        "tree", "node", "feature", "threshold", "left", "right", "value").collect()
+    packed = model.packed if model.packed is not None else _packed_nodes(model.nodes)
+    found = sorted((r["tree"], r["part"], r["n"]) for r in packed.select("tree", "part", "n").collect())
+    sizes = [(part, n) for _, part, n in found]
+    bundle_of, held, whole, load = {}, 0, Counter(), Counter()
+    for tree, _, n in found:
+        whole[tree] += n
+    for tree, part, n in found:
         bundle_of[part] = held // bundle
         held += n
-    blocks = max(1, -(-rows.count() // block))
+        load[bundle_of[part]] += n / whole[tree]  # a row needs one part of a tree, about by their sizes
+    total = rows.count()
+    blocks = max(1, math.ceil(total * max(load.values(), default=0) / block))
+    ranges = max(1, total * model.trees * 16 >> 25)  # of rows, whose sums one task adds up
     # the nodes above the parts under running numbers; parts hang below them as negative numbers
     number = {r["node"]: i for i, r in enumerate(top)}
     children = [[number.get(r[c], -2 - (r[c] >> 32)) if r["feature"] >= 0 else -1 for r in top] for c in ("left", "right")]
@@ -561,10 +632,9 @@ def score_trees(df: DataFrame, model: Forest, features: Sequence[str] | str, out
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature, threshold, (left, right), value, begin, home = shared.value
-        names = ["bundle", "block", "row", "x", "parts", "done"]
-        for batch in batches:
+        for batch in chunks(batches, 1 << 14):
             values, ids = _matrix(batch.column("__x"), f), batch.column("__row").to_numpy()
-            done, reached = np.zeros(len(ids)), []
+            done, pair_row, pair_part = np.zeros(len(ids)), [], []
             for s in begin:
                 at = np.full(len(ids), s)
                 moving = np.flatnonzero(at >= 0)
@@ -574,52 +644,59 @@ def score_trees(df: DataFrame, model: Forest, features: Sequence[str] | str, out
                     at[moving] = np.where(values[moving, feature[here]] <= threshold[here], left[here], right[here])
                     moving = moving[at[moving] >= 0]
                 done[at >= 0] += value[at[at >= 0]]
-                reached.append(np.where(at < -1, -2 - at, -1))
-            reached = np.stack(reached, axis=1) if reached else np.empty((len(ids), 0), np.int64)
-            homes = np.where(reached >= 0, home[1][np.searchsorted(home[0], np.maximum(reached, 0)) % max(len(home[1]), 1)], -1) \
-                if len(home[0]) else np.full(reached.shape, -1)
-            for b in np.unique(np.append(homes[homes >= 0], -1)):
-                use = np.flatnonzero((homes == b).any(axis=1)) if b >= 0 else np.flatnonzero((homes < 0).any(axis=1) | (homes.shape[1] == 0))
-                lists = [reached[i][homes[i] == b].tolist() if b >= 0 else [] for i in use]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(use), b, np.int64)), pa.array(ids[use] % blocks), pa.array(ids[use]),
-                     batch.column("__x").take(pa.array(use)), pa.array(lists, pa.list_(pa.int64())),
-                     pa.array(done[use] if b < 0 else np.zeros(len(use)))], names=names)
+                out_ = np.flatnonzero(at < -1)
+                pair_row.append(out_.astype(np.int32))
+                pair_part.append(-2 - at[out_])
+            pair_row, pair_part = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (pair_row, pair_part))
+            bodies = [(-1, 0, pickle.dumps((ids, done)))]
+            if len(pair_part):
+                at = home[1][np.searchsorted(home[0], pair_part)] * blocks + ids[pair_row] % blocks
+                order = np.argsort(at, kind="stable")
+                names, first = np.unique(at[order], return_index=True)
+                for name, own in zip(names.tolist(), np.split(order, first[1:])):
+                    some, where = np.unique(pair_row[own], return_inverse=True)
+                    body = ids[some], values[some], where.astype(np.int32), pair_part[own]
+                    bodies.append((name // blocks, name % blocks, pickle.dumps(body)))
+            for start in range(0, len(bodies), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bodies[start: start + 64]),
+                                                  (pa.int64(), pa.int64(), pa.binary()))], names=["bundle", "block", "body"])
 
     def sums(dealt: pa.Table, nodes: pa.Table) -> pa.Table:
-        if not len(dealt):
-            return pa.table({"row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
-        ids, total = dealt["row"].to_numpy(), dealt["done"].to_numpy().copy()
+        out: dict[int, list] = {}
         if len(nodes):
-            node = nodes["node"].to_numpy()
-            order = np.argsort(node)
-            node = node[order]
-            feature, value = nodes["feature"].to_numpy()[order], nodes["value"].to_numpy()[order]
-            threshold = nodes["threshold"].to_numpy(zero_copy_only=False).astype(float)[order]
-            left, right = (np.searchsorted(node, np.maximum(nodes[c].to_numpy()[order], 0)) for c in ("left", "right"))
-            values = _matrix(dealt["x"], f)
-            lists = dealt["parts"].combine_chunks()
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for start in range(0, len(ids), 2048):
-                stop = min(start + 2048, len(ids))
-                times = np.diff(offsets[start: stop + 1])
-                row = np.repeat(np.arange(start, stop), times)
-                root = np.searchsorted(node, flat[offsets[start]: offsets[stop]] << 32)
-                total += np.bincount(row, value[route(values, root, feature, threshold, left, right, row)], len(ids))
-        return pa.table({"row": ids, "total": total})
-
-    dealt = rows.select("__row", "__x").mapInArrow(
-        deal, "bundle long, block long, row long, x array<double>, parts array<long>, done double")
-    homes = F.create_map(*[F.lit(v) for p, b in bundle_of.items() for v in (p, b)]) if 0 < len(bundle_of) <= 1024 else None
-    nodes = model.nodes.where("part >= 0")
-    if homes is not None:
-        nodes = nodes.withColumn("bundle", F.element_at(homes, F.col("part")).cast("long"))
-    else:
-        table = spark.createDataFrame([(p, b) for p, b in bundle_of.items()] or [(-9, 0)], "of long, bundle long")
-        nodes = nodes.join(table, F.col("part") == F.col("of"))
-    nodes = nodes.select("bundle", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "node",
-                         "feature", "threshold", "left", "right", "value")
-    totals = (dealt.groupBy("bundle", "block").cogroup(nodes.groupBy("bundle", "block"))
-              .applyInArrow(sums, "row long, total double").groupBy("row").agg(F.sum("total").alias("__total")))
+            trees_ = [_unpack(b.as_py(), n.as_py()) for b, n in zip(nodes["body"], nodes["n"])]
+            base = np.cumsum([0, *[len(t[0]) for t in trees_]])
+            feature, number = (np.concatenate([t[i] for t in trees_]) for i in (0, 1))
+            left, right = (np.concatenate([t[i] + b for t, b in zip(trees_, base)]) for i in (2, 3))
+            names = nodes["part"].to_numpy()
+            by_name = np.argsort(names)
+        for body in dealt["body"]:
+            ids, *rest = pickle.loads(body.as_py())
+            if len(rest) == 1:
+                made = rest[0]
+            else:
+                values, row, part = rest
+                root = base[by_name[np.searchsorted(names, part, sorter=by_name)]]
+                made = np.bincount(row, number[route(values, root, feature, number, left, right, row)], len(ids))
+            at = ids % ranges
+            order = np.argsort(at, kind="stable")
+            found, first = np.unique(at[order], return_index=True)
+            for k, own in zip(found.tolist(), np.split(order, first[1:])):
+                out.setdefault(k, []).append((ids[own], made[own]))
+        bodies = [pickle.dumps(tuple(np.concatenate(c) for c in zip(*v))) for v in out.values()]
+        return pa.table({"range": pa.array(list(out), pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+    def added(group: pa.Table) -> pa.Table:
+        ids, made = (np.concatenate(c) for c in zip(*(pickle.loads(b.as_py()) for b in group["body"])))
+        row, where = np.unique(ids, return_inverse=True)
+        return pa.table({"row": row, "total": np.bincount(where, made, len(row))})
+
+    dealt = rows.select("__row", "__x").mapInArrow(deal, "bundle long, block long, body binary")
+    table = spark.createDataFrame([(p, b) for p, b in bundle_of.items()] or [(-9, 0)], "of long, bundle long")
+    nodes = packed.join(F.broadcast(table), F.col("part") == F.col("of")).select(
+        "bundle", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "part", "n", "body")
+    totals = materialize(dealt.groupBy("bundle", "block").cogroup(nodes.groupBy("bundle", "block"))
+                         .applyInArrow(sums, "range long, body binary").groupBy("range").applyInArrow(added, "row long, total double")
+                         .withColumnRenamed("total", "__total"))
     combined = F.col("__total") / F.lit(float(model.trees)) if model.start is None else F.col("__total") + F.lit(model.start)
     return rows.join(totals, F.col("__row") == F.col("row"), "left").withColumn(out, combined).drop("__row", "__x", "row", "__total")
