@@ -31,14 +31,25 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared checkpoint folder: less disk than a checkpoint where values repeat."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = path or table_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new folder for :func:`written`, for a table that :func:`forget` deletes before the checkpoint folder is cleared."""
+    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more; what was made from it must be written itself."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def utf8_text(text: str | Column) -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.llm.common import bounded_batches, materialised, release, written
+from cindergrid.llm.common import bounded_batches, forget, materialised, release, table_path, written
 from cindergrid.llm.phrases import PhraseFilter, filter_of
 
 _END = re.compile(r"[.!?]+(?:\s+|$)|[。！？｡]+\s*")
@@ -52,7 +52,9 @@ _LETTERS = "\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3
     "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _UNSPACED = re.compile(f"[{_LETTERS}]")
 _TOKEN = re.compile(f"[{_LETTERS}]|[^\\s{_LETTERS}]+")
+_WORD = re.compile(r"\S+")  # a token of a text without such letters
 _SEED_WORDS = 12
+_KNOWN_WORDS = 600_000  # some 80 MB a worker
 _FACTORS = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 
 
@@ -114,7 +116,7 @@ def lines_of(text: str, line_words: int, sentence_words: int) -> Iterator[tuple[
 def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words, and which of the blank-separated tokens they are; punctuation alone is no word."""
     tokens = _TOKEN.findall(text) if _has_unspaced(text) else text.split()
-    if len(_WORD_HASHES) > 200_000:
+    if len(_WORD_HASHES) > _KNOWN_WORDS:
         _WORD_HASHES.clear()
     found = np.fromiter(map(_WORD_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     at = np.flatnonzero(found)
@@ -230,7 +232,7 @@ def passage_spans(text: str, repeated: set[bytes] | None, passage_words: int, tw
     np.add.at(edges, starts + passage_words, -1)
     covered = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
     turns = np.flatnonzero(covered[1:] != covered[:-1])
-    places = [m.span() for m in _TOKEN.finditer(text)]
+    places = [m.span() for m in (_TOKEN if _has_unspaced(text) else _WORD).finditer(text)]
     spans = []
     for a, b in zip(turns[::2], turns[1::2]):
         start, end = places[at[a]][0], places[at[b - 1]][1]
@@ -385,7 +387,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
     mark = F.when(F.col("key") > F.col("first"), F.struct("d1", "d2")).alias("mark")
     # written once: it feeds the aggregate and the join
-    named = written(slim.mapInArrow(units, "key long, hash long, d1 long, d2 long, twice boolean"))
+    path = table_path(docs.sparkSession)
+    named = written(slim.mapInArrow(units, "key long, hash long, d1 long, d2 long, twice boolean"), path)
     # units count where a smaller key has them, seeds where two different texts do
     several = materialised(
         named.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"),
@@ -414,6 +417,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = materialised(named.join(several, same, "left").where(
         F.when(F.col("d2") == 0, F.col("first").isNotNull()).otherwise((F.col("key") > F.col("first")) | F.col("twice")))
         .select("key", "hash", "d1", "d2", "first", "twice"))
+    # all that is read from here on is in ``found``
+    del named, several
+    forget(docs.sparkSession, path)
     release(docs.sparkSession)
     again = found.where("d2 <> 0")
 
@@ -447,6 +453,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     strung = written(seeded.mapInArrow(runs, "key long, hash long, d1 long, d2 long"))
     release(docs.sparkSession)
     firsts = materialised(firsts_of(strung))
+    release(docs.sparkSession)
     strung = strung.mapInArrow(among(firsts), "key long, hash long, d1 long, d2 long")
     passages = strung.join(firsts, same).where(F.col("key") > F.col("first"))
     none = F.lit(None).cast("struct<d1: bigint, d2: bigint>")
