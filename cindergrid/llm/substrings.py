@@ -33,7 +33,8 @@ sentence.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -52,25 +53,16 @@ _LETTERS = "\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3
     "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _UNSPACED = re.compile(f"[{_LETTERS}]")
 _TOKEN = re.compile(f"[{_LETTERS}]|[^\\s{_LETTERS}]+")
+_NOT_PLAIN = re.compile(f"[{_LETTERS}。！？｡]")
+_NEXT = re.compile("(?<=[.!?]) ")
+# UTF-8 bytes of ASCII and of Latin, Greek, Cyrillic, Hebrew and Arabic letters: a text of these alone has nothing odd
+_USUAL = bytes([*range(0xC0), *range(0xC3, 0xE0)])
 _WORD = re.compile(r"\S+")  # a token of a text without such letters
 _SEED_WORDS = 12
-_KNOWN_WORDS = 600_000  # some 80 MB a worker
+_AT_ONCE = 1 << 18  # bytes whose words are hashed at a time
 _FACTORS = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 
 
-class _Hashes(dict):
-    """64-bit hash of each token's word, 0 where it has none; bounded by who calls it."""
-
-    def __missing__(self, token: str) -> int:
-        word = token.lower().strip(_EDGES)
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 if word else 0
-        if len(token) <= 40:
-            self[token] = value
-        return value
-
-
-_WORD_HASHES = _Hashes()
-
 # a unit: start, end, number of words, digest (None: too short to name a passage)
 Unit = tuple[int, int, int, "bytes | None"]
 
@@ -90,37 +82,166 @@ def _unit(start: int, end: int, body: str, least: int, unspaced: bool) -> Unit:
     return start, end, size, xxhash.xxh3_128_digest(named)
 
 
-def lines_of(text: str, line_words: int, sentence_words: int) -> Iterator[tuple[Unit, list[Unit]]]:
-    """Each line (its span holds the newline) with its sentences, where it has several."""
+def _unusual(text: str) -> bool:
+    return not text.isascii() and bool(text.encode("utf-8", "surrogatepass").translate(None, _USUAL))
+
+
+def _is_plain(text: str) -> bool:
+    """Whether words are parted by blanks and sentences end in . ! ? alone."""
+    return not _unusual(text) or _NOT_PLAIN.search(text) is None
+
+
+def _plain_units(body: str, line_words: int, sentence_words: int) -> list[tuple[int, bytes | None]]:
+    """Sizes and digests of a plain line and of its sentences, as :func:`_unit` makes them, from one split of the line."""
+    named = " ".join(body.split())
+    size = named.count(" ") + 1 if named else 0
+    if size < line_words:
+        return [(size, None)]
+    found = [(size, xxhash.xxh3_128_digest(named.strip(_EDGES).encode("utf-8", "surrogatepass")))]
+    # a sentence ends at a word's end; the dot that a plain split takes away would be stripped anyway
+    parts = _NEXT.split(named) if "! " in named or "? " in named else named.split(". ")
+    if len(parts) > 1:
+        for part in parts:
+            size = part.count(" ") + 1
+            found.append((size, None if size < sentence_words else
+                          xxhash.xxh3_128_digest(part.strip(_EDGES).encode("utf-8", "surrogatepass"))))
+    return found
+
+
+# start, end, (size, digest) of a line and of its sentences, and the ends of these
+Line = tuple[int, int, "tuple[int, bytes | None]", "list[tuple[int, bytes | None]]", "Callable[[], list[int]]"]
+
+
+def _cuts(body: str) -> list[int]:
+    """Where the sentences of a line end."""
+    cuts = [m.end() for m in _END.finditer(body)]
+    if not cuts or cuts[-1] < len(body):
+        cuts.append(len(body))
+    return cuts
+
+
+def _lines(text: str, line_words: int, sentence_words: int) -> Iterator[Line]:
     at = 0
-    unspaced = _has_unspaced(text)
-    for body in text.split("\n"):
+    plain = _is_plain(text)
+    unspaced = not plain and _has_unspaced(text)
+    bodies = text.split("\n")
+    for body, lowered in zip(bodies, text.lower().split("\n") if plain else bodies):
         end = min(at + len(body) + 1, len(text))
-        line = _unit(at, end, body, line_words, unspaced)
-        sentences: list[Unit] = []
-        if line[3] is not None:
-            cuts = [m.end() for m in _END.finditer(body)]
-            if not cuts or cuts[-1] < len(body):
-                cuts.append(len(body))
-            if len(cuts) > 1:
-                sentences = [_unit(at + a, at + b, body[a:b], sentence_words, unspaced)
-                             for a, b in zip([0, *cuts], cuts)]
         if end > at:
-            yield line, sentences
+            if plain:
+                own, *parts = _plain_units(lowered, line_words, sentence_words)
+            else:
+                own, parts = _unit(at, end, body, line_words, unspaced)[2:], []
+                cuts = _cuts(body) if own[1] is not None else []
+                if len(cuts) > 1:
+                    parts = [_unit(at + a, at + b, body[a:b], sentence_words, unspaced)[2:] for a, b in zip([0, *cuts], cuts)]
+            yield at, end, own, parts, partial(_cuts, body)
         at = end
 
 
+def lines_of(text: str, line_words: int, sentence_words: int) -> Iterator[tuple[Unit, list[Unit]]]:
+    """Each line (its span holds the newline) with its sentences, where it has several."""
+    for at, end, own, parts, cuts in _lines(text, line_words, sentence_words):
+        ends = cuts() if parts else []
+        yield (at, end, *own), [(at + a, at + b, *u) for a, b, u in zip([0, *ends], ends, parts)]
+
+
 # --- passages ------------------------------------------------------------
 
 
+# bytes of plain texts: 0 blanks, 1 punctuation that is stripped from words, 2 the rest
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[ord(c) for c in _EDGES if c.isascii()]] = 1
+_KIND[[c for c in range(128) if chr(c).isspace()]] = 0
+# texts whose blanks, punctuation or words aren't told by single bytes
+_ODD = re.compile(f"[{_LETTERS}{''.join(c for c in _EDGES if not c.isascii())}"
+                  "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BYTE_VALUES = np.random.default_rng(42).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF95 ^ 0x6  # 3 modulo 8
+
+
+class _Powers:
+    """Powers of ``_BASE`` and of its inverse modulo 2^64, as many as were asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < size:
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                factors = np.full(size, base, np.uint64)
+                factors[0] = 1
+                setattr(cls, name, np.cumprod(factors))
+        return cls.up, cls.down
+
+
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, 0 where it is empty: a polynomial in the bytes' random values, then mixed."""
+    up, down = _Powers.of(max(len(data) + 1, _AT_ONCE))
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=upto[1:])
+    found = (upto[end] - upto[start]) * down[start]
+    found = _mixed(found, (end - start).astype(np.uint64), 0x9E3779B97F4A7C15) | np.uint64(1)
+    found[end <= start] = 0
+    return found
+
+
+def _plain_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(token, start, end)``: where each token begins, and the bytes of its word."""
+    kind = _KIND[data]
+    solid = np.zeros(len(data) + 2, np.int8)
+    solid[1:-1] = kind > 0
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    token, start, end = turns[::2], turns[::2].copy(), turns[1::2].copy()
+    left, right = np.flatnonzero(kind[start] == 1), np.flatnonzero(kind[end - 1] == 1)
+    if len(left) or len(right):
+        core = np.append(np.flatnonzero(kind == 2), len(data))
+        start[left] = np.minimum(core[np.searchsorted(core, start[left])], end[left])
+        before = np.searchsorted(core, end[right]) - 1
+        end[right] = np.maximum(np.where(before >= 0, core[before] + 1, 0), start[right])
+    return token, start, end
+
+
+def _batch_words(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """:func:`_word_hashes` of many texts; the words of plain ones are found and hashed as bytes, some texts at a time."""
+    found: list = [None] * len(texts)
+    held: list[int] = []
+    raw: list[bytes] = []
+    size = 0
+
+    def close() -> None:
+        data = np.frombuffer(b"\n".join(raw), np.uint8)
+        token, start, end = _plain_words(data)
+        words = _span_hashes(data, start, end)
+        first = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        bounds = np.searchsorted(token, first)
+        for i, a, b in zip(held, bounds, bounds[1:]):
+            at = np.flatnonzero(words[a:b])
+            found[i] = words[a:b][at], at
+        held.clear()
+        raw.clear()
+
+    for i, text in enumerate(texts):
+        if _unusual(text) and _ODD.search(text):
+            words = [t.lower().strip(_EDGES).encode("utf-8", "surrogatepass") for t in _TOKEN.findall(text)]
+            end = np.cumsum([len(w) for w in words], dtype=np.int64)
+            at = np.flatnonzero([len(w) for w in words])
+            found[i] = _span_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, end)[:-1][at], end[at]), at
+            continue
+        held.append(i)
+        raw.append(text.lower().encode("utf-8", "surrogatepass"))
+        size += len(raw[-1]) + 1
+        if size >= _AT_ONCE:
+            close()
+            size = 0
+    if held:
+        close()
+    return found
+
+
 def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words, and which of the blank-separated tokens they are; punctuation alone is no word."""
-    tokens = _TOKEN.findall(text) if _has_unspaced(text) else text.split()
-    if len(_WORD_HASHES) > _KNOWN_WORDS:
-        _WORD_HASHES.clear()
-    found = np.fromiter(map(_WORD_HASHES.__getitem__, tokens), np.uint64, len(tokens))
-    at = np.flatnonzero(found)
-    return found[at], at
+    return _batch_words([text])[0]
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, factor: int) -> np.ndarray:
@@ -210,9 +331,13 @@ def _as_bytes(runs: np.ndarray) -> list[bytes]:
     return [raw[i: i + 16] for i in range(0, len(raw), 16)]
 
 
-def passage_spans(text: str, repeated: set[bytes] | None, passage_words: int, twice: bool = True) -> list[tuple[int, int]]:
-    """Spans of the runs that a smaller key has (``None``: all of them) or that the text repeats itself."""
-    words, at = _word_hashes(text)
+def passage_spans(text: str, repeated: set[bytes] | None, passage_words: int, twice: bool = True,
+                  hashed: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Spans of the runs that a smaller key has (``None``: all of them) or that the text repeats itself.
+
+    ``hashed`` are the text's :func:`_word_hashes` where they are known.
+    """
+    words, at = hashed or _word_hashes(text)
     if len(words) < passage_words:
         return []
     if repeated is None:
@@ -259,6 +384,11 @@ def digests_of(text: str, line_words: int, sentence_words: int, passage_words: i
 def unit_digests(text: str, line_words: int, sentence_words: int) -> tuple[list[bytes], bool]:
     """The distinct digests of a text's units, and whether any of them occurs twice in it."""
     found = []
+    if _is_plain(text):
+        for body in text.lower().split("\n"):
+            found.extend(d for _, d in _plain_units(body, line_words, sentence_words) if d is not None)
+        distinct = list(dict.fromkeys(found))
+        return distinct, len(distinct) < len(found)
     for line, sentences in lines_of(text, line_words, sentence_words):
         if line[3] is not None:
             found.append(line[3])
@@ -268,8 +398,8 @@ def unit_digests(text: str, line_words: int, sentence_words: int) -> tuple[list[
 
 
 def removed_spans(text: str, repeated: set[bytes] | None, line_words: int, sentence_words: int,
-                  run_words: int, passage_words: int = 40, runs: set[bytes] | None = None, twice: bool = True
-                  ) -> list[tuple[int, int]]:
+                  run_words: int, passage_words: int = 40, runs: set[bytes] | None = None, twice: bool = True,
+                  hashed: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Spans to remove, given the digests of units and of runs that a smaller key has (``None``: all of the text's).
 
     Without ``runs`` these are among ``repeated``.  ``twice`` is whether the
@@ -286,26 +416,29 @@ def removed_spans(text: str, repeated: set[bytes] | None, line_words: int, sente
         seen.add(digest)
         return known
 
-    for line, sentences in lines_of(text, line_words, sentence_words) if repeated is None or repeated or twice else ():
-        whole = repeat(line[3])
-        marks = [repeat(u[3]) for u in sentences]
+    for at, end, own, sentences, cuts in _lines(text, line_words, sentence_words) if repeated is None or repeated or twice else ():
+        whole = repeat(own[1])
+        marks = [repeat(u[1]) for u in sentences]
         if whole:
-            spans.append(line[:2])
+            spans.append((at, end))
+            continue
+        if not any(marks):
             continue
+        ends = cuts()
         i = 0
         while i < len(marks):
             if not marks[i]:
                 i += 1
                 continue
             last, k = i, i
-            while k < len(marks) and (marks[k] or sentences[k][3] is None):
+            while k < len(marks) and (marks[k] or sentences[k][1] is None):
                 last = k if marks[k] else last
                 k += 1
-            if sum(u[2] for u in sentences[i: last + 1]) >= run_words:
-                spans.append((sentences[i][0], sentences[last][1]))
+            if sum(u[0] for u in sentences[i: last + 1]) >= run_words:
+                spans.append((at + ends[i - 1] if i else at, at + ends[last]))
             i = last + 1
     if runs is None or runs or twice:
-        spans.extend(passage_spans(text, runs, passage_words, twice))
+        spans.extend(passage_spans(text, runs, passage_words, twice, hashed))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and merged[-1][1] >= a:
@@ -365,7 +498,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [value or "" for value in batch.column(2).to_pylist()]
-            words = [_word_hashes(body)[0] for body in bodies]
+            words = [found[0] for found in _batch_words(bodies)]
             texts, seeds, suspects = _batch_seeds(words, passage_words)
             doubtful = set(suspects.tolist())
             origin, found, twice = [], [], []
@@ -441,8 +574,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             origin, found = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
-            for i, (value, wanted) in enumerate(zip(batch.column(3), batch.column(2))):
-                words = _word_hashes(value.as_py() or "")[0]
+            bodies = [value or "" for value in batch.column(3).to_pylist()]
+            for i, ((words, _), wanted) in enumerate(zip(_batch_words(bodies), batch.column(2))):
                 mine = np.isin(_run_seeds(words, passage_words), wanted.values.to_numpy(zero_copy_only=False))
                 own = _run_hashes(words, passage_words)[mine]
                 found.append(own)
@@ -475,12 +608,16 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
         for batch in batches:
             texts, gone = [], []
-            for value, units_, runs_, copy, twice in zip(batch.column(spot), *batch.columns[len(fields):]):
-                body = value.as_py()
+            bodies = batch.column(spot).to_pylist()
+            # words matter where whole runs of them may go
+            marked = [i for i, (body, runs_, copy, twice) in enumerate(zip(bodies, *batch.columns[len(fields) + 1:]))
+                      if body and runs_.is_valid and (len(runs_) or copy.as_py() or twice.as_py())]
+            hashed = dict(zip(marked, _batch_words([bodies[i] for i in marked])))
+            for i, (body, units_, runs_, copy, twice) in enumerate(zip(bodies, *batch.columns[len(fields):])):
                 spans = []
                 if body and units_.is_valid:
                     spans = removed_spans(body, None if copy.as_py() else digests(units_), line_words, sentence_words, run_words,
-                                          passage_words, None if copy.as_py() else digests(runs_), twice.as_py())
+                                          passage_words, None if copy.as_py() else digests(runs_), twice.as_py(), hashed.get(i))
                 texts.append(without(body, spans) if spans else body)
                 gone.append([{"start": a, "end": b} for a, b in spans])
             columns = list(batch.columns[:-4])
