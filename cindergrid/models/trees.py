@@ -15,6 +15,9 @@ Growing has two stages, whose splits follow one rule (below):
   limit but the data.  Only nodes above the parts ever reach the driver;
   their number is checked against ``most_top``.
 
+What follows single rows through single nodes (histograms, dealing, growing,
+scoring) runs as the compiled loops of :mod:`cindergrid.models.tree_steps`.
+
 **Split rule.**  The split maximises ``S_l^2 / W_l + S_r^2 / W_r`` (W sums of
 weights, S of weights times target), which is the variance criterion, and for
 a 0/1 target the Gini one.  Ties go to the lower feature, then the lower
@@ -32,9 +35,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -43,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindergrid.models import tree_steps as steps
 from cindergrid.session import materialize, release, ship_package
 
 NODES = ("tree int, node long, part long, feature int, threshold double, left long, right long, value double, weight double")
@@ -157,7 +160,7 @@ def grow_part(x: np.ndarray, y: np.ndarray, w: np.ndarray, *, depth: int | None,
               part: int = 0, seed: int = 0) -> dict[str, np.ndarray]:
     """A whole subtree, all open nodes of a level at a time; nodes are numbered from 0, children are -1 at leaves.
 
-    Each node tries its features in their random order until ``m`` of them
+    The compiled step ``grow`` makes the same subtree; this is its plain form, which the tests hold it to.  Each node tries its features in their random order until ``m`` of them
     had two values, so the others cost nothing.  Rows of two classes with one
     weight each are counted in whole numbers; equal gains are then equal.
     """
@@ -312,36 +315,19 @@ def route(x: np.ndarray, root: np.ndarray, feature: np.ndarray, threshold: np.nd
 
 
 def above(ends: Sequence[int], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which nodes are among ``ends`` or have one of them below."""
+    """Which nodes have one of the ``ends`` below them."""
     parent = np.full(len(left), -1)
     for side in (left, right):
         parent[side[side >= 0]] = np.flatnonzero(side >= 0)
     found, at = np.zeros(len(left), bool), np.array(ends, np.int64)
     while len(at):
-        found[at] = True
         at = np.unique(parent[at])
         at = at[at >= 0]
         at = at[~found[at]]
+        found[at] = True
     return found
 
 
-def reached(columns: np.ndarray, rows: np.ndarray, root: int, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray,
-            right: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each node of ``ends`` with those of ``rows`` that reach it from ``root``, in their order.
-
-    ``columns`` are the values by feature and ``wanted`` the nodes
-    :func:`above` the ends: nothing is sent to other nodes.
-    """
-    held = [(root, rows)]
-    while held:
-        node, own = held.pop()
-        if ends[node]:
-            yield node, own
-        elif len(own) and feature[node] >= 0 and wanted[node]:
-            goes = columns[feature[node]][own] <= threshold[node]
-            held += [(int(child), own[side]) for child, side in ((left[node], goes), (right[node], ~goes)) if wanted[child]]
-
-
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
@@ -360,8 +346,25 @@ def training_rows(df: DataFrame, features: Sequence[str] | str, label: str, key:
 
 
 def row_tasks(n: int, cores: int) -> int:
-    """Tasks for ``n`` training rows: one a core where each has at least 4,096, at most 262,144 rows a task."""
-    return max(1, min(cores, n >> 12), math.ceil(n / (1 << 18)))
+    """Tasks for ``n`` training rows: one a core where each has at least 4,096, four where each has 65,536, and at most
+    262,144 rows a task."""
+    return max(1, min(cores, n >> 12), min(4 * cores, n >> 16), math.ceil(n / (1 << 18)))
+
+
+BLOCK = 1 << 16
+
+
+def row_blocks(rows: DataFrame, features: int, kept: Sequence[str], size: int = BLOCK) -> DataFrame:
+    """Blocks of about ``size`` rows: ``n`` and the ``kept`` columns, then the values of ``x`` row by row, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks((b.slice(i, size) for b in batches for i in range(0, len(b), size)), size):
+            columns = [batch.column(c).to_numpy() for c in kept]
+            body = b"".join(c.tobytes() for c in (*columns, np.ascontiguousarray(_matrix(batch.column("x"), features))))
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int32()), pa.array([body], pa.binary())],
+                                             names=["n", "body"])
+
+    return rows.select(*kept, "x").mapInArrow(run, "n int, body binary")
 
 
 @dataclass
@@ -448,15 +451,23 @@ def split_of(dense: dict[str, np.ndarray], q: float, m: int | None = None, seed:
     return found | {f"{c}_{side}": int(v) if c == "n" else float(v) for side, sums in zip("lr", sides) for c, v in sums.items()}
 
 
-def best_splits(partial: DataFrame, features: int, width: int, m: int | None = None, seed: int = 0,
-                names: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """:func:`split_of` of every slot, in tasks, from rows ``slot, body``; ``names`` are (tree, node) of the slots."""
-    names = list(names)
+def best_splits(partial: DataFrame, bins: Bins, m: int | None = None, seed: int = 0, names: Sequence[tuple[int, int]] = ()
+                ) -> DataFrame:
+    """:func:`split_of` of every slot, in tasks, from rows ``slot, body``; ``names`` are (tree, node) of the slots.
+
+    A body is rows, weights and targets of each bin of each feature, then the squared targets.
+    """
+    names, lengths, width = list(names), [len(e) + 1 for e in bins.edges], bins.width
+    at = np.concatenate([j * width + np.arange(k) for j, k in enumerate(lengths)])
+    features = len(lengths)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         slot = key[0].as_py()
         sums = sum(np.frombuffer(b.as_py()) for b in group["body"])
-        dense = dict(zip("nwsh", sums[:-1].reshape(4, features, width)))
+        dense = np.zeros((4, features * width))
+        dense[:3, at] = sums[:-1].reshape(-1, 3).T
+        dense[3] = dense[1]  # a row's curvature is its weight
+        dense = dict(zip("nwsh", dense.reshape(4, features, width)))
         row = {"slot": slot, **split_of(dense, float(sums[-1]), m, seed, names[slot])}
         kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
         return pa.table({c: pa.array([row[c]], kinds[t]) for c, t in (p.split(" ") for p in SPLITS.split(", "))})
@@ -479,53 +490,29 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[p
 # --- forests -------------------------------------------------------------
 
 
-def _level(rows: DataFrame, top: Top, frontier: Sequence[int], bins: Bins, features: int, bootstrap: bool, seed: int,
-           m: int | None) -> list:
-    """The splits of the ``frontier`` nodes: one job."""
-    spark = rows.sparkSession
-    width = bins.width
-    roots = {top.tree[i]: i for i in range(len(top.tree)) if top.depth[i] == 0}
-    by_tree: dict[int, list[int]] = {}
-    for slot, i in enumerate(frontier):
-        by_tree.setdefault(top.tree[i], []).append(slot)
-    shared = spark.sparkContext.broadcast((top.arrays(), roots, list(frontier), by_tree, bins))
+def _draws(top: Top, wanted: Iterable[int], bootstrap: bool, seed: int) -> tuple[np.ndarray, ...]:
+    """The ``wanted`` trees with their roots and draws, as the compiled steps read them."""
+    root = {top.tree[i]: i for i in range(len(top.tree)) if top.depth[i] == 0}
+    trees = sorted(wanted)
+    constants = np.array([draw_constants(seed, t) for t in trees], np.int64).reshape(-1, 2)
+    return (np.array(trees), np.array([root[t] for t in trees]), *(steps.long(c) for c in constants.T.copy()),
+            steps.long(_POISSON if bootstrap else []))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, starts, wanted, trees, cut = shared.value
-        # a tree's rows are added up over its own nodes only
-        place_of = np.full(len(nodes[0]), -1)
-        for slots in trees.values():
-            place_of[[wanted[s] for s in slots]] = np.arange(len(slots))
-        ends, on_way = place_of >= 0, above(wanted, nodes[2], nodes[3])
-        sums = {t: np.zeros((4, features, len(s) * width)) for t, s in trees.items()}
-        squares = {t: np.zeros(len(s)) for t, s in trees.items()}
-        for batch in chunks(batches):
-            x = _matrix(batch.column("x"), features)
-            binned = np.ascontiguousarray(cut.of(x).T)
-            rid, y, w = (batch.column(c).to_numpy() for c in ("rid", "y", "w"))
-            columns, yy = np.ascontiguousarray(x.T), y * y
-            for tree, slots in trees.items():
-                times = bootstrap_counts(rid, seed, tree) if bootstrap else np.ones(len(rid), np.int64)
-                ws = w * times
-                for node, use in reached(columns, np.flatnonzero(times), starts[tree], *nodes, ends, on_way):
-                    k = place_of[node]
-                    cells = slice(k * width, (k + 1) * width)
-                    own = ws[use]
-                    wy = own * y[use]
-                    squares[tree][k] += (own * yy[use]).sum()
-                    for j in range(features):
-                        cell = binned[j][use]
-                        for out, v in zip(sums[tree], (None, own, wy)):
-                            out[j, cells] += np.bincount(cell, v, width)
-        for tree, slots in trees.items():
-            held = sums[tree]
-            held[3] = held[1]  # a row's curvature is its weight
-            each = held.reshape(4, features, len(slots), width)
-            bodies = [np.append(each[:, :, k].ravel(), squares[tree][k]).tobytes() for k in range(len(slots))]
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(bodies, pa.binary())], names=["slot", "body"])
 
+def _level(rows: DataFrame, top: Top, frontier: Sequence[int], bins: Bins, features: int, bootstrap: bool, seed: int,
+           m: int | None) -> list:
+    """The splits of the ``frontier`` nodes: one job.  ``rows`` are blocks."""
+    slot_of = np.full(len(top.tree), -1)
+    slot_of[list(frontier)] = np.arange(len(frontier))
+    draws = _draws(top, {top.tree[i] for i in frontier}, bootstrap, seed)
+    feature, *rest = top.arrays()
+    feature[~above(frontier, *rest[1:])] = -1  # rows on their way to other nodes are left where that shows
+    body = steps.state(features, feature, *rest, slot_of, *draws, np.cumsum([0, *map(len, bins.edges)]), np.concatenate(bins.edges),
+                       len(frontier))
     names = [(top.tree[i], i) for i in frontier]
-    return best_splits(rows.mapInArrow(run, "slot int, body binary"), features, width, m, seed, names).collect()
+    # one set of histograms a core
+    spread = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    return best_splits(steps.run(spread, "level", body, "slot int, body binary"), bins, m, seed, names).collect()
 
 
 @dataclass
@@ -550,7 +537,7 @@ class Forest:
 def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Sequence[str], *, size: int | None = None,
                trees: int = 200, weight: str | None = None, max_features: int | None = None, max_depth: int | None = None,
                bootstrap: bool = True, bins: int = 256, limit: int = 1 << 16, most_top: int = 1 << 20, seed: int = 42,
-               cells: int = 1 << 23, round_bytes: int = 2 << 30) -> Forest:
+               cells: int = 1 << 22, round_bytes: int = 2 << 30) -> Forest:
     """Forest of fully grown trees (or of ``max_depth``); a leaf's value is its weighted mean of the label.
 
     ``features`` are columns, or one array column of ``size`` values.  Rows
@@ -570,6 +557,7 @@ def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Se
     rows = training_rows(df, features, label, key, weight)
     n = rows.count()
     rows = materialize(rows.repartition(row_tasks(n, spark.sparkContext.defaultParallelism), "rid"))
+    blocks = materialize(row_blocks(rows, f, ("rid", "y", "w")))
     top = Top()
     frontier = [top.add(t, 0) for t in range(trees)]
     bag = dict.fromkeys(frontier, n)
@@ -577,10 +565,10 @@ def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Se
     found_bins = find_bins(rows, f, bins) if large else None
     while large:
         following = []
-        step = max(1, cells // (f * found_bins.width))  # nodes whose histograms a task holds at once
+        step = max(1, cells // sum(len(e) + 1 for e in found_bins.edges))  # nodes whose histograms a task holds at once
         for start in range(0, len(large), step):
             some = large[start: start + step]
-            for r in _level(rows, top, some, found_bins, f, bootstrap, seed, max_features):
+            for r in _level(blocks, top, some, found_bins, f, bootstrap, seed, max_features):
                 i = some[r["slot"]]
                 w, s = r["w_l"] + r["w_r"], r["s_l"] + r["s_r"]
                 top.value[i], top.weight[i] = s / w, w
@@ -606,7 +594,7 @@ def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Se
     for first in range(0, trees, together):
         some = {i for i in parts if first <= top.tree[i] < first + together}
         if some:
-            packed.append(materialize(_grow_parts(rows, top, some, f, max_depth, bootstrap, seed, max_features)))
+            packed.append(materialize(_grow_parts(blocks, top, some, f, max_depth, bootstrap, seed, max_features, n)))
             release(spark)
     grown = reduce(DataFrame.unionByName, packed, spark.createDataFrame([], PARTS))
     above = [(top.tree[i], i << 32, -1, top.feature[i], top.threshold[i] if top.feature[i] >= 0 else None,
@@ -617,60 +605,18 @@ def fit_forest(df: DataFrame, features: Sequence[str] | str, label: str, key: Se
 
 
 def _grow_parts(rows: DataFrame, top: Top, parts: set[int], f: int, max_depth: int | None, bootstrap: bool, seed: int,
-                m: int | None) -> DataFrame:
-    spark = rows.sparkSession
-    by_tree: dict[int, list[int]] = {}
-    for i in parts:
-        by_tree.setdefault(top.tree[i], []).append(i)
-    roots = {top.tree[i]: i for i in range(len(top.tree)) if top.depth[i] == 0}
-    shared = spark.sparkContext.broadcast((top.arrays(), roots, by_tree, np.array(top.depth)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, starts, wanted, _ = shared.value
-        ends = np.zeros(len(nodes[0]), bool)
-        ends[[i for own in wanted.values() for i in own]] = True
-        on_way = above(np.flatnonzero(ends), nodes[2], nodes[3])
-        for batch in chunks(batches):
-            x, (rid, y, w) = _matrix(batch.column("x"), f), (batch.column(c).to_numpy() for c in ("rid", "y", "w"))
-            columns, table = np.ascontiguousarray(x.T), np.column_stack((x, y, w))
-            for tree in wanted:
-                times = bootstrap_counts(rid, seed, tree) if bootstrap else np.ones(len(rid), np.int64)
-                found, bodies = [], []
-                for node, use in reached(columns, np.flatnonzero(times), starts[tree], *nodes, ends, on_way):
-                    if len(use):
-                        own = table[use]
-                        own[:, -1] *= times[use]
-                        found.append(node)
-                        bodies.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), tree, np.int32)), pa.array(found, pa.int64()), pa.array(bodies, pa.binary())],
-                    names=["tree", "part", "body"])
-
-    def grow(key: tuple, group: pa.Table) -> pa.Table:
-        tree, part = (k.as_py() for k in key)
-        depth = shared.value[3]
-        table = np.concatenate([np.frombuffer(b.as_py()).reshape(-1, f + 2) for b in group["body"]])
-        # one order of rows whatever the shuffle made of them, so that sums round alike
-        table = table[_in_order(table, f)]
-        made = grow_part(np.ascontiguousarray(table[:, :f]), table[:, f].copy(), table[:, f + 1].copy(),
-                         depth=None if max_depth is None else max_depth - int(depth[part]), m=m, tree=tree, part=part, seed=seed)
-        return pa.table({"tree": pa.array([tree], pa.int32()), "part": [part], "n": [len(made["feature"])],
-                         "body": pa.array([_pack(made)], pa.binary())})
-
-    dealt = rows.mapInArrow(deal, "tree int, part long, body binary")
-    return dealt.groupBy("tree", "part").applyInArrow(grow, PARTS)
-
-
-def _in_order(table: np.ndarray, f: int) -> np.ndarray:
-    """The order of rows by their features, then target, then weight; only rows with equal first features need the rest."""
-    order = np.argsort(table[:, 0], kind="stable")
-    tied = table[order[1:], 0] == table[order[:-1], 0]
-    tied = np.append(tied, False) | np.append(False, tied)
-    again = order[tied]
-    if len(again):
-        rest = table[again].T
-        order[tied] = again[np.lexsort((rest[-1], rest[-2], *rest[f - 1:: -1]))]
-    return order
+                m: int | None, n: int) -> DataFrame:
+    """The subtrees of the ``parts``, as ``PARTS``; ``rows`` are blocks of ``n`` rows in all."""
+    is_part = np.zeros(len(top.tree), np.int32)
+    is_part[list(parts)] = 1
+    draws = _draws(top, {top.tree[i] for i in parts}, bootstrap, seed)
+    dealt = steps.run(rows, "deal", steps.state(f, *top.arrays(), is_part, *draws), "tree int, part long, body binary")
+    # a task's share of the dealt rows is some 32 MB
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(len(parts), max(4 * cores, len(draws[0]) * n * (f + 2) * 8 >> 25)))
+    own = dealt.repartition(tasks, "tree", "part").sortWithinPartitions("tree", "part")
+    body = steps.state(f, -1 if m is None else m, -1 if max_depth is None else max_depth, steps.long(seed), np.array(top.depth))
+    return steps.run(own, "grow", body, PARTS)
 
 
 PARTS = "tree int, part long, n long, body binary"
@@ -680,22 +626,29 @@ def _pack(made: dict[str, np.ndarray]) -> bytes:
     """A subtree as bytes: features, then thresholds of inner nodes and values of leaves, then the rest.
 
     Children aren't stored: :func:`grow_part` numbers the k-th inner node's
-    2 k + 1 and 2 k + 2.
+    2 k + 1 and 2 k + 2.  The first byte says whether features take 4 bytes
+    instead of 1 (1), and weights 8 instead of 4 (2), where those are exact.
     """
-    leaf = made["feature"] < 0
-    columns = (made["feature"].astype("<i4"), np.where(leaf, made["value"], made["threshold"]), made["value"][~leaf], made["weight"])
-    return b"".join(c.tobytes() for c in columns)
+    feature, weight = made["feature"], made["weight"]
+    leaf = feature < 0
+    wide, exact = bool(len(feature)) and feature.max() > 127, (weight.astype("<f4") == weight).all()
+    columns = (feature.astype("<i4" if wide else "i1"), np.where(leaf, made["value"], made["threshold"]), made["value"][~leaf],
+               weight.astype("<f4" if exact else "<f8"))
+    return bytes([wide + 2 * (not exact)]) + b"".join(c.tobytes() for c in columns)
 
 
 def _unpack(body: bytes, n: int) -> tuple[np.ndarray, ...]:
     """``feature, number, left, right, value, weight`` of a packed subtree; ``number`` is the threshold or a leaf's value."""
-    feature, number = np.frombuffer(body, "<i4", n), np.frombuffer(body, "<f8", n, 4 * n)
+    feature = np.frombuffer(body, "<i4" if body[0] & 1 else "i1", n, 1).astype(np.int32)
+    at = 1 + n * (4 if body[0] & 1 else 1)
+    number = np.frombuffer(body, "<f8", n, at)
     inner = feature >= 0
     k = int(inner.sum())
     left = np.where(inner, 2 * np.cumsum(inner) - 1, -1)
     value = number.copy()
-    value[inner] = np.frombuffer(body, "<f8", k, 12 * n)
-    return feature, number, left, np.where(inner, left + 1, -1), value, np.frombuffer(body, "<f8", n, 12 * n + 8 * k)
+    value[inner] = np.frombuffer(body, "<f8", k, at + 8 * n)
+    weight = np.frombuffer(body, "<f8" if body[0] & 2 else "<f4", n, at + 8 * (n + k)).astype(float)
+    return feature, number, left, np.where(inner, left + 1, -1), value, weight
 
 
 def _node_rows(packed: DataFrame) -> DataFrame:
@@ -731,19 +684,20 @@ def _packed_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def score_trees(df: DataFrame, model: Forest, features: Sequence[str] | str, out: str = "prediction",
-                bundle: int = 1 << 20, block: int = 1 << 21) -> DataFrame:
+                bundle: int = 1 << 22, block: int = 1 << 23, round_bytes: int = 2 << 30) -> DataFrame:
     """``df`` plus the ensemble's value for each row.
 
     Rows are routed through the nodes above the parts, which are few and
     checked; then rows meet the parts they need in bundles of about
     ``bundle`` nodes.  A bundle that more than about ``block`` pairs of a row
     and a part need is met by several blocks of rows, so a task holds one
-    bundle and one block whatever the size of the ensemble and of ``df``.
-    Rows travel as arrays, and so do the bundles' sums on their way back.
+    bundle and some rows whatever the size of the ensemble and of ``df``.
+    Rows travel as arrays, and so do the bundles' sums on their way back, for
+    as many bundles at a time as ``round_bytes`` hold.
     """
     spark = df.sparkSession
     ship_package(spark)
-    f = model.features
+    f, cores = model.features, spark.sparkContext.defaultParallelism
     x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(
         *[F.col(c).cast("double") for c in features])
     rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__x", x))
@@ -751,94 +705,65 @@ def score_trees(df: DataFrame, model: Forest, features: Sequence[str] | str, out
         "tree", "node", "feature", "threshold", "left", "right", "value").collect()
     packed = model.packed if model.packed is not None else _packed_nodes(model.nodes)
     found = sorted((r["tree"], r["part"], r["n"]) for r in packed.select("tree", "part", "n").collect())
-    sizes = [(part, n) for _, part, n in found]
-    bundle_of, held, whole, load = {}, 0, Counter(), Counter()
+    bundle_of, held, whole, load, nodes_of = {}, 0, Counter(), Counter(), Counter()
     for tree, _, n in found:
         whole[tree] += n
     for tree, part, n in found:
         bundle_of[part] = held // bundle
         held += n
+        nodes_of[bundle_of[part]] += n
         load[bundle_of[part]] += n / whole[tree]  # a row needs one part of a tree, about by their sizes
     total = rows.count()
     blocks = max(1, math.ceil(total * max(load.values(), default=0) / block))
     ranges = max(1, total * model.trees * 16 >> 25)  # of rows, whose sums one task adds up
-    # the nodes above the parts under running numbers; parts hang below them as negative numbers
-    number = {r["node"]: i for i, r in enumerate(top)}
-    children = [[number.get(r[c], -2 - (r[c] >> 32)) if r["feature"] >= 0 else -1 for r in top] for c in ("left", "right")]
+    # the nodes above the parts under running numbers; parts hang below them as negative numbers, in the order of their names
+    parts = sorted(bundle_of)
+    number = {p << 32: -2 - k for k, p in enumerate(parts)} | {r["node"]: i for i, r in enumerate(top)}
+    children = [[number[r[c]] if r["feature"] >= 0 else -1 for r in top] for c in ("left", "right")]
     inner = {r[c] for r in top for c in ("left", "right")}
-    starts = [number[r["node"]] for r in top if r["node"] not in inner] + [-2 - p for p, _ in sizes if p << 32 not in inner]
-    shared = spark.sparkContext.broadcast((
-        np.array([r["feature"] for r in top], np.int32), np.array([np.nan if r["threshold"] is None else r["threshold"] for r in top]),
-        np.array(children, np.int64).reshape(2, -1), np.array([r["value"] for r in top], float), starts,
-        np.array([sorted(bundle_of), [bundle_of[p] for p in sorted(bundle_of)]], np.int64)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feature, threshold, (left, right), value, begin, home = shared.value
-        for batch in chunks(batches, 1 << 14):
-            values, ids = _matrix(batch.column("__x"), f), batch.column("__row").to_numpy()
-            done, pair_row, pair_part = np.zeros(len(ids)), [], []
-            for s in begin:
-                at = np.full(len(ids), s)
-                moving = np.flatnonzero(at >= 0)
-                while len(moving):
-                    here = at[moving]
-                    moving, here = moving[feature[here] >= 0], here[feature[here] >= 0]
-                    at[moving] = np.where(values[moving, feature[here]] <= threshold[here], left[here], right[here])
-                    moving = moving[at[moving] >= 0]
-                done[at >= 0] += value[at[at >= 0]]
-                out_ = np.flatnonzero(at < -1)
-                pair_row.append(out_.astype(np.int32))
-                pair_part.append(-2 - at[out_])
-            pair_row, pair_part = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (pair_row, pair_part))
-            bodies = [(-1, 0, pickle.dumps((ids, done)))]
-            if len(pair_part):
-                at = home[1][np.searchsorted(home[0], pair_part)] * blocks + ids[pair_row] % blocks
-                order = np.argsort(at, kind="stable")
-                names, first = np.unique(at[order], return_index=True)
-                for name, own in zip(names.tolist(), np.split(order, first[1:])):
-                    some, where = np.unique(pair_row[own], return_inverse=True)
-                    body = ids[some], values[some], where.astype(np.int32), pair_part[own]
-                    bodies.append((name // blocks, name % blocks, pickle.dumps(body)))
-            for start in range(0, len(bodies), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bodies[start: start + 64]),
-                                                  (pa.int64(), pa.int64(), pa.binary()))], names=["bundle", "block", "body"])
-
-    def sums(dealt: pa.Table, nodes: pa.Table) -> pa.Table:
-        out: dict[int, list] = {}
-        if len(nodes):
-            trees_ = [_unpack(b.as_py(), n.as_py()) for b, n in zip(nodes["body"], nodes["n"])]
-            base = np.cumsum([0, *[len(t[0]) for t in trees_]])
-            feature, number = (np.concatenate([t[i] for t in trees_]) for i in (0, 1))
-            left, right = (np.concatenate([t[i] + b for t, b in zip(trees_, base)]) for i in (2, 3))
-            names = nodes["part"].to_numpy()
-            by_name = np.argsort(names)
-        for body in dealt["body"]:
-            ids, *rest = pickle.loads(body.as_py())
-            if len(rest) == 1:
-                made = rest[0]
-            else:
-                values, row, part = rest
-                root = base[by_name[np.searchsorted(names, part, sorter=by_name)]]
-                made = np.bincount(row, number[route(values, root, feature, number, left, right, row)], len(ids))
-            at = ids % ranges
-            order = np.argsort(at, kind="stable")
-            found, first = np.unique(at[order], return_index=True)
-            for k, own in zip(found.tolist(), np.split(order, first[1:])):
-                out.setdefault(k, []).append((ids[own], made[own]))
-        bodies = [pickle.dumps(tuple(np.concatenate(c) for c in zip(*v))) for v in out.values()]
-        return pa.table({"range": pa.array(list(out), pa.int64()), "body": pa.array(bodies, pa.binary())})
+    starts = [(r["tree"], number[r["node"]]) for r in top if r["node"] not in inner]
+    starts += [(t, number[p << 32]) for t, p, _ in found if p << 32 not in inner]
+    above = (np.array([r["feature"] for r in top], np.int32), np.array([np.nan if r["threshold"] is None else r["threshold"] for r in top], float),
+             *np.array(children, np.int32).reshape(2, -1), np.array([r["value"] for r in top], float))
+    spread = max(1, min(4 * cores, total >> 14))
+    packed_rows = materialize(row_blocks(rows.select("__row", F.col("__x").alias("x")), f, ("__row",), 1 << 14).repartition(spread))
+    # bundles a round: their nodes once a block, and the rows that need them
+    bytes_of = {b: n * 9 * blocks + total * (8 * (f + 1) + 4 * load[b]) for b, n in nodes_of.items()}
+    rounds, sent = [[]], 0
+    for b in sorted(nodes_of):
+        if rounds[-1] and sent + bytes_of[b] > round_bytes:
+            rounds.append([])
+            sent = 0
+        rounds[-1].append(b)
+        sent += bytes_of[b]
+    sums = []
+    for k, some in enumerate(rounds):
+        own = set(some)
+        trees_ = {t for t, p, _ in found if bundle_of[p] in own}
+        home = np.array(parts, np.int32), np.array([bundle_of[p] - some[0] if bundle_of[p] in own else -1 for p in parts], np.int32), blocks
+        begin = np.array([s for t, s in starts if k == 0 or t in trees_], np.int32)
+        met = steps.run(packed_rows, "route", steps.state(f, *above, begin, *home, int(k == 0)), MEETING)
+        if some:
+            met = met.unionByName(steps.run(packed, "bundle", steps.state(*home), MEETING))
+        tasks = max(cores, min(32 * cores, len(some) * blocks + 8))
+        met = met.repartition(tasks, "bundle", "block").sortWithinPartitions("bundle", "block", "kind")
+        sums.append(materialize(steps.run(met, "meet", steps.state(f, ranges), "range int, body binary")))
+        if len(rounds) > 1:
+            release(spark)
 
     def added(group: pa.Table) -> pa.Table:
-        ids, made = (np.concatenate(c) for c in zip(*(pickle.loads(b.as_py()) for b in group["body"])))
-        row, where = np.unique(ids, return_inverse=True)
-        return pa.table({"row": row, "total": np.bincount(where, made, len(row))})
-
-    dealt = rows.select("__row", "__x").mapInArrow(deal, "bundle long, block long, body binary")
-    table = spark.createDataFrame([(p, b) for p, b in bundle_of.items()] or [(-9, 0)], "of long, bundle long")
-    nodes = packed.join(F.broadcast(table), F.col("part") == F.col("of")).select(
-        "bundle", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "part", "n", "body")
-    totals = materialize(dealt.groupBy("bundle", "block").cogroup(nodes.groupBy("bundle", "block"))
-                         .applyInArrow(sums, "range long, body binary").groupBy("range").applyInArrow(added, "row long, total double")
+        ids, made = [], []
+        for body in group["body"]:
+            body = body.as_py()
+            ids.append(np.frombuffer(body, "<i8", len(body) // 16))
+            made.append(np.frombuffer(body, "<f8", len(body) // 16, len(body) // 2))
+        row, where = np.unique(np.concatenate(ids), return_inverse=True)
+        return pa.table({"row": row, "total": np.bincount(where, np.concatenate(made), len(row))})
+
+    totals = materialize(reduce(DataFrame.unionByName, sums).groupBy("range").applyInArrow(added, "row long, total double")
                          .withColumnRenamed("total", "__total"))
     combined = F.col("__total") / F.lit(float(model.trees)) if model.start is None else F.col("__total") + F.lit(model.start)
     return rows.join(totals, F.col("__row") == F.col("row"), "left").withColumn(out, combined).drop("__row", "__x", "row", "__total")
+
+
+MEETING = "bundle int, block int, kind int, part int, n int, body binary"
