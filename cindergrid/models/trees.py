@@ -512,7 +512,9 @@ def _level(rows: DataFrame, top: Top, frontier: Sequence[int], bins: Bins, featu
     names = [(top.tree[i], i) for i in frontier]
     # one set of histograms a core
     spread = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
-    return best_splits(steps.run(spread, "level", body, "slot int, body binary"), bins, m, seed, names).collect()
+    found = best_splits(steps.run(spread, "level", body, "slot int, body binary"), bins, m, seed, names).collect()
+    # nodes are numbered as their splits come, and draw features by number: in one order whatever task was first
+    return sorted(found, key=lambda r: r["slot"])
 
 
 @dataclass
