@@ -11,7 +11,9 @@
 
 Where the kernel's rank is high, sums are taken over kernel values and turned
 into those of the features when they are whole, which takes far fewer
-operations than turning every row.
+operations than turning every row.  A squared hinge bends only inside the
+margin, so from one step to the next the curvature changes by the rows that
+crossed it: only those are multiplied out again (``Moves``).
 
 Rows carry their plain features; a kernel's features against landmarks are
 made inside the tasks (``Lift``), so no row stores hundreds of values.
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindergrid.models.trees import row_tasks
 from cindergrid.operators.kernels import Landmarks, kernel_matrix
 from cindergrid.operators.moments import co_moments, matrix, merged
 from cindergrid.operators.sampling import hash_to_long, order_hash
@@ -79,18 +82,32 @@ class Lift:
     gamma: float = 1.0
     turn: np.ndarray | None = None
 
+    def __post_init__(self):
+        # the fidelity of two vectors is the inner product of their unit vectors' products of two entries
+        self.short = None
+        if self.marks is not None and self.kind == "fidelity" and self.marks.shape[1] * (self.marks.shape[1] + 1) // 2 < len(self.marks):
+            self.short = _pairs(self.marks).T @ self.turn
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return x if self.marks is None else self.values(x) @ self.turn
+        if self.marks is None:
+            return x
+        return self.values(x) @ self.turn if self.short is None else np.nan_to_num(_pairs(x), copy=False, nan=0.0) @ self.short
 
     def values(self, x: np.ndarray) -> np.ndarray:
         """Kernel values, where an undefined one counts as 0."""
-        values = kernel_matrix(x, self.marks, self.kind, self.gamma)
+        if self.kind == "rbf":  # the exponents as one product
+            y, g = self.marks, self.gamma
+            left = np.column_stack((2 * g * x, -g * np.einsum("ij,ij->i", x, x), np.ones(len(x))))
+            values = left @ np.column_stack((y, np.ones(len(y)), -g * np.einsum("ij,ij->i", y, y))).T
+            np.exp(np.minimum(values, 0.0, out=values), out=values)
+        else:
+            values = kernel_matrix(x, self.marks, self.kind, self.gamma)
         return np.nan_to_num(values, copy=False, nan=0.0)
 
     @property
     def late(self) -> bool:
         """Whether sums over kernel values, turned when they are whole, take fewer operations than turning every row."""
-        if self.marks is None:
+        if self.marks is None or self.short is not None:
             return False
         m, r = self.turn.shape
         return m * m < 2 * m * r + r * r
@@ -100,6 +117,13 @@ class Lift:
         return None if self.marks is None else self.turn.shape[1]
 
 
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """Products of two entries of the unit vectors, so that inner products are squared ones; NaN for zero vectors."""
+    i, j = np.triu_indices(x.shape[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x[:, i] * x[:, j] * np.where(i == j, 1.0, np.sqrt(2.0)) / np.einsum("ij,ij->i", x, x)[:, None]
+
+
 def _logistic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Loss, slope and curvature of the log loss by the score; ``y`` is 0 or 1."""
     p = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
@@ -158,13 +182,49 @@ class Curves:
         return list(self.apart)
 
 
+class Moves:
+    """How curvature matrices change by the rows whose bend does, added up in groups; rows wait until there are some."""
+
+    def __init__(self, size: int, groups: int):
+        self.sums = np.zeros((groups, size, size))
+        self.held: dict[tuple[int, float], list[np.ndarray]] = {}
+
+    def add(self, x: np.ndarray, gap: np.ndarray, group: int) -> None:
+        for sign in (1.0, -1.0):
+            rows = np.flatnonzero(sign * gap > 0)
+            if len(rows):
+                held = self.held.setdefault((group, sign), [])
+                held.append(x[rows] * np.sqrt(sign * gap[rows])[:, None])
+                if sum(map(len, held)) >= 1024:
+                    self._settle(group, sign)
+
+    def _settle(self, group: int, sign: float) -> None:
+        root = np.concatenate(self.held.pop((group, sign)))
+        self.sums[group] += sign * (root.T @ root)
+
+    def whole(self) -> list[np.ndarray]:
+        for group, sign in list(self.held):
+            self._settle(group, sign)
+        return list(self.sums)
+
+
+@dataclass
+class Curved:
+    """A point and the curvature there by fold, from which a run without each fold goes on."""
+
+    folds: int
+    point: np.ndarray | None = None
+    of_fold: np.ndarray | None = None
+
+
 def newton(rows: DataFrame, size: int, loss: str, *, c: float = 1.0, lift: Lift | None = None, folds: int = 0,
-           start: np.ndarray | None = None, steps: int = 100, tol: float = 1e-10) -> np.ndarray:
+           start: np.ndarray | None = None, steps: int = 100, tol: float = 1e-10, curved: Curved | None = None) -> np.ndarray:
     """Minimises ``|w|^2 / 2 + c * sum(weight * loss(x w + b))`` for all rows, or once without each fold.
 
     ``rows`` are ``(x array, y 0/1, w, fold)``.  Returns a row of weights and
     the bias for each problem.  Every step is one aggregate that all
-    unfinished problems share.
+    unfinished problems share.  ``curved`` is left by a run over all rows
+    for the one without each fold.
     """
     lift = lift or Lift()
     rule, problems = LOSSES[loss], folds or 1
@@ -179,15 +239,26 @@ def newton(rows: DataFrame, size: int, loss: str, *, c: float = 1.0, lift: Lift
     if late:  # from the features, and the bias, to kernel values
         back = np.zeros((lift.turn.shape[0] + 1, size + 1))
         back[:-1, :-1], back[-1, -1] = lift.turn, 1.0
+    # a hinge's curvature is kept, with the point it is of, and changed by the rows whose bend does
+    keeps = loss == "squared_hinge"
+    parts = curved.folds if curved and not folds else 0
+    before, kept = [None] * problems, [None] * problems
+    if keeps and folds and curved and curved.of_fold is not None:
+        whole = curved.of_fold.sum(axis=0)
+        before, kept = [curved.point] * problems, [whole - curved.of_fold[j] for j in range(problems)]
+    of_fold = None
     for _ in range(steps):
         own = list(live)
         points = at[own] @ back.T
+        moves = keeps and (not folds or before[own[0]] is not None)
+        last = np.stack([before[j] for j in own]) if moves and before[own[0]] is not None else None
 
         def partial(batches: Iterator[pa.RecordBatch]) -> list[tuple[float, np.ndarray, np.ndarray]]:
             make = shared_lift.value.values if late else shared_lift.value
             values, slopes = np.zeros(len(own)), np.zeros((points.shape[1], len(own)))
-            curves = Curves(points.shape[1], own, folds)
-            for batch in (b.slice(i, 4096) for b in batches for i in range(0, len(b), 4096)):
+            curves = Moves(points.shape[1], max(parts, len(own))) if moves else Curves(points.shape[1], own, folds)
+            # few enough rows that their kernel values stay in the cache
+            for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
                 x = make(matrix(batch.column(0)))
                 x = np.column_stack((x, np.ones(len(x))))
                 y, w, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
@@ -196,14 +267,28 @@ def newton(rows: DataFrame, size: int, loss: str, *, c: float = 1.0, lift: Lift
                 weight = used * w[:, None]
                 values += (weight * value).sum(axis=0)
                 slopes += x.T @ (weight * slope)
-                curves.add(x, weight * curve, used, fold)
-            return [(float(v), g, c) for v, g, c in zip(values, slopes.T, curves.whole())]
+                if not moves:
+                    curves.add(x, weight * curve, used, fold)
+                    continue
+                gap = weight * (curve if last is None else curve - rule(x @ last.T, y[:, None])[2])
+                for i in range(len(own)):
+                    for k in np.unique(fold) if parts else [i]:
+                        curves.add(x, np.where(fold == k, gap[:, i], 0.0) if parts else gap[:, i], k)
+            each = [np.stack(curves.whole())] if parts else curves.whole()
+            return [(float(v), g, c) for v, g, c in zip(values, slopes.T, each)]
 
         found = merged(rows, partial, lambda a, b: [tuple(u + v for u, v in zip(s, t)) for s, t in zip(a, b)], fan=8)
         if found is None:
             break
         for (value, slope, curve), j in zip(found, own):
             w = at[j]
+            if keeps:
+                if parts:
+                    of_fold = curve if of_fold is None else of_fold + curve
+                    curve = of_fold.sum(axis=0)
+                elif moves and kept[j] is not None:
+                    curve = kept[j] + curve
+                before[j], kept[j] = back @ w, curve
             if late:
                 slope, curve = back.T @ slope, back.T @ curve @ back
             total = c * value + w[:-1] @ w[:-1] / 2
@@ -223,6 +308,8 @@ def newton(rows: DataFrame, size: int, loss: str, *, c: float = 1.0, lift: Lift
                 at[j] = w - step
         if not live:
             break
+    if curved and not folds:
+        curved.point, curved.of_fold = before[0], of_fold
     return at
 
 
@@ -234,8 +321,12 @@ def labelled(df: DataFrame, x: Column, label: str, weight: str | None, key: Sequ
                      (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), fold.cast("long").alias("fold"))
     rows = rows.where(F.col("y").isNotNull() & (F.col("w") > 0) & F.col("x").isNotNull()
                       & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    # a fold's rows of a task are multiplied out together
-    return materialize(rows.sortWithinPartitions("fold") if folds > 1 else rows)
+    if folds <= 1:
+        return materialize(rows)
+    # every step reads all rows: they lie in enough tasks, however few ``df`` came in; a fold's rows of a task are
+    # multiplied out together
+    tasks = row_tasks(rows.count(), df.sparkSession.sparkContext.defaultParallelism)
+    return materialize(rows.repartition(tasks).sortWithinPartitions("fold"))
 
 
 # --- calibration ---------------------------------------------------------
@@ -248,11 +339,12 @@ def fit_sigmoid(scores: DataFrame, score: str = "score", label: str = "y", steps
     Targets are ``(n1 + 1) / (n1 + 2)`` and ``1 / (n0 + 2)``, so that
     separable scores have finite parameters.  Without rows a is -1, b is 0.
     """
+    scores = materialize(scores.select(score, label))  # scores are made once
     n = scores.agg(F.count_if(F.col(label) > 0).alias("n1"), F.count_if(F.col(label) <= 0).alias("n0")).first()
     if not n["n1"] + n["n0"]:
         return -1.0, 0.0
     target = F.when(F.col(label) > 0, F.lit((n["n1"] + 1.0) / (n["n1"] + 2.0))).otherwise(F.lit(1.0 / (n["n0"] + 2.0)))
-    rows = materialize(scores.select(F.col(score).alias("s"), target.alias("t")))
+    rows = scores.select(F.col(score).alias("s"), target.alias("t"))
     a, b, best = 0.0, float(np.log((n["n0"] + 1.0) / (n["n1"] + 1.0))), None
     for _ in range(steps):
         z = F.lit(a) * F.col("s") + F.lit(b)
@@ -319,7 +411,8 @@ class Margin:
         """The score of an ``array<double>`` column; null where the array or a value in it is null."""
         ship_package(spark)
         # kernel values times (turn times weights): a vector instead of a matrix per row
-        alpha = self.weights if self.lift.marks is None else self.lift.turn @ self.weights
+        plain = self.lift.marks is None or self.lift.short is not None
+        alpha = self.weights if plain else self.lift.turn @ self.weights
         shared = spark.sparkContext.broadcast((self.lift, alpha, self.bias))
 
         @F.pandas_udf("double")
@@ -330,7 +423,7 @@ class Margin:
             if known.any():
                 x = np.array(vectors[known].tolist(), float)
                 # few rows at a time: they are as wide as there are landmarks
-                out[known] = np.concatenate([(piece if lift.marks is None else lift.values(piece)) @ a + bias
+                out[known] = np.concatenate([(lift(piece) if plain else lift.values(piece)) @ a + bias
                                              for piece in (x[i: i + 1024] for i in range(0, len(x), 1024))])
             return pd.Series(out)
 
@@ -369,18 +462,20 @@ def fit_margin(train: DataFrame, vector: Column, size: int, label: str, key: Seq
     rows = labelled(train, vector, label, weight, key, folds, seed)
     t0 = time.time()
     size = lift.size or size
-    w = newton(rows, size, "squared_hinge", c=c, lift=lift, tol=tol)[0]
+    curved = Curved(folds)
+    w = newton(rows, size, "squared_hinge", c=c, lift=lift, tol=tol, curved=curved)[0]
     model = Margin(lift, w[:-1], float(w[-1]))
-    without = newton(rows, size, "squared_hinge", c=c, lift=lift, folds=folds, start=w, tol=tol)
-    shared = train.sparkSession.sparkContext.broadcast((lift, without))
+    without = newton(rows, size, "squared_hinge", c=c, lift=lift, folds=folds, start=w, tol=tol, curved=curved)
+    # a vector a fold instead of a matrix a row
+    plain = lift.marks is None or lift.short is not None
+    shared = train.sparkSession.sparkContext.broadcast((lift, (without[:, :-1] if plain else without[:, :-1] @ lift.turn.T).T, without[:, -1]))
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lift_, each = shared.value
+        lift_, each, bias = shared.value
         for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
-                x = lift_(matrix(batch.column(0)))
-                own = each[batch.column(3).to_numpy()]
-                score = np.einsum("ij,ij->i", x, own[:, :-1]) + own[:, -1]
+            for batch in (whole.slice(i, 512) for i in range(0, len(whole), 512)):
+                x, fold = matrix(batch.column(0)), batch.column(3).to_numpy()
+                score = ((lift_(x) if plain else lift_.values(x)) @ each + bias)[np.arange(len(fold)), fold]
                 yield pa.RecordBatch.from_arrays([pa.array(score), batch.column(1)], names=["score", "y"])
 
     model.a, model.b = fit_sigmoid(rows.mapInArrow(unseen, "score double, y double"))
